@@ -147,4 +147,5 @@ def keep_known(documents: DataFrame, doc_id: str = "doc_id", least: float = 0.5)
     Of rows that repeat an id, all go if one does.
     """
     seen = identify(documents, doc_id, F.col("text"), F.col("lang"), F.col("source"), documents, label_key=doc_id)
+    seen = write_table(seen.select(doc_id, "language", "confidence"), "languages")
     return without(documents, seen.where((F.col("language") == UNKNOWN) | (F.col("confidence") < least)), doc_id)

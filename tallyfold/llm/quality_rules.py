@@ -117,5 +117,11 @@ def ablations(book: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
 
 
 def keep_clean(df: DataFrame, text: str = "text", policy: str = DEFAULT_POLICY) -> DataFrame:
-    """The rows of ``df`` that ``policy`` keeps, with the columns of ``df``."""
-    return with_measures(df, text).where(~rejected(fail_mask(F.col(OWN + "m")), policy)).drop(OWN + "m")
+    """The rows of ``df`` that ``policy`` keeps, with the columns of ``df``.
+
+    The verdict is a generator of one row or none: a filter would be pushed below the steps of the
+    measurement and repeat each of them wherever it is used.
+    """
+    judged = with_measures(df, text).withColumn(OWN + "mask", fail_mask(F.col(OWN + "m")))
+    one = F.when(rejected(F.col(OWN + "mask"), policy), F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))
+    return judged.select(*df.columns, F.explode(one).alias(OWN + "one")).drop(OWN + "one")
