@@ -32,11 +32,9 @@ def _shingle(words: Column, at: Column, size: int) -> Column:
 
 def _positions(docs: DataFrame, size: int) -> DataFrame:
     """A row for each word position with ``size`` words from there on, with the shingle's key."""
-    return (
-        docs.where(F.col("n") >= size)
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("n") - size)).alias("pos"))
-        .withColumn("key", _shingle(F.col("words"), F.col("pos"), size))
-    )
+    # A filter on n would be pushed below the words and split the text twice.
+    starts = F.when(F.col("n") >= size, F.sequence(F.lit(0), F.col("n") - size)).otherwise(F.array().cast("array<int>"))
+    return docs.select("*", F.explode(starts).alias("pos")).withColumn("key", _shingle(F.col("words"), F.col("pos"), size))
 
 
 def item_windows(items: DataFrame, item_id: str, text: str, window: int, shingle: int) -> DataFrame:
