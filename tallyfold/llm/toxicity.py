@@ -47,57 +47,63 @@ def _plain(token: str) -> str:
     return _EDGE.sub("", token).lower()
 
 
-class Features:
-    """Features of a text under a lexicon of grams with weights; each distinct token is looked at once."""
+class Features(dict):
+    """Features of a text under a lexicon of grams with weights.
+
+    Maps a token to the code of what is special about it, 0 for nothing; each distinct token is looked at
+    once, and tokens that are special in the same way share a code, so the table of codes stays small.
+    """
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
         self.you = set(SECOND_PERSON.split())
-        self.seen: dict[str, tuple] = {}
+        self.codes: dict[tuple, int] = {(0.0, 0.0, 0.0, 0.0, 0.0): 0}
+        self.table = np.zeros((1, 5))
 
     def _weight(self, word: str) -> float:
-        return max((self.lexicon.get(g, 0.0) for g in _grams(word)), default=0.0)
-
-    def token(self, token: str) -> tuple:
-        """(weight, weight once spelled plainly, you, capitals, letters, shouted, marks, odd inside)"""
-        word = _plain(token)
-        inner = word.translate(_LEET)
-        inner = _INNER.sub("", inner)
-        odd = inner != word
-        weight = self._weight(word)
-        letters = sum(c.isalpha() for c in token)
-        capitals = sum(c.isupper() for c in token)
-        return (
-            weight, self._weight(inner) if odd and not weight else 0.0, float(word in self.you), capitals, letters,
-            float(letters > 2 and capitals == letters), token.count("!") + token.count("?"), float(odd),
-        )
+        lexicon = self.lexicon
+        return max((lexicon[g] for g in _grams(word) if g in lexicon), default=0.0)
+
+    def __missing__(self, token: str) -> int:
+        word = token.lower() if token.isalpha() else _plain(token)
+        weight, hidden, odd = self._weight(word), 0.0, 0.0
+        if not word.isalpha():
+            inner = _INNER.sub("", word.translate(_LEET))
+            odd = float(inner != word)
+            hidden = self._weight(inner) if odd and not weight else 0.0
+        # weight, weight once spelled plainly, second person, shouted, obfuscated
+        what = (weight, hidden, float(word in self.you), float(len(word) > 2 and token.isupper()), odd)
+        code = self.codes.get(what)
+        if code is None:
+            code = self.codes[what] = len(self.codes)
+            self.table = np.array(list(self.codes))
+        if len(self) >= WORDS:
+            self.clear()
+        self[token] = code
+        return code
 
     def row(self, text: str | None) -> list[float]:
-        tokens = _WORD.findall(text or "")
+        tokens = (text or "").split()
         if not tokens:
             return [0.0] * len(FEATURES)
-        seen = self.seen
-        if len(seen) >= WORDS:
-            seen.clear()
-        for new in set(tokens) - seen.keys():
-            seen[new] = self.token(new)
-        rows = list(map(seen.__getitem__, tokens))
-        at = np.array(rows)
         n = len(tokens)
-        weight, hidden, you = at[:, 0], at[:, 1], at[:, 2]
-        hit = weight > 0
+        codes = np.fromiter(map(self.__getitem__, tokens), np.int64, n)
+        at = np.flatnonzero(codes)
+        weight, hidden, you, shouted, odd = self.table[codes[at]].T
+        spots, where = at[weight > 0], at[you > 0]
         near = 0.0
-        if hit.any() and you.any():
-            where = np.flatnonzero(you)
-            spots = np.flatnonzero(hit)
+        if len(spots) and len(where):
             k = np.searchsorted(where, spots)
             left = np.abs(spots - where[np.maximum(k - 1, 0)])
             right = np.abs(where[np.minimum(k, len(where) - 1)] - spots)
             near = float((np.minimum(left, right) <= 5).sum())
-        letters = at[:, 4].sum() or 1.0
+        chars = np.bincount(np.frombuffer(text.encode("utf-8", "replace"), np.uint8), minlength=256)
+        capitals = int(chars[65:91].sum())
+        letters = capitals + int(chars[97:123].sum()) + int(chars[192:].sum())
+        n_hidden = float((hidden > 0).sum())
         return [
-            float(hit.sum()), hit.sum() / n, float(weight.sum()), float(weight.max()), weight.sum() / n, near, float((hidden > 0).sum()), (hidden > 0).sum() / n,
-            at[:, 3].sum() / letters, at[:, 5].sum() / n, at[:, 6].sum() / n, at[:, 7].sum() / n, math.log1p(n),
+            float(len(spots)), len(spots) / n, float(weight.sum()), float(weight.max(initial=0.0)), weight.sum() / n, near, n_hidden, n_hidden / n,
+            capitals / max(letters, 1), shouted.sum() / n, int(chars[33] + chars[63]) / n, odd.sum() / n, math.log1p(n),
         ]
 
 
@@ -211,7 +217,7 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "label", "fold"])
 
     got = rows.where("fold >= 3").select("text", "label", "fold").mapInArrow(measured, "x array<double>, label int, fold bigint").collect()
-    x, y, fold = np.array([r["x"] for r in got]).reshape(len(got), -1), np.array([r["label"] for r in got], float), np.array([r["fold"] for r in got])
+    x, y, fold = np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["label"] for r in got], float), np.array([r["fold"] for r in got])
     grow = fold < 5
     if not len(y) or len(set(y[grow])) < 2:
         return lexicon, float(y.mean()) if len(y) else 0.0
@@ -229,7 +235,7 @@ def score(
     out = F.pmod(crc_of_id(F.col(doc_id)), F.lit(3)) == 1
     lexicon, model = fit(documents, labels, doc_id, text, label, ~out, sample)
 
-    def scored(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.RecordBatch], step: int = 1024) -> Iterator[pa.RecordBatch]:
         look = Features(lexicon)
         for whole in batches:
             for lo in range(0, whole.num_rows, step):
