@@ -36,6 +36,20 @@ def _slots(word: str) -> tuple[int, int]:
     return crc32(word.lower().encode("utf-8", "replace")) % (BUCKETS // 2), BUCKETS // 2 + crc32(shape[:12].encode("utf-8", "replace")) % (BUCKETS // 2 - 1)
 
 
+class _Weights(dict):
+    """The summed weight of a word's buckets; each distinct word is hashed once."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights.tolist()
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= WORDS:
+            self.clear()
+        a, b = _slots(word)
+        self[word] = got = self.weights[a] + self.weights[b]
+        return got
+
+
 def _counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and their share of the words; the last bucket is of words that repeat the one before."""
     words = (text or "").split()
@@ -112,22 +126,16 @@ def grade(
     kind = to_arrow_type(documents.schema[doc_id].dataType)
 
     def graded(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[pa.RecordBatch]:
-        weights = shared.value
-        again = float(weights[BUCKETS - 1])
-        seen: dict[str, float] = {}
+        weight = _Weights(shared.value)
+        again = weight.weights[BUCKETS - 1]
         for whole in batches:
             for lo in range(0, whole.num_rows, step):
                 batch = whole.slice(lo, step)
                 f = np.zeros(batch.num_rows)
                 for i, t in enumerate(batch.column(1).to_pylist()):
                     words = (t or "").split()
-                    if not words:
-                        continue
-                    if len(seen) >= WORDS:
-                        seen.clear()
-                    for new in set(words) - seen.keys():
-                        seen[new] = float(sum(weights[s] for s in _slots(new)))
-                    f[i] = (sum(map(seen.__getitem__, words)) + again * sum(map(str.__eq__, words, words[1:]))) / len(words)
+                    if words:
+                        f[i] = (sum(map(weight.__getitem__, words)) + again * sum(map(str.__eq__, words, words[1:]))) / len(words)
                 above = 1 / (1 + np.exp(np.clip(cuts[None, :] - f[:, None], -30, 30)))  # P(grade > k)
                 expected = values[0] + above @ np.diff(values) if len(cuts) else np.full(len(f), values[0])
                 tail = above[:, tail_from - 1] if 0 < tail_from <= len(cuts) else np.full(len(f), float(tail_from <= 0 or not len(cuts)))
