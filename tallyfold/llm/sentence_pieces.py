@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Parts remembered by a worker, each of at most PART_CHARS characters, and token pairs remembered.
-PARTS, PART_CHARS, PAIRS = 400_000, 48, 1_000_000
+PARTS, PART_CHARS, PAIRS = 1_000_000, 48, 1_000_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -135,12 +135,16 @@ class PieceModel:
             cut = [(MARK + text).replace(" ", MARK)]
         if len(self.parts) >= PARTS // 2:  # two generations: what is met again moves on, the rest is forgotten
             self.older, self.parts = self.parts, {}
-        parts, once = self.parts, {}
-        for new in {c for c in cut if c not in parts}:
-            (parts if len(new) <= PART_CHARS else once)[new] = self.older.get(new) or self.part_ids(new)
-        if once:
-            return list(chain.from_iterable(once.get(c) or parts[c] for c in cut))
-        return list(chain.from_iterable(map(parts.__getitem__, cut)))
+        parts = self.parts
+        found = list(map(parts.get, cut))
+        if None in found:
+            for k, got in enumerate(found):
+                if got is None:
+                    part = cut[k]
+                    found[k] = got = parts.get(part) or self.older.get(part) or self.part_ids(part)
+                    if len(part) <= PART_CHARS:
+                        parts[part] = got
+        return list(chain.from_iterable(found))
 
     def decode(self, ids: Iterable[int] | None) -> str:
         ids = list(ids or ())
