@@ -16,6 +16,7 @@ result; a host with a third of all rows is one partial aggregate.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,17 +25,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.sampling import sampled_texts, without
+from tallyfold.llm.url_filter import host_of, url_rest
 from tallyfold.plans.storage import write_table
 
-BUCKETS, SAMPLE, EVIDENCE, KAPPA, SLACK = 1 << 16, 4000, 60, 8.0, 0.02
+BUCKETS, SAMPLE, EVIDENCE, KAPPA, SLACK, LEAST = 1 << 16, 4000, 60, 8.0, 0.02, 0.5
 UNKNOWN = "und"
+_NUMBERED = re.compile(r"\S*\d\S*")
 HTML_LANG = r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]+)"""
 NOT_TEXT = r"(?is)<(script|style|nav|footer|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>"
 
 
 def _trigrams(text: str | None) -> np.ndarray:
-    raw = np.frombuffer(f" {' '.join((text or '').lower().split())} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
-    if len(raw) < 3:
+    """Buckets of the byte trigrams of the words without digits, which say nothing of the language."""
+    raw = np.frombuffer(f" {' '.join(_NUMBERED.sub(' ', (text or '').lower()).split())} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
+    if len(raw) < 4:
         return np.empty(0, np.int64)
     three = raw[:-2] << np.uint32(16) | raw[1:-1] << np.uint32(8) | raw[2:]
     return ((three * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
@@ -68,7 +72,7 @@ def _likelihoods(batches: Iterator[pa.RecordBatch], weights: np.ndarray, step: i
             out = []
             for text in batch.column(batch.num_columns - 1).to_pylist():
                 at = _trigrams(text)
-                full = text is not None and text.strip() and len(at)
+                full = len(at) > 1
                 out.append((weights[at].mean(axis=0) * min(len(at), EVIDENCE)).tolist() if full else [0.0] * weights.shape[1])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "loglik"])
 
@@ -82,15 +86,15 @@ def _share(x: Column) -> Column:
     return F.transform(x, lambda v: v / total())
 
 
-def identify(
-    rows: DataFrame, key: str, text: Column, declared: Column, host: Column, labelled: DataFrame, label: str = "lang", label_key: str = "doc_id", sample: int = SAMPLE,
-) -> DataFrame:
-    """key, declared, host, language, confidence and text_language for each row.
+def text_model(labelled: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """``fit_text_model`` on at most ``sample`` rows of ``labelled``."""
+    marked = labelled.where(F.col(label).isNotNull()).select(key, F.col(label).cast("string").alias("label"))
+    return fit_text_model(sampled_texts(labelled, marked, key, text, sample), "text", "label")
 
-    ``labelled`` has ``label_key``, ``text`` and ``label``; at most ``sample`` of its rows are fitted on.
-    """
-    marked = labelled.where(F.col(label).isNotNull()).select(label_key, F.col(label).cast("string").alias("label"))
-    langs, logs = fit_text_model(sampled_texts(labelled, marked, label_key, "text", sample), "text", "label")
+
+def identify(rows: DataFrame, key: str, text: Column, declared: Column, host: Column, model: tuple[list[str], np.ndarray]) -> DataFrame:
+    """key, declared, host, language, confidence and text_language for each row."""
+    langs, logs = model
     langs = [*langs, UNKNOWN]
     weights = np.ascontiguousarray(np.vstack([logs, np.full((1, BUCKETS), -np.log(BUCKETS))]).T.astype(np.float32))
     shared = rows.sparkSession.sparkContext.broadcast(weights)  # BUCKETS values a language
@@ -133,19 +137,25 @@ def identify(
     )
 
 
-def page_languages(pages: DataFrame, labelled: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def page_languages(pages: DataFrame, model: tuple[list[str], np.ndarray], page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """``identify`` over html pages: markup declares the language, the url names the host."""
-    from tallyfold.llm.url_filter import host_of, url_rest
-
     seen = F.regexp_replace(F.col(html), NOT_TEXT, " ")
-    return identify(pages, page_id, seen, F.regexp_extract(F.coalesce(F.col(html), F.lit("")), HTML_LANG, 1), host_of(url_rest(F.col(url))), labelled)
+    return identify(pages, page_id, seen, F.regexp_extract(F.coalesce(F.col(html), F.lit("")), HTML_LANG, 1), host_of(url_rest(F.col(url))), model)
+
+
+def document_languages(
+    documents: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str = "doc_id", text: str = "text", declared: str = "lang", host: str = "source"
+) -> DataFrame:
+    """``identify`` over documents: a column declares the language, the source stands for the host."""
+    return identify(documents, doc_id, F.col(text), F.col(declared), F.col(host), model)
+
 
+def accepted(least: float = LEAST) -> Column:
+    """Whether a row's language is one of the model's, surely enough."""
+    return (F.col("language") != UNKNOWN) & (F.col("confidence") >= least)
 
-def keep_known(documents: DataFrame, doc_id: str = "doc_id", least: float = 0.5) -> DataFrame:
-    """The documents in a language of the model, with their columns; ``lang`` is the declaration, ``source`` the host.
 
-    Of rows that repeat an id, all go if one does.
-    """
-    seen = identify(documents, doc_id, F.col("text"), F.col("lang"), F.col("source"), documents, label_key=doc_id)
-    seen = write_table(seen.select(doc_id, "language", "confidence"), "languages")
-    return without(documents, seen.where((F.col("language") == UNKNOWN) | (F.col("confidence") < least)), doc_id)
+def keep_known(documents: DataFrame, doc_id: str = "doc_id", least: float = LEAST) -> DataFrame:
+    """The documents in a language of the model, with their columns; of rows that repeat an id, all go if one does."""
+    seen = document_languages(documents, text_model(documents, key=doc_id), doc_id).withColumn("kept", accepted(least))
+    return without(documents, write_table(seen.select(doc_id, "kept"), "languages").where("NOT kept"), doc_id)

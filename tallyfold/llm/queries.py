@@ -43,7 +43,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.page_languages(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents"))
+    """Pages by markup and address, and documents by their declared language and source, under one text model."""
+    documents = _table(spark, sf_dir, "documents")
+    model = language_id.text_model(documents)
+    pages = language_id.page_languages(_table(spark, sf_dir, "pages"), model)
+    both = language_id.document_languages(documents, model).unionByName(pages, allowMissingColumns=True)
+    return both.select("doc_id", "page_id", "declared", "host", "language", "confidence", "text_language", language_id.accepted().alias("kept"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
