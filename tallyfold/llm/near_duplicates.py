@@ -36,13 +36,15 @@ from tallyfold.operators.components import connected_components
 from tallyfold.plans.storage import write_table
 
 SEED = 1
-#: Word hashes a worker remembers; classes and shingles in a block at most.
-WORDS, BLOCK_ROWS, BLOCK_SHINGLES = 500_000, 256, 500_000
+#: Word hashes a task remembers; classes and shingles in a block at most.
+WORDS, BLOCK_ROWS, BLOCK_SHINGLES = 250_000, 256, 500_000
 BORROWS = 100
 _TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 class _WordHashes(dict):
+    """Hashes of words met before; each task has its own, so that none outlives it."""
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORDS:
             self.clear()
@@ -50,9 +52,6 @@ class _WordHashes(dict):
         return got
 
 
-_hashes = _WordHashes()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -60,14 +59,14 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
+def shingle_set(text: str | None, size: int, hashes: _WordHashes) -> np.ndarray:
     """The sorted distinct hashes of the text's shingles of ``size`` words."""
     words = (text or "").encode("utf-8", "replace").translate(_TO_LOWER).split()
     if not words:
         return np.empty(0, np.uint64)
     if len(words) < size:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), SEED + 1)], np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = len(words) - size + 1
     got = h[:n]
     for k in range(1, size):
@@ -120,10 +119,11 @@ def band_keys(sig: np.ndarray, rows: int, bands: int) -> np.ndarray:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], size: int, rows: int, bands: int, step: int = 256) -> Iterator[pa.RecordBatch]:
+    hashes = _WordHashes()
     for whole in batches:
         for lo in range(0, whole.num_rows, step):
             batch = whole.slice(lo, step)
-            sets = [shingle_set(t, size) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t, size, hashes) for t in batch.column(1).to_pylist()]
             some = [s for s in sets if len(s)]
             keys = band_keys(signatures(some, rows * bands), rows, bands) if some else np.empty((0, bands), np.int64)
             ends = np.cumsum([0, *(bands if len(s) else 0 for s in sets)])
@@ -135,10 +135,11 @@ def _signed(batches: Iterator[pa.RecordBatch], size: int, rows: int, bands: int,
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int, step: int = 256) -> Iterator[pa.RecordBatch]:
+    hashes = _WordHashes()
     for whole in batches:
         for lo in range(0, whole.num_rows, step):
             batch = whole.slice(lo, step)
-            sets = [shingle_set(t, size).tobytes() for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t, size, hashes).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
 
 

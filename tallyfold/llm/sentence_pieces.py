@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 #: Parts remembered by a worker, each of at most PART_CHARS characters, and token pairs remembered.
-PARTS, PART_CHARS, PAIRS = 1_000_000, 48, 1_000_000
+PARTS, PART_CHARS, PAIRS = 400_000, 48, 300_000
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -199,6 +199,7 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str, kind: pa.DataType, step
             ids = [model.encode(t) for t in batch.column(1).to_pylist()]
             arrays = [batch.column(0).cast(kind), pa.array(ids, pa.list_(pa.int32())), pa.array(map(model.decode, ids), pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "ids", "decoded"])
+    model.older = {}  # what a worker holds between tasks is one generation
 
 
 def encode_decode(df: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
