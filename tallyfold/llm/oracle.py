@@ -68,4 +68,49 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(least(d.doc_
        d.doc_id = least(d.doc_id, coalesce(m, d.doc_id)) AS kept
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT x, min(y) AS m FROM reach GROUP BY x) ON x = d.doc_id"""
 
-ORACLES = {"op2_decontaminate": OP2, "op3_near_duplicates": OP3, "op8_quality_rules": OP8}
+
+def _rest(url: str) -> str:
+    return f"(CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) ELSE '' END)"
+
+
+def _host(rest: str) -> str:
+    return _LOWER.format(f"regexp_extract({rest}, '^[^/?#]*')")
+
+
+def _path(rest: str) -> str:
+    return f"regexp_extract(substr({rest}, length(regexp_extract({rest}, '^[^/?#]*')) + 1), '^[^?#]*')"
+
+
+def _key(url: str) -> str:
+    bare = f"regexp_replace({_rest(url)}, '(?s)#.*$', '')"
+    return f"({_host(bare)} || substr({bare}, length(regexp_extract({bare}, '^[^/?#]*')) + 1))"
+
+
+def _rule(host: str, path: str) -> str:
+    fits = lambda h, p: f"({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}')"
+    order = (("www.example.com", "/en/"), ("example.com", "/en/"), ("net", "/es/"), ("net", "/fr/"), ("com", "/"))
+    return "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{h}{p}'" for h, p in order) + " END"
+
+
+_VERDICT = "CASE {0} WHEN 'www.example.com/en/' THEN 'allow' WHEN 'com/' THEN 'allow' WHEN NULL THEN NULL ELSE CASE WHEN {0} IS NOT NULL THEN 'block' END END"
+
+OP5 = rf"""WITH RECURSIVE
+pg AS (SELECT row_number() OVER () AS rn, page_id, coalesce(url, '') AS u, coalesce(html, '') AS h, url IS NOT NULL AS has FROM pages),
+r AS (SELECT *, {_rest("u")} AS rest FROM pg),
+tags AS (SELECT u, rest, unnest(regexp_extract_all(h, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM r WHERE has),
+found AS (SELECT u, rest, CASE WHEN regexp_matches(tag, '(?is)^<link') AND regexp_matches(tag, '(?is)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+  WHEN regexp_matches(tag, '(?is)^<meta') AND regexp_matches(tag, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\bcontent\s*=\s*["''][^"''>]*?\burl\s*=\s*([^"''\s>]+)', 1) END AS t FROM tags),
+full_ AS (SELECT u, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || {_host("rest")} || t
+  WHEN contains(regexp_extract(rest, '^[^?#]*'), '/') THEN 'http://' || regexp_replace(regexp_extract(rest, '^[^?#]*'), '[^/]*$', '') || t ELSE 'http://' || regexp_extract(rest, '^[^?#]*') || '/' || t END AS v
+  FROM found WHERE coalesce(t, '') <> ''),
+links AS (SELECT DISTINCT {_key("u")} AS x, {_key("v")} AS y FROM full_),
+e AS (SELECT x, y FROM links WHERE x <> y AND x <> '' AND y <> '' UNION SELECT y, x FROM links WHERE x <> y AND x <> '' AND y <> ''),
+reach(x, y) AS (SELECT x, y FROM e UNION SELECT a.x, b.y FROM reach a JOIN e b ON a.y = b.x),
+judged AS (SELECT x, least(x, y) AS c, {_rule(_host("y"), _path("y"))} AS w FROM reach),
+parts AS (SELECT x, min(c) AS component, bool_or(coalesce({_VERDICT.format("w")} = 'block', false)) AS blocked, bool_or(coalesce({_VERDICT.format("w")} = 'allow', false)) AS allowed FROM judged GROUP BY x),
+own AS (SELECT page_id, {_host("rest")} AS host, {_path("rest")} AS path, {_key("u")} AS k FROM r),
+ruled AS (SELECT *, {_rule("host", "path")} AS rule FROM own)
+SELECT page_id, host, path, rule, coalesce({_VERDICT.format("rule")}, CASE WHEN coalesce(blocked AND NOT allowed, false) THEN 'block' ELSE 'allow' END) AS verdict, component
+FROM ruled LEFT JOIN parts ON x = k"""
+
+ORACLES = {"op2_decontaminate": OP2, "op3_near_duplicates": OP3, "op5_url_filter": OP5, "op8_quality_rules": OP8}
