@@ -7,7 +7,7 @@ text's is the product over its words and its end. Beside it stands the word unig
 smoothing.
 
 All counts are over all training texts, in a distributed table of one row per distinct word, which also
-gets the word's lattice likelihood once. The ``HEAVY`` most frequent words are sent to all workers; every
+gets the word's lattice likelihood once. The most frequent words, ``HEAVY`` at most, are sent to all workers; every
 other word of a text finds its row by a join, where no key is frequent.
 
 Null and empty texts are one end token. Very long texts and words are scored whole. Repeated rows get
@@ -30,7 +30,7 @@ from tallyfold.llm.columns import LOWER, UPPER, crc_of_id
 from tallyfold.llm.sentence_pieces import MARK, piece_model
 from tallyfold.plans.storage import write_table
 
-HEAVY, FLUSH, PRIOR_COUNT, PRIOR_SHIFT = 150_000, 200_000, 2000.0, 10.0
+HEAVY, FLUSH, PRIOR_COUNT, PRIOR_SHIFT = 120_000, 100_000, 2000.0, 10.0
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -170,6 +170,22 @@ def _scored(batches: Iterator[pa.RecordBatch], heavy: dict[bytes, tuple[float, f
             )
 
 
+def frequent_words(words: DataFrame, most: int) -> DataFrame:
+    """The words of the highest classes of frequency that are ``most`` words together at most.
+
+    A class is an eighth of a doubling, so a few hundred counts settle the cut and no top list is merged.
+    """
+    level = F.floor(F.log2("seen") * 8)
+    sizes = sorted(((r["level"], r["n"]) for r in words.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    total, cut = 0, None
+    for at, n in sizes:
+        total += n
+        if total > most:
+            break
+        cut = at
+    return words.where(level >= cut) if cut is not None else words.where(F.lit(False))
+
+
 def lm_scores(documents: DataFrame, model_path: str, held_out: Column | None = None, doc_id: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) for each row."""
     spark = documents.sparkSession
@@ -191,7 +207,7 @@ def lm_scores(documents: DataFrame, model_path: str, held_out: Column | None = N
             yield pa.RecordBatch.from_arrays([*batch.columns, got], names=["word", "train", "seen", "lattice"])
 
     words = write_table(counts.mapInArrow(spelled, "word string, train bigint, seen bigint, lattice double"), "lattice")
-    top = words.orderBy(F.col("seen").desc(), "word").limit(heavy).select("word", "train", "lattice").toArrow()  # at most ``heavy`` rows
+    top = frequent_words(words, heavy).select("word", "train", "lattice").toArrow()  # at most ``heavy`` rows
     train = top.column("train").to_numpy()
     table = dict(zip(map(str.encode, top.column("word").to_pylist()), zip((np.log10(train + 0.5) - floor).tolist(), top.column("lattice").to_pylist(), (train > 0).astype(int).tolist())))
     frequent = spark.sparkContext.broadcast(table)
