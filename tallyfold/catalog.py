@@ -12,6 +12,7 @@ from tallyfold.operators import actions, cache, exact, groups, pairs, selection,
 from tallyfold.operators.components import connected_components
 from tallyfold.operators.filters import filter_files, remaining
 from tallyfold.plans.options import ScanOptions
+from tallyfold.plans.storage import write_table
 from tallyfold.sources import tables as t
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,11 +71,12 @@ _SUMMARY = "SELECT group_id, count(*) AS n_files, max(CASE WHEN pos = 0 THEN siz
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
-    return exact.exact_members(t.files_docs(spark, d))
+    """The contents are read and hashed once; what is joined and ranked are the short rows."""
+    return exact.exact_members(write_table(t.files_docs(spark, d), "hashed"))
 
 
 def _summary(strategy: str) -> Callable:
-    return lambda spark, d: groups.by_gain(groups.group_summary(_members(spark, d), strategy)).drop("kind")
+    return lambda spark, d: groups.by_gain(exact.exact_summary(t.files_docs(spark, d), strategy)).drop("kind")
 
 
 for _name, _strategy in (("exact_groups", "oldest"), ("exact_keep_newest", "newest"), ("exact_keep_largest", "largest"), ("exact_keep_first", "first")):
@@ -104,7 +106,8 @@ def _(spark, d):
 
 @query("remaining_files", f"WITH {EX} SELECT scan_seq, path FROM fd WHERE path NOT IN (SELECT path FROM ex)")
 def _(spark, d):
-    return remaining(t.files_docs(spark, d), _members(spark, d)).select("scan_seq", "path")
+    hashed = write_table(t.files_docs(spark, d), "hashed")
+    return remaining(hashed, exact.exact_members(hashed)).select("scan_seq", "path")
 
 
 # --- filters and expressions ---------------------------------------------------------------------
@@ -288,12 +291,12 @@ def _(spark, d):
 
 @query("reclaimable_totals", f"WITH {_rk()}, s AS ({_SUMMARY}) SELECT count(*) AS n_groups, CAST(sum(reclaimable) AS BIGINT) AS reclaimable, CAST(sum(n_files - 1) AS BIGINT) AS n_copies FROM s")
 def _(spark, d):
-    return groups.totals(groups.group_summary(_members(spark, d)))
+    return groups.totals(exact.exact_summary(t.files_docs(spark, d)))
 
 
 @query("kind_totals", f"WITH {_rk()}, s AS ({_SUMMARY}) SELECT 'exact' AS kind, '精确重复' AS label, count(*) AS n_groups, CAST(sum(reclaimable) AS BIGINT) AS reclaimable FROM s")
 def _(spark, d):
-    got = groups.of_kind(groups.group_summary(_members(spark, d)), "exact").groupBy("kind").agg(F.count("*").alias("n_groups"), F.sum("reclaimable").alias("reclaimable"))
+    got = groups.of_kind(exact.exact_summary(t.files_docs(spark, d)), "exact").groupBy("kind").agg(F.count("*").alias("n_groups"), F.sum("reclaimable").alias("reclaimable"))
     return got.withColumn("label", display.kind_label(F.col("kind")))
 
 

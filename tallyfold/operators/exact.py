@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.operators.groups import keep_key
+
 #: From this size on the partial hash is of the size, the head and the tail.
 LARGE, EDGE = 65_536, 4_096
 
@@ -33,12 +35,24 @@ def full_hash(content: Column) -> Column:
 
 def repeated(files: DataFrame, *keys: str) -> DataFrame:
     """A1-A3: key values that two files or more have, with ``n``."""
-    return files.where(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    return files.groupBy(*keys).agg(F.count(keys[-1]).alias("n")).where("n > 1")
+
+
+def exact_summary(files: DataFrame, strategy: str = "oldest", full: str = "full_hash") -> DataFrame:
+    """The groups' accounting in one pass and one shuffle of short rows: no join back, no sort within a group.
+
+    A null hash is counted as none, so that no filter on the hash is pushed into the scan and computes it twice.
+    """
+    got = files.groupBy("size", full).agg(F.count(full).alias("n_files"), F.min("scan_seq").alias("group_id"), F.min_by("path", keep_key(strategy)).alias("keeper")).where("n_files > 1")
+    return got.select("group_id", F.lit("exact").alias("kind"), "n_files", F.col("size").alias("file_size"), (F.col("size") * (F.col("n_files") - 1)).alias("reclaimable"), "keeper")
 
 
 def exact_members(files: DataFrame, full: str = "full_hash") -> DataFrame:
-    """Files with another of equal size and hash, with group_id and kind; a null hash (unreadable) is in no group."""
-    groups = files.where(F.col(full).isNotNull()).groupBy("size", full).agg(F.count("*").alias("__n"), F.min("scan_seq").alias("group_id")).where("__n > 1").drop("__n")
+    """Files with another of equal size and hash, with group_id and kind; a null hash (unreadable) is in no group.
+
+    ``files`` is read twice: where the hash is an expression over contents, write the short rows first.
+    """
+    groups = files.groupBy("size", full).agg(F.count(full).alias("__n"), F.min("scan_seq").alias("group_id")).where("__n > 1").drop("__n")
     return files.join(groups, ["size", full]).withColumn("kind", F.lit("exact"))
 
 

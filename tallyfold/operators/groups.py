@@ -18,7 +18,7 @@ def keep_order(strategy: str) -> list[Column]:
     return [*first, *([F.asc("path")] if first else []), F.asc("scan_seq")]
 
 
-def _keep_key(strategy: str) -> Column:
+def keep_key(strategy: str) -> Column:
     """A struct whose least value is the keeper's."""
     lead = {"newest": [-F.col("modified")], "oldest": [F.col("modified")], "largest": [-F.col("size")], "first": []}[strategy]
     return F.struct(*lead, *([F.col("path")] if lead else []), F.col("scan_seq"))
@@ -27,7 +27,7 @@ def _keep_key(strategy: str) -> Column:
 def group_summary(members: DataFrame, strategy: str = "oldest") -> DataFrame:
     """A5: n_files, file_size (the keeper's), reclaimable (all others') and keeper of each group; no sort."""
     got = members.groupBy("group_id", "kind").agg(
-        F.count("*").alias("n_files"), F.sum("size").alias("total"), F.min_by(F.struct("path", "size"), _keep_key(strategy)).alias("k")
+        F.count("*").alias("n_files"), F.sum("size").alias("total"), F.min_by(F.struct("path", "size"), keep_key(strategy)).alias("k")
     )
     return got.select("group_id", "kind", "n_files", F.col("k.size").alias("file_size"), (F.col("total") - F.col("k.size")).alias("reclaimable"), F.col("k.path").alias("keeper"))
 

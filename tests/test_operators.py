@@ -103,6 +103,15 @@ def test_keep_strategies(spark):
         assert r["reclaimable"] == sum(f["size"] for f in r["files"]) - r["file_size"]
 
 
+def test_summary_in_one_pass(spark):
+    f = files(spark, [("/a", 10, 3), ("/b", 10, 1), ("/c", 10, 2), ("/d", 7, 5), ("/e", 7, 5), ("/f", 7, 4), ("/g", 1, 1)])
+    f = f.withColumn("full_hash", F.when(F.col("path") == "/f", None).otherwise(F.col("size").cast("string")))
+    for strategy in ("newest", "oldest", "largest", "first"):
+        got = sorted(map(tuple, exact.exact_summary(f, strategy).collect()))
+        want = sorted(map(tuple, groups.group_summary(exact.exact_members(f), strategy).select("group_id", "kind", "n_files", "file_size", "reclaimable", "keeper").collect()))
+        assert got == want and [g[2] for g in got] == [3, 2]
+
+
 def test_selection(spark):
     rows = groups.ranked(members(spark)).cache()
     checked = lambda df: {r["path"] for r in df.where("checked").collect()}
