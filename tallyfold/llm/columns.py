@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Runs without ASCII white space.
@@ -37,3 +37,12 @@ def alnum_words(text: Column) -> Column:
 def crc_of_id(doc_id: Column) -> Column:
     """CRC-32 of the id in decimal; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+
+
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as a column that stands for itself.
+
+    A filter on an ordinary column is pushed below its projection, which repeats the expression, and all it is
+    made of, wherever the filter names it; through a generator, here of one row for each row, none is pushed.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))

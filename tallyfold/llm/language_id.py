@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm.columns import settled
 from tallyfold.llm.sampling import sampled_texts, without
 from tallyfold.llm.url_filter import host_of, url_rest
 from tallyfold.plans.storage import write_table
@@ -129,7 +130,7 @@ def identify(rows: DataFrame, key: str, text: Column, declared: Column, host: Co
         joined = joined.withColumn("mass", mass).withColumn(name, F.zip_with("rest", prior, lambda r, p: (r + F.lit(KAPPA) * p) / (F.col("mass") + F.lit(KAPPA))))
         prior = F.col(name)
     evidence = F.zip_with(F.zip_with("loglik", F.element_at(spoken, F.col("said")), lambda a, b: a + b), "host_prior", lambda a, p: a + F.log(p))
-    joined = joined.withColumn("evidence", evidence).withColumn("post", _share(_softmax(F.col("evidence"))))
+    joined = settled(settled(joined, "evidence", evidence), "post", _share(_softmax(F.col("evidence"))))
     pick = lambda name: F.element_at(F.array(*map(F.lit, langs)), F.array_position(name, F.array_max(name)).cast("int"))
     return joined.select(
         F.col("id").alias(key), F.col("said").alias("declared"), "host", pick("post").alias("language"), F.array_max("post").alias("confidence"),

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.columns import OWN, spaced_words, text_or_empty
+from tallyfold.llm.columns import OWN, settled, spaced_words, text_or_empty
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT, MAX_MEAN_WORD = 30, 50, 40
@@ -73,7 +73,7 @@ def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
         (F.size(n("lines")) - F.size(F.array_distinct(n("lines")))).cast("long").alias("n_dup_lines"),
         F.coalesce(_covered(n("starts"), 3), F.lit(0)).cast("long").alias("n_repeat_words"),
     )
-    return df.withColumn(OWN + "m", measured).drop(*(OWN + x for x in ("words", "n", "keys", "lines", "pairs", "starts")))
+    return settled(df, OWN + "m", measured).drop(*(OWN + x for x in ("words", "n", "keys", "lines", "pairs", "starts")))
 
 
 def fail_mask(measures: Column) -> Column:
@@ -117,11 +117,5 @@ def ablations(book: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
 
 
 def keep_clean(df: DataFrame, text: str = "text", policy: str = DEFAULT_POLICY) -> DataFrame:
-    """The rows of ``df`` that ``policy`` keeps, with the columns of ``df``.
-
-    The verdict is a generator of one row or none: a filter would be pushed below the steps of the
-    measurement and repeat each of them wherever it is used.
-    """
-    judged = with_measures(df, text).withColumn(OWN + "mask", fail_mask(F.col(OWN + "m")))
-    one = F.when(rejected(F.col(OWN + "mask"), policy), F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))
-    return judged.select(*df.columns, F.explode(one).alias(OWN + "one")).drop(OWN + "one")
+    """The rows of ``df`` that ``policy`` keeps, with the columns of ``df``."""
+    return with_measures(df, text).where(~rejected(fail_mask(F.col(OWN + "m")), policy)).select(*df.columns)

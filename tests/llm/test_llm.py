@@ -447,3 +447,12 @@ def test_words_agree(spark, hard):
     got = hard.select("text", columns.alnum_words(F.col("text")).alias("a"), columns.spaced_words(F.col("text")).alias("s")).collect()
     for r in got:
         assert r["a"] == ALNUM.findall((r["text"] or "").translate(LOWER)) and r["s"] == SPACED.findall(r["text"] or "")
+
+
+def test_results_can_be_filtered(spark, docs):
+    """Planning a filter on a result must not repeat the steps it is made of."""
+    for name in ("op2_decontaminate", "op5_url_filter", "op6_language_id", "op8_quality_rules"):
+        got = queries.QUERIES[name](spark, DATA)
+        column = {"op2_decontaminate": "contaminated", "op5_url_filter": "verdict"}.get(name, "kept")
+        some = got.where(F.col(column).cast("string").isin("true", "block"))
+        assert 0 < some.count() <= got.count()
