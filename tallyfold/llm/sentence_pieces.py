@@ -8,8 +8,8 @@ last tokens is then read backwards for the ids. The work is linear in the text's
 priority queue, whatever the length of an unbroken run.
 
 No piece of such a model holds a space mark after another character, so a text falls apart before runs
-of marks and each part is encoded by itself; parts that come again are remembered, in a table of bounded
-size. Decoding turns ids back by the same model.
+of marks, and at line ends if no piece holds one, and each part is encoded by itself; parts that come
+again are remembered, in a table of bounded size. Decoding turns ids back by the same model.
 
 Null and empty texts have no ids and decode to the empty text. Very long texts are encoded whole.
 Repeated rows give repeated results; an empty table gives an empty one. Other columns are not touched.
@@ -64,6 +64,7 @@ class PieceModel:
                 self.raw.append(shown.encode())
         self.marked = {i for p, i in self.ids.items() if p.startswith(MARK)}
         self.splits = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
+        self.lines = not any("\n" in p for p in self.ids)
         self.tokens = dict(enumerate(p.piece for p in pieces))
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
@@ -128,7 +129,8 @@ class PieceModel:
         if not text:
             return []
         if self.splits and "  " not in text and MARK not in text and text[0] != " ":
-            cut = (MARK + text).replace(" ", " " + MARK).split(" ")
+            cut = (MARK + text).replace(" ", " " + MARK)
+            cut = (cut.replace("\n", " \n ") if self.lines else cut).split(" ")
         elif self.splits:
             cut = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+$", (MARK + text).replace(" ", MARK))
         else:
