@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Runs without ASCII white space.
@@ -46,3 +46,14 @@ def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
     made of, wherever the filter names it; through a generator, here of one row for each row, none is pushed.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+#: Bytes of a batch of texts on its way to Python; Spark's own bound is eight times that, for each task at once.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by ``BATCH_BYTES``, unless their bound was chosen already."""
+    if spark.conf.get(_BATCH) == f"{64 << 20}b":
+        spark.conf.set(_BATCH, f"{BATCH_BYTES}b")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.columns import settled
+from tallyfold.llm.columns import settled, small_batches
 from tallyfold.llm.sampling import sampled_texts, without
 from tallyfold.llm.url_filter import host_of, url_rest
 from tallyfold.plans.storage import write_table
@@ -95,6 +95,7 @@ def text_model(labelled: DataFrame, label: str = "lang", key: str = "doc_id", te
 
 def identify(rows: DataFrame, key: str, text: Column, declared: Column, host: Column, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """key, declared, host, language, confidence and text_language for each row."""
+    small_batches(rows.sparkSession)
     langs, logs = model
     langs = [*langs, UNKNOWN]
     weights = np.ascontiguousarray(np.vstack([logs, np.full((1, BUCKETS), -np.log(BUCKETS))]).T.astype(np.float32))

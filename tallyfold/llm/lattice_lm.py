@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.columns import LOWER, UPPER, crc_of_id
+from tallyfold.llm.columns import LOWER, UPPER, crc_of_id, small_batches
 from tallyfold.llm.sentence_pieces import MARK, piece_model
 from tallyfold.plans.storage import write_table
 
@@ -188,6 +188,7 @@ def frequent_words(words: DataFrame, most: int) -> DataFrame:
 
 def lm_scores(documents: DataFrame, model_path: str, held_out: Column | None = None, doc_id: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) for each row."""
+    small_batches(documents.sparkSession)
     spark = documents.sparkSession
     out = F.pmod(crc_of_id(F.col(doc_id)), F.lit(5)) == 1 if held_out is None else held_out
     texts = documents.select(F.col(doc_id).alias("id"), out.alias("held_out"), F.col(text).cast("string").alias("text"))

@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm.columns import small_batches
 from tallyfold.llm.sampling import BROADCAST_IDS, without
 from tallyfold.operators.components import connected_components
 from tallyfold.plans.storage import write_table
@@ -239,6 +240,7 @@ def near_duplicates(
     block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row; ids are whole numbers."""
+    small_batches(documents.sparkSession)
     rows, bands = bands_for(percent / 100, miss)
     texts = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     schema = "id bigint, n bigint, name binary, bands array<bigint>"

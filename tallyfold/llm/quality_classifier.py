@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.columns import crc_of_id
+from tallyfold.llm.columns import crc_of_id, small_batches
 from tallyfold.llm.sampling import sampled_texts
 
 BUCKETS, SAMPLE, EPOCHS, BATCH, RATE, DECAY, WORDS = 1 << 16, 8000, 12, 64, 0.5, 1e-5, 400_000
@@ -100,6 +100,7 @@ def grade(
     """doc_id, held_out, expected_grade, tail_probability and kept; grades are the distinct ratings in order (at most 32)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches(documents.sparkSession)
     out = F.pmod(crc_of_id(F.col(doc_id)), F.lit(3)) == 1
     marked = ratings.where(F.col(rating).isNotNull() & ~out).select(doc_id, F.col(rating).cast("int").alias("rating"))
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm.columns import small_batches
+
 MARK = "▁"
 #: Parts remembered by a worker, each of at most PART_CHARS characters, and token pairs remembered.
 PARTS, PART_CHARS, PAIRS = 400_000, 48, 300_000
@@ -208,6 +210,7 @@ def encode_decode(df: DataFrame, model_path: str, doc_id: str = "doc_id", text:
     """doc_id, ids and decoded for each row. ``model_path`` is read on the executors."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches(df.sparkSession)
     kind = df.schema[doc_id].dataType
     arrow = to_arrow_type(kind)
     rows = df.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))

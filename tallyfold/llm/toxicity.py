@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.columns import crc_of_id
+from tallyfold.llm.columns import crc_of_id, small_batches
 from tallyfold.llm.sampling import sampled_texts
 
 SAMPLE, LEXICON, WORDS = 12_000, 400, 400_000
@@ -232,6 +232,7 @@ def score(
     """doc_id, held_out, score and predicted for each row; rows that are held out are never learned from."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    small_batches(documents.sparkSession)
     out = F.pmod(crc_of_id(F.col(doc_id)), F.lit(3)) == 1
     lexicon, model = fit(documents, labels, doc_id, text, label, ~out, sample)
 
