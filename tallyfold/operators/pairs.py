@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tallyfold.functions.bits import HASH_BITS, frame_score, hamming
 from tallyfold.functions.paths import base_name, parent_dir
 from tallyfold.functions.text import duration_ok, duration_score, size_ratio_ok, variants, word_score, words
+from tallyfold.plans.storage import write_table
 
 VIDEO_RATIO = 0.6
 
@@ -54,15 +55,28 @@ def music_pairs(tags: DataFrame, threshold: int = 80) -> DataFrame:
     """(src, dst, score) of 0.9 * word score + 0.1 * duration score, for durations that fit.
 
     The duration gives a tenth at most, so below 11 the words decide nothing and no join is selective.
+    Songs with the same words are one list; lists are compared once in either order, then songs meet by list.
     """
     if threshold < 11:
         raise ValueError("a threshold of 11 at least is needed")
     line = F.concat(F.coalesce("artist", F.lit("")), F.lit(" "), F.coalesce("title", F.lit("")))
-    rows = tags.select("scan_seq", F.coalesce(F.col("duration"), F.lit(0)).cast("bigint").alias("duration"), F.lit("").alias("bucket"), words(line).alias("words"))
-    a, b = F.col("l.duration"), F.col("r.duration")
-    near = _word_pairs(rows, (threshold / 100.0 - 0.1) / 0.9, duration_ok(a, b))
-    score = 0.9 * word_score(F.col("l.words"), F.col("r.words")) + 0.1 * duration_score(a, b)
-    return near.select(F.col("l.scan_seq").alias("src"), F.col("r.scan_seq").alias("dst"), score.alias("score")).where(F.col("score") >= threshold / 100.0)
+    rows = tags.select("scan_seq", F.coalesce(F.col("duration"), F.lit(0)).cast("bigint").alias("duration"), words(line).alias("words"))
+    rows = rows.select("scan_seq", "duration", "words", F.array_join("words", " ").alias("list"))
+    least = (threshold / 100.0 - 0.1) / 0.9
+    lists = rows.where(F.size("words") > 0).select(F.col("list").alias("scan_seq"), F.lit("").alias("bucket"), "words").distinct()
+    near = write_table(_word_pairs(lists, least, F.lit(True)), "near_lists")
+    same = lists.select(F.struct(*lists.columns).alias("l"), F.struct(*lists.columns).alias("r"))
+    both = near.union(near.select("r", "l")).union(same)
+    # Scores are the costly part and their rows are short, so they are dealt out by number and not by bytes.
+    parts = int(tags.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = both.repartition(parts, "l", "r").select(F.col("l.scan_seq").alias("x"), F.col("r.scan_seq").alias("y"), word_score(F.col("l.words"), F.col("r.words")).alias("common"))
+    scored = write_table(scored, "word_lists").where(F.col("common") >= least - 1e-9)
+    left = rows.select(F.col("scan_seq").alias("src"), F.col("duration").alias("a"), F.col("list").alias("x"))
+    right = rows.select(F.col("scan_seq").alias("dst"), F.col("duration").alias("b"), F.col("list").alias("y"))
+    a, b = F.col("a"), F.col("b")
+    met = left.join(scored, "x").join(right, "y").where((F.col("src") < F.col("dst")) & duration_ok(a, b))
+    score = 0.9 * F.col("common") + 0.1 * duration_score(a, b)
+    return met.select("src", "dst", score.alias("score")).where(F.col("score") >= threshold / 100.0)
 
 
 def _bands(radius: int) -> list[tuple[int, int]]:

@@ -88,6 +88,28 @@ def test_music(spark):
         pairs.music_pairs(spark.createDataFrame(rows, "scan_seq bigint, artist string, title string, duration bigint"), 5)
 
 
+def test_songs_of_all_parts_equal_nested_loop(spark, tmp_path):
+    from tallyfold import catalog
+    from tests.test_functions import score_spec, words_spec
+
+    rng = np.random.default_rng(6)
+    brand, name = ["Brand#1", "Brand#12", "Brand#13"], ["red rod", "rod red", "old bolt", "cold bolt", "red", ""]
+    rows = [(int(k), str(rng.choice(name)), str(rng.choice(brand)), int(rng.integers(0, 12))) for k in (0, 1, 399, 400, 401, *range(19_930, 20_000))]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    fits = lambda a, b: 0 in (a, b) or min(a, b) >= max(a, b) * 85 // 100
+    time = lambda a, b: 0.0 if 0 in (a, b) else 1.0 if min(a, b) >= max(a, b) * 9 // 10 else 0.5 if min(a, b) >= max(a, b) * 8 // 10 else 0.0
+    want = {}
+    for i, (k, n, b, t) in enumerate(rows):
+        for l, m, c, u in rows[i + 1 :]:
+            score = 0.9 * score_spec(words_spec(f"{b} {n}"), words_spec(f"{c} {m}"), True) + 0.1 * time(t, u)
+            if fits(t, u) and score >= 0.8:
+                want[k, l] = score
+    got = catalog.QUERIES["music_pairs"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {(r["src"], r["dst"]): r["score"] for r in got} == pytest.approx(want)
+    groups_of = {r["scan_seq"]: r["group_id"] for r in catalog.QUERIES["music_groups"](spark, str(tmp_path)).collect()}
+    assert groups_of == union_find(want) and max(groups_of) > 400
+
+
 def members(spark):
     f = files(spark, [("/a/x.txt", 10, 30), ("/a/deep/er/x1.txt", 10, 10), ("/b/long_name.txt", 10, 20), ("/c/y", 7, 5), ("/c/z", 7, 5), ("/c/none", 1, 1)])
     return exact.exact_members(f.withColumn("full_hash", F.col("size").cast("string")))
