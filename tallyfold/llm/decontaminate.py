@@ -88,6 +88,14 @@ def contamination(
     window: int = WINDOW, shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (their ids as sorted texts) and contaminated, for each document row."""
+    return _judged(documents, items, doc_id, text, item_id, item_text, window, shingle, block_rows).drop("__tf_same")
+
+
+def _judged(
+    documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
+    window: int = WINDOW, shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``contamination`` and __tf_same, the text's hash."""
     base = documents.select(F.col(doc_id).alias("doc_id"), text_or_empty(F.col(text)).alias("text")).withColumn("th", F.xxhash64("text"))
     docs = base.select("doc_id", "th", alnum_words(F.col("text")).alias("words")).withColumn("n", F.size("words"))
     windows = write_table(item_windows(items, item_id, item_text, window, shingle), "windows")
@@ -105,10 +113,10 @@ def contamination(
     return every.join(marked, key(every, marked), "left").select(
         every["doc_id"].alias(doc_id), "n_words", F.coalesce(F.col("n_hit"), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
+        F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"), every["th"].alias("__tf_same"),
     )
 
 
 def keep_clean(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``documents`` without an occurrence of an item's window, with their columns; of rows that repeat an id all go if one does."""
-    return without(documents, contamination(documents, items, doc_id, text).where("contaminated"), doc_id)
+    """The rows of ``documents`` without an occurrence of an item's window, with their columns; rows that share an id, or have none, are judged each by its text."""
+    return without(documents, _judged(documents, items, doc_id, text).where("contaminated"), doc_id, F.xxhash64(text_or_empty(F.col(text))))

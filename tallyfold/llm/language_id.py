@@ -158,6 +158,10 @@ def accepted(least: float = LEAST) -> Column:
 
 
 def keep_known(documents: DataFrame, doc_id: str = "doc_id", least: float = LEAST) -> DataFrame:
-    """The documents in a language of the model, with their columns; of rows that repeat an id, all go if one does."""
-    seen = document_languages(documents, text_model(documents, key=doc_id), doc_id).withColumn("kept", accepted(least))
-    return without(documents, write_table(seen.select(doc_id, "kept"), "languages").where("NOT kept"), doc_id)
+    """The documents in a language of the model, with their columns; rows that share an id, or have none, are judged each by itself."""
+    # The hash passes over nulls, so whether a value is null goes in beside it.
+    same = F.xxhash64(*(x for c in ("text", "lang", "source") for x in (F.col(c), F.col(c).isNull())))
+    marked = documents.withColumn("__tf_row", F.struct(F.col(doc_id).alias("id"), same.alias("same")))
+    seen = document_languages(marked, text_model(documents, key=doc_id), "__tf_row").withColumn("kept", accepted(least))
+    seen = seen.select(F.col("__tf_row.id").alias(doc_id), F.col("__tf_row.same").alias("__tf_same"), "kept")
+    return without(documents, write_table(seen, "languages").where("NOT kept"), doc_id, same)

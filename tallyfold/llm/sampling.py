@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.plans.storage import write_table
@@ -22,8 +22,14 @@ def sampled_texts(documents: DataFrame, labelled: DataFrame, key: str, text: str
     return texts.join(F.broadcast(bounded_ids(labelled, key, bound)), key)
 
 
-def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """``rows`` whose ``key`` is not in ``gone``; a list of checked size spares the texts a shuffle."""
-    ids = write_table(gone.select(F.col(key).alias("__tf_id")).distinct(), "gone")
+def without(rows: DataFrame, gone: DataFrame, key: str, same: Column | None = None) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``gone``; a list of checked size spares the texts a shuffle.
+
+    With ``same``, a hash of what a row is judged by, only rows go whose ``key`` and hash are those of a row in ``gone``, which has it as __tf_same.
+    """
+    ids = write_table(gone.select(F.col(key).alias("__tf_id"), *([] if same is None else ["__tf_same"])).distinct(), "gone")
     few = ids.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, rows[key].eqNullSafe(F.col("__tf_id")), "left_anti")
+    met = rows[key].eqNullSafe(F.col("__tf_id"))
+    if same is not None:
+        met = met & (same == F.col("__tf_same"))
+    return rows.join(F.broadcast(ids) if few else ids, met, "left_anti")

@@ -144,6 +144,19 @@ def test_contamination(spark, hard, empty):
     assert kept.columns == df.columns and kept.where("doc_id IN (100, 5)").count() == 0
 
 
+def test_only_rejected_rows_go(spark, docs):
+    bench = spark.createDataFrame([(1, "alpha beta")], "item_id bigint, text string")
+    rows = [(None, "alpha beta"), (None, "clean"), (None, None), (7, "alpha beta"), (7, "also clean"), (8, "clean")]
+    got = decontaminate.keep_clean(spark.createDataFrame(rows, "doc_id bigint, text string"), bench).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [rows[1], rows[2], rows[4], rows[5]]))
+    junk = [(None, "1234", None, None), (5, "1234", None, None)]
+    some = docs.select("doc_id", "text", "lang", "source").withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    some = some.union(spark.createDataFrame(junk, some.schema))
+    judged = language_id.document_languages(some, language_id.text_model(some)).where(language_id.accepted()).count()
+    kept = language_id.keep_known(some)
+    assert kept.count() == judged > 0.9 * docs.count() and kept.where("text = '1234'").count() == 0
+
+
 # --- 3 -------------------------------------------------------------------------------------------
 
 
