@@ -12,8 +12,14 @@ no edge. Repeated rows are judged alike; long html is searched whole; an empty t
 
 from __future__ import annotations
 
+import html as markup
+import re
+from html.entities import html5
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tallyfold.llm.columns import LOWER, UPPER, text_or_empty
 from tallyfold.operators.components import connected_components
@@ -29,7 +35,8 @@ RULES = (
 )
 MAX_RULES = 500
 CANONICAL = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*["'][^"'>]*?\burl\s*=\s*([^"'\s>]+)"""
+REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\bcontent\s*=\s*(?:["'][^"'>]*?\burl\s*=\s*["']?|[^"'\s>]*?\burl=["']?)([^"'\s>]+)"""
+ENTITY = re.compile(r"&(#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]*)(;?)(?=(=?))")
 
 
 def url_rest(url: Column) -> Column:
@@ -77,11 +84,28 @@ def resolved(target: Column, rest: Column) -> Column:
     )
 
 
+def unescaped(value: str) -> str:
+    """An attribute's value without html entities; a name without semicolon before a letter, digit or ``=`` is none."""
+
+    def one(m: re.Match) -> str:
+        name, end, equals = m.groups()
+        known = name.startswith("#") or (name + end in html5 and not (equals and not end))
+        return markup.unescape(m[0]) if known else m[0]
+
+    return ENTITY.sub(one, value)
+
+
+@F.pandas_udf(StringType())
+def _unescaped(values: pd.Series) -> pd.Series:
+    return values.map(unescaped)
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst): url keys that a redirect or a canonical link makes aliases; some name a page itself."""
     page = text_or_empty(F.col(html))
     found = F.array_union(F.regexp_extract_all(page, F.lit(CANONICAL), F.lit(1)), F.regexp_extract_all(page, F.lit(REFRESH), F.lit(1)))
     links = pages.where(F.col(url).isNotNull()).select(F.col(url).cast("string").alias("url"), F.explode(found).alias("target"))
+    links = links.withColumn("target", _unescaped("target"))
     links = links.withColumn("rest", url_rest(F.col("url"))).withColumn("to", resolved(F.col("target"), F.col("rest")))
     return links.select(url_key(F.col("url")).alias("src"), url_key(F.col("to")).alias("dst"))
 

@@ -278,6 +278,26 @@ def test_urls(spark):
     assert url_filter.judge_urls(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "tag",
+    [
+        '<link rel="canonical" href="http://x.example.com/en/1?page=2&amp;ref=x">', "<meta http-equiv=refresh content='0; url=http://x.example.com/en/1?page=2&#38;ref=x'>",
+        """<meta http-equiv="refresh" content="0; url='http://x.example.com/en/1?page=2&ref=x'">""", "<meta http-equiv=refresh content=0;url=http://x.example.com/en/1?page=2&ref=x>",
+        "<meta content=0;url=//x.example.com/en/1?page=2&#x26;ref=x http-equiv=refresh>",
+    ],
+)
+def test_alias_forms(spark, tag):
+    rows = [(1, "http://x.example.com/en/1?page=2&ref=x", ""), (2, "http://y.org/a", tag)]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert {r["page_id"]: r["verdict"] for r in got} == {1: "block", 2: "block"} and len({r["component"] for r in got}) == 1
+
+
+def test_entities():
+    for text, want in (("a&amp;b", "a&b"), ("?a&copy=1&lt&x", "?a&copy=1<&x"), ("&copyright;&nosuch;", "&copyright;&nosuch;"), ("&#x26;&#38", "&&"), ("&&amp", "&&")):
+        assert url_filter.unescaped(text) == want
+    assert not re.search(url_filter.REFRESH, "<meta http-equiv=refresh content=5 data-url=http://z.org>")
+
+
 # --- 6 -------------------------------------------------------------------------------------------
 
 
