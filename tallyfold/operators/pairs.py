@@ -9,6 +9,7 @@ scored in full, with the pair oriented by scan order, on which the greedy word s
 
 from __future__ import annotations
 
+import logging
 import math
 from itertools import combinations
 
@@ -21,6 +22,7 @@ from tallyfold.functions.text import duration_ok, duration_score, size_ratio_ok,
 from tallyfold.plans.storage import write_table
 
 VIDEO_RATIO = 0.6
+LOG = logging.getLogger(__name__)
 
 
 def _word_pairs(rows: DataFrame, least: float, residual: Column, similar: bool = True) -> DataFrame:
@@ -36,16 +38,20 @@ def _word_pairs(rows: DataFrame, least: float, residual: Column, similar: bool =
     return left.join(right, ["bucket", "key"]).where((F.col("l.scan_seq") < F.col("r.scan_seq")) & residual).select("l", "r").distinct()
 
 
-def name_pairs(files: DataFrame, threshold: int = 80, same_dir: bool = True, max_bucket: int | None = 3000, name: Column | None = None) -> DataFrame:
+def name_pairs(files: DataFrame, threshold: int = 80, same_dir: bool = True, max_bucket: int | None = None, name: Column | None = None) -> DataFrame:
     """(src, dst, score) with size ratio and word score at least threshold / 100.
 
-    ``max_bucket`` leaves out folders (or, over all folders, the whole) with more files; None has no such limit.
+    ``max_bucket`` (3000 for parity) leaves out folders (or, over all folders, the whole) with more files and logs them; None has no such limit.
     """
     rows = files.select(
         "scan_seq", F.col("size"), (parent_dir(F.col("path")) if same_dir else F.lit("")).alias("bucket"), words(base_name(F.col("path")) if name is None else name).alias("words")
     )
     if max_bucket is not None:
-        rows = rows.join(rows.groupBy("bucket").count().where(F.col("count") <= max_bucket).select("bucket"), "bucket", "left_semi")
+        counts = rows.groupBy("bucket").count()
+        gone = counts.where(F.col("count") > max_bucket).agg(F.count("*").alias("folders"), F.sum("count").alias("files")).first()
+        if gone["folders"]:
+            LOG.warning("names of %d files in %d folders of more than %d files are not compared", gone["files"], gone["folders"], max_bucket)
+        rows = rows.join(counts.where(F.col("count") <= max_bucket).select("bucket"), "bucket", "left_semi")
     near = _word_pairs(rows, threshold / 100.0, size_ratio_ok(F.col("l.size"), F.col("r.size")))
     scored = near.select(F.col("l.scan_seq").alias("src"), F.col("r.scan_seq").alias("dst"), word_score(F.col("l.words"), F.col("r.words")).alias("score"))
     return scored.where(F.col("score") >= threshold / 100.0)

@@ -38,7 +38,7 @@ class ScanOptions:
     fuzzy_filename: bool = False
     fuzzy_threshold: int = 80
     fuzzy_same_dir_only: bool = True
-    max_bucket: int | None = 3000
+    max_bucket: int | None = None
     similar_images: bool = False
     image_threshold: int = 10
     music_dedup: bool = False

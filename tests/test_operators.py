@@ -80,6 +80,14 @@ def test_fuzzy_case_and_bucket_limit(spark):
     assert pairs.name_pairs(f, 60, max_bucket=3).count() == 0
 
 
+def test_large_folders_are_compared(spark, caplog):
+    f = files(spark, [(f"/d/{'abcdefghijklmnop'[i % 16]}{i * 7919 + 10**6}.txt", 5 ** (i % 9), 0) for i in range(3000)] + [("/d/quarterly report.txt", 5, 0), ("/d/report quarterly.txt", 5, 0)])
+    assert ScanOptions().max_bucket is None
+    assert (3000, 3001) in {(r["src"], r["dst"]) for r in pairs.name_pairs(f, 90, max_bucket=ScanOptions().max_bucket).collect()}
+    assert not caplog.records and pairs.name_pairs(f, 90, max_bucket=3000).count() == 0
+    assert "3002 files in 1 folders" in caplog.text
+
+
 def test_music(spark):
     rows = [(0, "周杰伦", "晴天", 269), (1, "周杰伦", "晴天", 269), (2, "林俊杰", "江南", 300)]
     got = pairs.music_pairs(spark.createDataFrame(rows, "scan_seq bigint, artist string, title string, duration bigint"), 80).collect()
