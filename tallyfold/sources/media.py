@@ -1,10 +1,11 @@
 """Media features by path (S9-S12): decoders are passed in, as none is part of the base installation.
 
-A decoder that is missing or fails gives null, and the file drops out of that comparison.
+A file on which a decoder fails drops out of that comparison; a package that a decoder misses is an error.
 """
 
 from __future__ import annotations
 
+import importlib
 import os
 import shutil
 import subprocess
@@ -56,13 +57,19 @@ def ffmpeg_frames(path: str, ffmpeg: str) -> np.ndarray:
     return np.frombuffer(raw[: n * FRAME * FRAME], np.uint8).reshape(n, FRAME, FRAME)
 
 
-def _features(files: DataFrame, extensions: tuple[str, ...], fields: str, read: Callable[[str], tuple]) -> DataFrame:
+def _features(files: DataFrame, extensions: tuple[str, ...], fields: str, read: Callable[[str], tuple], needs: str = "") -> DataFrame:
+    """``read`` of each file; ``needs`` names the module that it imports."""
+
     def done(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            if needs and len(batch):
+                importlib.import_module(needs)
             out = []
             for seq, path in zip(batch["scan_seq"], batch["path"]):
                 try:
                     got = read(path)
+                except ImportError:
+                    raise
                 except Exception:  # noqa: BLE001  a broken file is not an error of the scan
                     got = None
                 if got is not None:
@@ -80,12 +87,12 @@ def image_hashes(files: DataFrame, decode: Callable[[str], np.ndarray] = pillow_
         got = phash(decode(path))
         return None if got is None else (got,)
 
-    return _features(files, IMAGE_EXTENSIONS, "phash bigint", read)
+    return _features(files, IMAGE_EXTENSIONS, "phash bigint", read, "PIL.Image" if decode is pillow_gray else "")
 
 
 def music_tags(files: DataFrame, read_tags: Callable[[str], tuple | None] = mutagen_tags) -> DataFrame:
     """(scan_seq, artist, title, album, duration) of the music files with tags."""
-    return _features(files, MUSIC_EXTENSIONS, "artist string, title string, album string, duration bigint", read_tags)
+    return _features(files, MUSIC_EXTENSIONS, "artist string, title string, album string, duration bigint", read_tags, "mutagen" if read_tags is mutagen_tags else "")
 
 
 def video_signatures(files: DataFrame, ffmpeg: str = "", frames: Callable[[str], np.ndarray] | None = None) -> DataFrame:

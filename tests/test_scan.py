@@ -92,6 +92,23 @@ def test_similar_and_tools(spark, tmp_path):
     assert done == {"empty_dir": True} and not (tmp_path / "empty_dir").exists()
 
 
+def test_missing_decoder_fails(spark, tmp_path):
+    from tallyfold.sources import media
+
+    def absent(path):
+        import no_such_decoder  # noqa: F401
+
+    def broken(path):
+        raise OSError(path)
+
+    put(tmp_path, a_dot_png=b"1", b_dot_mp3=b"2", c_dot_mp4=b"3")
+    found = scan_files(spark, ScanOptions(paths=(str(tmp_path),)))
+    for read in (lambda f: media.image_hashes(found, f), lambda f: media.music_tags(found, f), lambda f: media.video_signatures(found, frames=f)):
+        with pytest.raises(Exception, match="no_such_decoder"):
+            read(absent).collect()
+        assert read(broken).count() == 0
+
+
 def items(spark, *rows):
     out = []
     for path, reference in rows:
