@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions import bits, display, paths, text
-from tallyfold.operators import actions, cache, exact, groups, pairs, selection, tools
+from tallyfold.operators import actions, cache, exact, groups, pairs, selection, tools, word_join
 from tallyfold.operators.components import connected_components
-from tallyfold.operators.filters import filter_files, remaining
+from tallyfold.operators.filters import filter_files, has_extension, remaining
 from tallyfold.plans.options import ScanOptions
 from tallyfold.plans.storage import write_table
 from tallyfold.sources import tables as t
@@ -164,14 +164,13 @@ c AS (SELECT a.scan_seq AS src, b.scan_seq AS dst, a.ws AS x, b.ws AS y FROM w a
 p AS (SELECT * FROM (SELECT src, dst, {_score_sql("x", "y")} AS score FROM c) WHERE score >= {level})"""
 
 
-def _names(spark: SparkSession, d: str, same_dir: bool) -> DataFrame:
-    f = t.pages_names(spark, d)
-    return pairs.name_pairs(f, 60 if same_dir else 80, same_dir, None, None if same_dir else F.col("path"))
+def _names(spark: SparkSession, d: str, same_dir: bool, join: Callable = pairs.name_links) -> DataFrame:
+    return join(t.pages_names(spark, d), 60 if same_dir else 80, same_dir, None, None if same_dir else F.col("path"))
 
 
 @query("fuzzy_pairs", f"WITH {_name_pairs_sql(0.8, False)} SELECT src, dst, score FROM p")
 def _(spark, d):
-    return _names(spark, d, False)
+    return _names(spark, d, False, pairs.name_pairs)
 
 
 def _components(pair_rows: DataFrame) -> DataFrame:
@@ -197,9 +196,8 @@ SELECT src, dst, score FROM (SELECT src, dst, CAST(2.0 AS DOUBLE) * common / (le
 )
 def _(spark, d):
     p = t.table(spark, d, "part").select(F.col("p_partkey").alias("scan_seq"), F.col("p_type").alias("bucket"), text.words(F.col("p_name")).alias("words"))
-    near = pairs._word_pairs(p, 0.8, F.lit(True), similar=False)
-    out = near.select(F.col("l.scan_seq").alias("src"), F.col("r.scan_seq").alias("dst"), text.word_score(F.col("l.words"), F.col("r.words"), False).alias("score"))
-    return out.where("score >= 0.8")
+    lists, members = word_join.word_lists(p)
+    return word_join.met_members(members, word_join.scored_lists(lists, 0.8, similar=False)).where("score >= 0.8")
 
 
 HASH_SQL = """eh AS (SELECT vec_id AS scan_seq, list_reduce([CAST(0 AS BIGINT)] || list_transform(ac, lambda v, i: CASE WHEN v > mean THEN CAST(1 AS BIGINT) << CAST(i - 1 AS BIGINT) ELSE 0 END), lambda x, y: x | y) AS phash
@@ -221,10 +219,10 @@ def _(spark, d):
 
 @query("image_groups", _groups_sql(_HAMMING))
 def _(spark, d):
-    return _components(pairs.hash_pairs(t.emb_hashes(spark, d), RADIUS))
+    return _components(pairs.hash_links(t.emb_hashes(spark, d), RADIUS))
 
 
-_MUSIC = f"""s AS (SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS dur, {WORDS.format("p_brand || ' ' || p_name")} AS ws FROM part WHERE p_partkey < 400),
+_MUSIC = f"""s AS (SELECT p_partkey AS k, CAST(p_size AS BIGINT) AS dur, {WORDS.format("p_brand || ' ' || p_name")} AS ws FROM part),
 c AS (SELECT a.k AS src, b.k AS dst, a.ws AS x, b.ws AS y, least(a.dur, b.dur) AS lo, greatest(a.dur, b.dur) AS hi FROM s a JOIN s b ON a.k < b.k AND (a.dur = 0 OR b.dur = 0 OR least(a.dur, b.dur) >= greatest(a.dur, b.dur) * 85 // 100)),
 p AS (SELECT * FROM (SELECT src, dst, CAST(0.9 AS DOUBLE) * ({_score_sql("x", "y")}) + CAST(0.1 AS DOUBLE) * (CASE WHEN lo = 0 THEN 0.0 WHEN lo >= hi * 9 // 10 THEN 1.0 WHEN lo >= hi * 8 // 10 THEN 0.5 ELSE 0.0 END) AS score FROM c) WHERE score >= 0.8)"""
 
@@ -236,10 +234,10 @@ def _(spark, d):
 
 @query("music_groups", _groups_sql(_MUSIC))
 def _(spark, d):
-    return _components(pairs.music_pairs(t.part_songs(spark, d), 80))
+    return _components(pairs.music_links(t.part_songs(spark, d), 80))
 
 
-_VIDEOS = f"""{HASH_SQL}, v AS (SELECT 2 * (scan_seq // 20) + k AS scan_seq, list(phash ORDER BY scan_seq) AS sig FROM eh, (VALUES (0), (1)) t(k) WHERE scan_seq % 20 BETWEEN 3 * k AND 3 * k + 9 GROUP BY ALL)"""
+_VIDEOS = f"""{HASH_SQL}, v AS (SELECT 2 * (scan_seq // 20) + k AS scan_seq, list(phash ORDER BY scan_seq) AS sig FROM eh, (VALUES (0), (1)) t(k) WHERE scan_seq % 20 BETWEEN 5 * k AND 5 * k + 14 GROUP BY ALL)"""
 _SHARE = "CAST(len(list_filter({0}, lambda p: len(list_filter({1}, lambda q: bit_count(xor(p, q)) <= " + str(RADIUS) + ")) > 0)) AS DOUBLE) / len({0})"
 _VPAIRS = f"""{_VIDEOS.replace("2 * (scan_seq // 20) + k AS scan_seq", "2 * (scan_seq // 20) + k AS vid")},
 p AS (SELECT * FROM (SELECT a.vid AS src, b.vid AS dst, ({_SHARE.format("a.sig", "b.sig")} + {_SHARE.format("b.sig", "a.sig")}) / 2.0 AS score FROM v a JOIN v b ON a.vid < b.vid) WHERE score >= 0.6)"""
@@ -252,7 +250,7 @@ def _(spark, d):
 
 @query("video_groups", _groups_sql(_VPAIRS))
 def _(spark, d):
-    return _components(pairs.video_pairs(t.emb_videos(spark, d), RADIUS))
+    return _components(pairs.video_links(t.emb_videos(spark, d), RADIUS))
 
 
 @query("sig_roundtrip", f"""WITH {_VIDEOS.replace("2 * (scan_seq // 20) + k AS scan_seq", "2 * (scan_seq // 20) + k AS vid")} SELECT vid AS scan_seq, list_aggregate(list_transform(sig, lambda x: lpad(lower(to_hex(x)), 16, '0')), 'string_agg', ',') AS shown, true AS same FROM v""")
@@ -386,3 +384,101 @@ def _(spark, d):
     now = t.files_docs(spark, d).where(s != 3).select("path", (F.col("size") + F.when(s == 1, 1).otherwise(0)).alias("size"), (F.col("modified") + F.when(s == 2, 1).otherwise(0)).alias("modified"))
     items = actions.gate(selection.checked_items(selection.default_selection(_rows(spark, d))), "hardlink")
     return actions.plan_actions(items, now, "hardlink").select("path", "reference", "action", "state")
+
+
+@query("cache_hits", f"WITH {_SC} SELECT count(sc.path) AS cache_hits FROM fd LEFT JOIN sc ON sc.path = fd.path AND sc.size = fd.size AND sc.mtime = fd.modified")
+def _(spark, d):
+    return cache.hits(cache.lookup(t.files_docs(spark, d).drop("full_hash"), t.scan_cache(spark, d), "full_hash"))
+
+
+# --- views and selections that no list above covers ----------------------------------------------
+
+
+@query(
+    "nested_groups",
+    f"""WITH {_rk()}, s AS ({_SUMMARY}) SELECT s.group_id, 'exact' AS kind, s.file_size, s.reclaimable, rk.pos AS at, rk.path, rk.size FROM s JOIN rk USING (group_id)""",
+)
+def _(spark, d):
+    rows = groups.nested(_members(spark, d))
+    at = F.posexplode("files").alias("at", "f")
+    return rows.select("group_id", "kind", "file_size", "reclaimable", "page", at).select("group_id", "kind", "file_size", "reclaimable", (F.col("at") + F.col("page") * groups.PAGE).alias("at"), "f.path", "f.size")
+
+
+_GONE = "(pos > 0 AND size % 2 = 0)"
+
+
+@query(
+    "after_delete",
+    f"""WITH {_rk()}, l AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY pos) - 1 AS at, count(*) OVER (PARTITION BY group_id) AS n FROM rk WHERE NOT {_GONE})
+SELECT group_id, path, at AS pos, at > 0 AS checked FROM l WHERE n > 1""",
+)
+def _(spark, d):
+    rows = selection.default_selection(_rows(spark, d))
+    done = rows.where("pos > 0").select("path", (F.col("size") % 2 == 0).alias("ok"))
+    return selection.after_actions(rows, done, "delete").select("group_id", "path", F.col("pos").cast("bigint").alias("pos"), "checked")
+
+
+@query("checked_count", f"WITH {_rk()} SELECT count(*) AS n_checked FROM rk WHERE pos > 0")
+def _(spark, d):
+    return selection.checked_count(selection.default_selection(_rows(spark, d)))
+
+
+for _name, _change, _w in (
+    ("select_all_visible", selection.select_all, "pos > 0 OR contains(path, '.txt')"), ("select_none_visible", selection.select_none, "pos > 0 AND NOT contains(path, '.txt')"),
+    ("invert_visible", selection.invert, "CASE WHEN contains(path, '.txt') THEN pos = 0 ELSE pos > 0 END"),
+):
+    query(_name, f"WITH {_rk()} SELECT group_id, path, {_w} AS checked FROM rk")(
+        lambda spark, d, f=_change: f(selection.default_selection(_rows(spark, d)), F.col("path").contains(".txt")).select(*_CHECKED)
+    )
+
+
+@query("toggle_first_group", f"WITH {_rk()} SELECT group_id, path, pos > 0 OR group_id = (SELECT min(group_id) FROM rk) AS checked FROM rk")
+def _(spark, d):
+    rows = selection.default_selection(_rows(spark, d))
+    return selection.toggle_group(rows, rows.agg(F.min("group_id")).first()[0]).select(*_CHECKED)
+
+
+@query("toggle_last_file", f"WITH {_rk()} SELECT group_id, path, (pos > 0) <> (path = (SELECT max(path) FROM rk)) AS checked FROM rk")
+def _(spark, d):
+    rows = selection.default_selection(_rows(spark, d))
+    last = rows.agg(F.max_by(F.struct("group_id", "path"), "path")).first()[0]
+    return selection.toggle_file(rows, last["group_id"], last["path"]).select(*_CHECKED)
+
+
+@query("status_labels", f"WITH {_rk()} SELECT group_id, path, CASE WHEN pos > 0 THEN '删除' ELSE '保留' END AS status FROM rk")
+def _(spark, d):
+    return selection.default_selection(_rows(spark, d)).select("group_id", "path", display.status_label(F.col("checked")).alias("status"))
+
+
+@query("tool_rows_of_kind", f"WITH {FD} SELECT '大文件' AS label, path, size FROM fd WHERE size > 0 ORDER BY size DESC, scan_seq LIMIT 50")
+def _(spark, d):
+    f = t.files_docs(spark, d)
+    both = tools.big_files(f, 50).unionByName(tools.temp_files(f))
+    return tools.tools_of_kind(both, "big_file").select(display.tool_label(F.col("kind")).alias("label"), "path", "size")
+
+
+@query("hash_codec", f"WITH {FD} SELECT path, full_hash AS shown, 32 AS n_bytes FROM fd")
+def _(spark, d):
+    raw = t.files_docs(spark, d).select("path", bits.hash_of_hex(F.col("full_hash")).alias("raw"))
+    return raw.select("path", bits.hash_hex(F.col("raw")).alias("shown"), F.octet_length("raw").alias("n_bytes"))
+
+
+@query("files_of_type", f"WITH {FD} SELECT path FROM fd WHERE coalesce({_EXT} IN ('html', 'md'), false)")
+def _(spark, d):
+    return t.files_docs(spark, d).where(has_extension(F.col("path"), ("HTML", "md"))).select("path")
+
+
+@query(
+    "comparable_songs",
+    """WITH s AS (SELECT p_partkey AS scan_seq, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS artist, CASE WHEN p_partkey % 2 = 0 THEN '  ' ELSE p_name END AS title FROM part)
+SELECT scan_seq FROM s WHERE trim(coalesce(artist, '')) <> '' OR trim(title) <> ''""",
+)
+def _(spark, d):
+    k = F.col("scan_seq")
+    songs = t.part_songs(spark, d).withColumns({"artist": F.when(k % 3 > 0, F.col("artist")), "title": F.when(k % 2 == 0, "  ").otherwise(F.col("title"))})
+    return songs.where(text.comparable_tag(F.col("artist"), F.col("title"))).select("scan_seq")
+
+
+@query("action_sample", f"WITH {_rk()} SELECT group_id, path FROM rk WHERE pos > 0 ORDER BY group_id, pos LIMIT 5")
+def _(spark, d):
+    return actions.sample(selection.checked_items(selection.default_selection(_rows(spark, d)))).select("group_id", "path")

@@ -1,8 +1,9 @@
 """Connected components over an edge table (G1): alternating large-star and small-star steps.
 
 Each step is a grouped minimum joined back to the edges, so no neighbourhood is ever gathered into one
-row or one task; a hub with a third of all edges costs one partial aggregate and one join that adaptive
-execution can split. The edge set is written to the shared folder after each round.
+row or one task. The minima, a row a node, are written before the join: a small table is then broadcast
+by its size, and beyond that both sides of the join are plain scans, which adaptive execution splits
+where a hub has many of the edges. The edge set is written to the shared folder after each round.
 """
 
 from __future__ import annotations
@@ -13,19 +14,29 @@ from pyspark.sql import functions as F
 from tallyfold.plans.storage import drop_table, write_table
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def lowest_joined(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Edges (a, b) with the least neighbour m of a, from a written table (a, m)."""
+    return edges.join(low, "a")
+
+
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The step's edges and the table of minima that they read."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return (
-        both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    )
+    low = write_table(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "low")
+    return lowest_joined(both.where("b > a"), low).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), low
+
+
+def _small_star(down: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As ``_large_star``, for edges whose a is the greater end."""
+    low = write_table(down.groupBy("a").agg(F.min("b").alias("m")), "low")
+    moved = lowest_joined(down, low).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), low
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+def _settled(edges: DataFrame) -> bool:
+    """Whether every a names one b and no b is an a, so that both steps would change nothing."""
+    ends = edges.select("a", F.lit(1).alias("n"), F.lit(False).alias("low")).union(edges.select(F.col("b").alias("a"), F.lit(0).alias("n"), F.lit(True).alias("low")))
+    return ends.groupBy("a").agg(F.sum("n").alias("n"), F.max("low").alias("low")).where("n > 1 OR (n > 0 AND low)").isEmpty()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -40,14 +51,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         .distinct(),
         "cc",
     )
-    state = None
     for _ in range(max_rounds):
-        seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if (seen["n"], seen["h"]) == state or not seen["n"]:
+        if _settled(now):
             break
-        state = (seen["n"], seen["h"])
-        after = write_table(_small_star(_large_star(now)), "cc")
-        drop_table(now)
+        large, low = _large_star(now)
+        wide = write_table(large, "cc")
+        small, below = _small_star(wide)
+        after = write_table(small, "cc")
+        for done in (now, low, wide, below):
+            drop_table(done)
         now = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")

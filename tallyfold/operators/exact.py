@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.operators.groups import keep_key
+from tallyfold.plans.storage import write_table
 
 #: From this size on the partial hash is of the size, the head and the tail.
 LARGE, EDGE = 65_536, 4_096
@@ -33,6 +34,11 @@ def full_hash(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def of_repeated(files: DataFrame, *keys: str) -> DataFrame:
+    """The files whose keys repeat; the keys are written first, for a split of hot ones as in ``exact_members``."""
+    return files.join(write_table(repeated(files, *keys).select(*keys), "repeated"), list(keys), "left_semi")
+
+
 def repeated(files: DataFrame, *keys: str) -> DataFrame:
     """A1-A3: key values that two files or more have, with ``n``."""
     return files.groupBy(*keys).agg(F.count(keys[-1]).alias("n")).where("n > 1")
@@ -50,15 +56,15 @@ def exact_summary(files: DataFrame, strategy: str = "oldest", full: str = "full_
 def exact_members(files: DataFrame, full: str = "full_hash") -> DataFrame:
     """Files with another of equal size and hash, with group_id and kind; a null hash (unreadable) is in no group.
 
-    ``files`` is read twice: where the hash is an expression over contents, write the short rows first.
+    ``files`` is read twice: where the hash is an expression over contents, write the short rows first. The groups
+    are written before they are joined back, so that a group with a third of all files can be split.
     """
     groups = files.groupBy("size", full).agg(F.count(full).alias("__n"), F.min("scan_seq").alias("group_id")).where("__n > 1").drop("__n")
+    groups = write_table(groups, "exact_groups")
     return files.join(groups, ["size", full]).withColumn("kind", F.lit("exact"))
 
 
 def funnel(files: DataFrame, partial: Callable[[DataFrame], DataFrame], full: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Exact members of files that are read by path. ``partial`` and ``full`` add a hash column of that name + ``_hash``."""
-    same_size = files.join(repeated(files, "size").select("size"), "size", "left_semi")
-    halved = partial(same_size)
-    same_part = halved.join(repeated(halved, "size", "partial_hash").select("size", "partial_hash"), ["size", "partial_hash"], "left_semi")
-    return exact_members(full(same_part))
+    halved = write_table(partial(of_repeated(files, "size")), "partial")
+    return exact_members(write_table(full(of_repeated(halved, "size", "partial_hash")), "full"))

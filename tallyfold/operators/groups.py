@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FILE = ("path", "size", "modified", "created")
+#: Files of a group in one nested row.
+PAGE = 10_000
 
 
 def keep_order(strategy: str) -> list[Column]:
@@ -37,18 +39,22 @@ def ranked(members: DataFrame, strategy: str = "oldest") -> DataFrame:
     return members.withColumn("pos", F.row_number().over(Window.partitionBy("kind", "group_id").orderBy(*keep_order(strategy))) - 1)
 
 
-def nested(members: DataFrame, strategy: str = "oldest") -> DataFrame:
-    """Groups as rows: files in keep order, kind, file_size and reclaimable, largest gain first (O1, O2)."""
-    rows = ranked(members, strategy).groupBy("group_id", "kind").agg(F.array_sort(F.collect_list(F.struct("pos", *FILE))).alias("f"))
+def nested(members: DataFrame, strategy: str = "oldest", page: int = PAGE) -> DataFrame:
+    """Groups as rows: files in keep order, kind, file_size and reclaimable, largest gain first (O1, O2).
+
+    A display form: a group of more than ``page`` files has a row for each page of so many, numbered from 0, so no
+    row grows with a group. ``members`` is the form to compute with.
+    """
+    rows = ranked(members, strategy).withColumn("page", F.floor(F.col("pos") / page))
+    rows = rows.groupBy("group_id", "kind", "page").agg(F.array_sort(F.collect_list(F.struct("pos", *FILE))).alias("f"))
     files = F.transform("f", lambda x: F.struct(*(x[c].alias(c) for c in FILE)))
-    rows = rows.select("group_id", "kind", files.alias("files")).withColumn("file_size", F.col("files")[0]["size"])
-    gain = F.aggregate("files", F.lit(0).cast("bigint"), lambda s, x: s + x["size"]) - F.col("file_size")
-    return by_gain(rows.withColumn("reclaimable", gain))
+    rows = rows.select("group_id", "kind", "page", files.alias("files"))
+    return by_gain(rows.join(group_summary(members, strategy).select("group_id", "kind", "file_size", "reclaimable"), ["group_id", "kind"]))
 
 
 def by_gain(groups: DataFrame) -> DataFrame:
     """O2 with ties by kind and id."""
-    return groups.orderBy(F.desc("reclaimable"), "kind", "group_id")
+    return groups.orderBy(F.desc("reclaimable"), "kind", "group_id", *(["page"] if "page" in groups.columns else []))
 
 
 def of_kind(groups: DataFrame, kind: str = "all") -> DataFrame:

@@ -1,10 +1,11 @@
 """Similarity joins (J3-J6) without all-pairs loops.
 
-Words: two words that count as equal or near share a deletion variant, and a pair of names at the
-threshold must share one among the first ``m - need + 1`` words of the earlier name, whichever order they
-are put in; long words go first, as they are rare. Hashes: of ``radius // 3 + 1`` bands one must be within
-two bits, so one side lists those neighbours of each band. Both are lossless; every candidate is then
-scored in full, with the pair oriented by scan order, on which the greedy word score depends.
+Names and songs meet through the word join, equal word lists as one. Hashes: of the bands one must be
+within a few bits, so one side lists those neighbours of each band; distinct hashes meet, not rows. All
+are lossless; every candidate is then scored in full, oriented by scan order where the score depends on it.
+
+``*_pairs`` list every pair. ``*_links`` list edges whose components are those of the pairs: what is equal
+for the score is one node with an edge to each of its rows, so a million copies give a million edges.
 """
 
 from __future__ import annotations
@@ -13,126 +14,262 @@ import logging
 import math
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.bits import HASH_BITS, frame_score, hamming
 from tallyfold.functions.paths import base_name, parent_dir
-from tallyfold.functions.text import duration_ok, duration_score, size_ratio_ok, variants, word_score, words
+from tallyfold.functions.text import duration_ok, duration_score, size_ratio_ok, words
+from tallyfold.operators.word_join import met_members, scored_lists, word_lists
 from tallyfold.plans.storage import write_table
 
 VIDEO_RATIO = 0.6
 LOG = logging.getLogger(__name__)
 
 
-def _word_pairs(rows: DataFrame, least: float, residual: Column, similar: bool = True) -> DataFrame:
-    """Candidates (l, r) of rows (scan_seq, bucket, words, ...), l before r in scan order, each once."""
-    m = F.size("words")
-    need = F.ceil(m * (least / (2.0 - least)) - 1e-9)
-    long_first = F.array_sort("words", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    some = rows.where(m > 0)
-    keys = (lambda w: F.array_distinct(F.flatten(F.transform(w, variants)))) if similar else F.array_distinct
-    packed = F.struct(*rows.columns)
-    left = some.select(packed.alias("l"), "bucket", F.explode(keys(F.slice(long_first, F.lit(1), F.greatest(F.lit(1), m - need + 1)))).alias("key"))
-    right = some.select(packed.alias("r"), "bucket", F.explode(keys(F.col("words"))).alias("key"))
-    return left.join(right, ["bucket", "key"]).where((F.col("l.scan_seq") < F.col("r.scan_seq")) & residual).select("l", "r").distinct()
-
-
-def name_pairs(files: DataFrame, threshold: int = 80, same_dir: bool = True, max_bucket: int | None = None, name: Column | None = None) -> DataFrame:
-    """(src, dst, score) with size ratio and word score at least threshold / 100.
-
-    ``max_bucket`` (3000 for parity) leaves out folders (or, over all folders, the whole) with more files and logs them; None has no such limit.
-    """
+def _named(files: DataFrame, same_dir: bool, max_bucket: int | None, name: Column | None) -> DataFrame:
+    """(scan_seq, size, bucket, words) of the files that are compared."""
     rows = files.select(
         "scan_seq", F.col("size"), (parent_dir(F.col("path")) if same_dir else F.lit("")).alias("bucket"), words(base_name(F.col("path")) if name is None else name).alias("words")
     )
     if max_bucket is not None:
-        counts = rows.groupBy("bucket").count()
+        counts = write_table(rows.groupBy("bucket").count(), "folder_counts")
         gone = counts.where(F.col("count") > max_bucket).agg(F.count("*").alias("folders"), F.sum("count").alias("files")).first()
         if gone["folders"]:
             LOG.warning("names of %d files in %d folders of more than %d files are not compared", gone["files"], gone["folders"], max_bucket)
         rows = rows.join(counts.where(F.col("count") <= max_bucket).select("bucket"), "bucket", "left_semi")
-    near = _word_pairs(rows, threshold / 100.0, size_ratio_ok(F.col("l.size"), F.col("r.size")))
-    scored = near.select(F.col("l.scan_seq").alias("src"), F.col("r.scan_seq").alias("dst"), word_score(F.col("l.words"), F.col("r.words")).alias("score"))
-    return scored.where(F.col("score") >= threshold / 100.0)
+    return rows
+
+
+def name_pairs(files: DataFrame, threshold: int = 80, same_dir: bool = True, max_bucket: int | None = None, name: Column | None = None) -> DataFrame:
+    """(src, dst, score) with size ratio and word score at least threshold / 100.
+
+    ``max_bucket`` (3000 for parity) leaves out folders (or, over all folders, the whole) with more files and logs them; None has no such limit.
+    """
+    lists, members = word_lists(_named(files, same_dir, max_bucket, name))
+    met = met_members(members, scored_lists(lists, threshold / 100.0), "size")
+    return met.where(size_ratio_ok(F.col("l_size"), F.col("r_size")) & (F.col("score") >= threshold / 100.0)).select("src", "dst", "score")
+
+
+def _either_way(scored: DataFrame, least: float) -> DataFrame:
+    """(x, y, there, back) for x < y: which orders score ``least``."""
+    x, y = F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")
+    return scored.where((F.col("x") != F.col("y")) & (F.col("score") >= least)).groupBy(x, y).agg(F.bool_or(F.col("x") < F.col("y")).alias("there"), F.bool_or(F.col("x") > F.col("y")).alias("back"))
+
+
+def name_links(files: DataFrame, threshold: int = 80, same_dir: bool = True, max_bucket: int | None = None, name: Column | None = None) -> DataFrame:
+    """Edges (src, dst) with the components of ``name_pairs``.
+
+    Files of one list and one doubling of the size all link, so they are a node. Between nodes the nearest
+    sizes decide, and where just one order scores, the files' order; only nodes of different doublings that
+    score in one order alone are looked at file by file.
+    """
+    lists, members = word_lists(_named(files, same_dir, max_bucket, name))
+    level = F.when(F.col("size") == 0, -1).otherwise(F.length(F.bin("size")))
+    rows = members.withColumn("level", level)
+    nodes = write_table(rows.groupBy("id", "level").agg(F.min("scan_seq").alias("lo"), F.max("scan_seq").alias("hi"), F.min("size").alias("least"), F.max("size").alias("most")), "name_nodes")
+    stars = rows.join(nodes, ["id", "level"]).where("scan_seq <> lo").select(F.col("lo").alias("src"), F.col("scan_seq").alias("dst"))
+    side = lambda p: nodes.select(*(F.col(c).alias(p + c) for c in nodes.columns))
+    near = F.when(F.col("a_level") == F.col("b_level"), True).when(F.least("a_level", "b_level") < 0, False)
+    near = near.when(F.col("a_level") < F.col("b_level"), F.col("b_least") <= 4 * F.col("a_most")).otherwise(F.col("a_least") <= 4 * F.col("b_most"))
+    edge = [F.col("a_lo").alias("src"), F.col("b_lo").alias("dst")]
+    own = side("a_").join(side("b_"), F.col("a_id") == F.col("b_id")).where((F.col("a_level") < F.col("b_level")) & near).select(*edge)
+    two = _either_way(scored_lists(lists, threshold / 100.0), threshold / 100.0)
+    met = write_table(two.join(side("a_"), F.col("a_id") == F.col("x")).join(side("b_"), F.col("b_id") == F.col("y")).where(near), "name_edges")
+    both = F.col("there") & F.col("back")
+    level_one = F.col("a_level") == F.col("b_level")
+    order = (F.col("there") & (F.col("a_lo") < F.col("b_hi"))) | (F.col("back") & (F.col("b_lo") < F.col("a_hi")))
+    sure = met.where(both | (level_one & order)).select(*edge)
+    doubt = met.where(~both & ~level_one & order)
+    l = rows.select(F.col("id").alias("a_id"), F.col("level").alias("a_level"), F.col("scan_seq").alias("src"), F.col("size").alias("s"))  # noqa: E741
+    r = rows.select(F.col("id").alias("b_id"), F.col("level").alias("b_level"), F.col("scan_seq").alias("dst"), F.col("size").alias("t"))
+    one = doubt.select("a_id", "a_level", "b_id", "b_level", "there").join(l, ["a_id", "a_level"]).join(r, ["b_id", "b_level"])
+    one = one.where(((F.col("src") < F.col("dst")) == F.col("there")) & size_ratio_ok(F.col("s"), F.col("t"))).select("src", "dst")
+    return stars.union(own).union(sure).union(one)
+
+
+def _songs(tags: DataFrame) -> tuple[DataFrame, DataFrame]:
+    line = F.concat(F.coalesce("artist", F.lit("")), F.lit(" "), F.coalesce("title", F.lit("")))
+    return word_lists(tags.select("scan_seq", F.coalesce(F.col("duration"), F.lit(0)).cast("bigint").alias("duration"), F.lit("").alias("bucket"), words(line).alias("words")))
+
+
+def _least_words(threshold: int) -> float:
+    """The word score that a song pair needs; the duration gives a tenth at most, so the lowest thresholds need hardly any."""
+    return max((threshold / 100.0 - 0.1) / 0.9, 1e-6)
+
+
+def _alike_in_time(songs: DataFrame) -> DataFrame:
+    """(src, dst) of songs whose durations alone score."""
+    band = F.length(F.bin("duration"))  # a larger one is twice a smaller one at most
+    some = songs.where("duration > 0").select("scan_seq", "duration", band.alias("band"))
+    left = some.select(F.col("scan_seq").alias("src"), F.col("duration").alias("a"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
+    right = some.select(F.col("scan_seq").alias("dst"), F.col("duration").alias("b"), "band")
+    return left.join(right, "band").where((F.col("src") < F.col("dst")) & duration_ok(F.col("a"), F.col("b")) & (duration_score(F.col("a"), F.col("b")) > 0))
 
 
 def music_pairs(tags: DataFrame, threshold: int = 80) -> DataFrame:
     """(src, dst, score) of 0.9 * word score + 0.1 * duration score, for durations that fit.
 
-    The duration gives a tenth at most, so below 11 the words decide nothing and no join is selective.
-    Songs with the same words are one list; lists are compared once in either order, then songs meet by list.
+    Up to a threshold of 10 a fitting duration is enough, so pairs without a common word are found by
+    duration; songs without words score nothing by words.
     """
-    if threshold < 11:
-        raise ValueError("a threshold of 11 at least is needed")
-    line = F.concat(F.coalesce("artist", F.lit("")), F.lit(" "), F.coalesce("title", F.lit("")))
-    rows = tags.select("scan_seq", F.coalesce(F.col("duration"), F.lit(0)).cast("bigint").alias("duration"), words(line).alias("words"))
-    rows = rows.select("scan_seq", "duration", "words", F.array_join("words", " ").alias("list"))
-    least = (threshold / 100.0 - 0.1) / 0.9
-    lists = rows.where(F.size("words") > 0).select(F.col("list").alias("scan_seq"), F.lit("").alias("bucket"), "words").distinct()
-    near = write_table(_word_pairs(lists, least, F.lit(True)), "near_lists")
-    same = lists.select(F.struct(*lists.columns).alias("l"), F.struct(*lists.columns).alias("r"))
-    both = near.union(near.select("r", "l")).union(same)
-    # Scores are the costly part and their rows are short, so they are dealt out by number and not by bytes.
-    parts = int(tags.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    scored = both.repartition(parts, "l", "r").select(F.col("l.scan_seq").alias("x"), F.col("r.scan_seq").alias("y"), word_score(F.col("l.words"), F.col("r.words")).alias("common"))
-    scored = write_table(scored, "word_lists").where(F.col("common") >= least - 1e-9)
-    left = rows.select(F.col("scan_seq").alias("src"), F.col("duration").alias("a"), F.col("list").alias("x"))
-    right = rows.select(F.col("scan_seq").alias("dst"), F.col("duration").alias("b"), F.col("list").alias("y"))
-    a, b = F.col("a"), F.col("b")
-    met = left.join(scored, "x").join(right, "y").where((F.col("src") < F.col("dst")) & duration_ok(a, b))
-    score = 0.9 * F.col("common") + 0.1 * duration_score(a, b)
-    return met.select("src", "dst", score.alias("score")).where(F.col("score") >= threshold / 100.0)
-
-
-def _bands(radius: int) -> list[tuple[int, int]]:
-    """(shift, width) of the bands."""
-    n = min(radius // 3 + 1, HASH_BITS)
+    if threshold <= 10:
+        tags = write_table(tags, "songs")
+    lists, members = _songs(tags)
+    met = met_members(members, scored_lists(lists, _least_words(threshold)), "duration")
+    a, b = F.col("l_duration"), F.col("r_duration")
+    score = 0.9 * F.col("score") + 0.1 * duration_score(a, b)
+    got = met.where(duration_ok(a, b)).select("src", "dst", score.alias("score"))
+    if threshold <= 10:
+        songs = tags.select("scan_seq", F.coalesce(F.col("duration"), F.lit(0)).cast("bigint").alias("duration"))
+        more = _alike_in_time(songs).select("src", "dst", (0.1 * duration_score(F.col("a"), F.col("b"))).alias("score"))
+        got = got.union(more).groupBy("src", "dst").agg(F.max("score").alias("score"))
+    return got.where(F.col("score") >= threshold / 100.0)
+
+
+def music_links(tags: DataFrame, threshold: int = 80) -> DataFrame:
+    """C4: edges (src, dst) with the components of ``music_pairs``: songs of equal words and duration are a node."""
+    if threshold <= 10:
+        return music_pairs(tags, threshold).select("src", "dst")
+    level = threshold / 100.0
+    lists, members = _songs(tags)
+    # A node's songs link with each other unless the duration is unknown and the words alone don't do.
+    alone = F.when((F.col("duration") == 0) & F.lit(0.9 < level), F.col("scan_seq")).otherwise(-1)
+    rows = members.withColumn("alone", alone)
+    nodes = write_table(rows.groupBy("id", "duration", "alone").agg(F.min("scan_seq").alias("lo"), F.max("scan_seq").alias("hi")), "song_nodes")
+    stars = rows.join(nodes, ["id", "duration", "alone"]).where("scan_seq <> lo").select(F.col("lo").alias("src"), F.col("scan_seq").alias("dst"))
+    ds = lambda a, b: duration_ok(a, b) & (0.9 + 0.1 * duration_score(a, b) >= level)
+    # Within a list the next duration decides, as all that lie further apart fit less; an unknown one fits all or none.
+    timed = nodes.where("duration > 0")
+    after = Window.partitionBy("id").orderBy("duration")
+    steps = timed.withColumns({"next": F.lead("lo").over(after), "then": F.lead("duration").over(after)}).where(F.col("next").isNotNull() & ds(F.col("duration"), F.col("then"))).select(F.col("lo").alias("src"), F.col("next").alias("dst"))
+    if 0.9 >= level:
+        void = nodes.where("duration = 0").select("id", F.col("lo").alias("src"))
+        steps = steps.union(void.join(timed.select("id", F.col("lo").alias("dst")), "id").select("src", "dst"))
+    side = lambda p: nodes.select(*(F.col(c).alias(p + c) for c in ("id", "duration", "lo", "hi")))
+    scored = scored_lists(lists, _least_words(threshold)).where("x <> y")
+    met = scored.join(side("a_"), F.col("a_id") == F.col("x")).join(side("b_"), F.col("b_id") == F.col("y"))
+    a, b = F.col("a_duration"), F.col("b_duration")
+    cross = met.where((F.col("a_lo") < F.col("b_hi")) & duration_ok(a, b) & (0.9 * F.col("score") + 0.1 * duration_score(a, b) >= level)).select(F.col("a_lo").alias("src"), F.col("b_lo").alias("dst"))
+    return stars.union(steps).union(cross)
+
+
+#: Neighbours that one hash may list at most.
+PROBES = 100_000
+
+
+def _cuts(n: int) -> list[tuple[int, int]]:
+    """(shift, width) of n bands."""
     edges = [round(HASH_BITS * k / n) for k in range(n + 1)]
     return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
 
 
+def _bands(radius: int, rows: int) -> list[tuple[int, int]]:
+    """The bands with the least work for ``rows`` hashes: neighbours listed, and candidates if bits were random."""
+
+    def work(n: int) -> float:
+        slack = radius // n
+        near = [sum(math.comb(w, k) for k in range(min(slack, w) + 1)) for _, w in _cuts(n)]
+        if sum(near) > PROBES:
+            return math.inf
+        return rows * (sum(near) + n) + rows * rows / 2 * min(1.0, sum(v / 2**w for v, (_, w) in zip(near, _cuts(n))))
+
+    return _cuts(min(range(1, HASH_BITS + 1), key=work))
+
+
 def _band(hash_: Column, shift: int, width: int) -> Column:
     return F.shiftright(hash_, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
 
 
-def hash_pairs(hashes: DataFrame, radius: int) -> DataFrame:
-    """(src, dst, distance) of rows (scan_seq, phash), each pair once, src before dst."""
+def _distinct_pairs(hashes: DataFrame, radius: int) -> DataFrame:
+    """(p, q, distance) of the distinct values ``phash``, each pair once, p before q."""
     radius = min(radius, 64)
-    bands = _bands(radius)
+    bands = _bands(radius, hashes.count())
     slack = radius // len(bands)
-    rows = hashes.where("phash IS NOT NULL").select("scan_seq", "phash")
-    masks = [[sum(1 << b for b in bits) for k in range(slack + 1) for bits in combinations(range(w), k)] for _, w in bands]
-    key = lambda i, bits: F.struct(F.lit(i).alias("band"), bits.alias("bits"))
-
-    def near_bands(i: int) -> Column:
-        own = _band(F.col("phash"), *bands[i])
-        return F.transform(F.array(*(F.lit(m).cast("bigint") for m in masks[i])), lambda m: key(i, own.bitwiseXOR(m)))
-
-    probes = F.flatten(F.array(*map(near_bands, range(len(bands)))))
-    left = rows.select(F.col("scan_seq").alias("src"), F.col("phash").alias("p"), F.explode(probes).alias("key"))
-    right = rows.select(F.col("scan_seq").alias("dst"), F.col("phash").alias("q"), F.explode(F.array(*(key(i, _band(F.col("phash"), *b)) for i, b in enumerate(bands)))).alias("key"))
+    masks = [[sum(1 << b for b in bits) for k in range(min(slack, w) + 1) for bits in combinations(range(w), k)] for _, w in bands]
+    spark = hashes.sparkSession
+    # At most PROBES rows; a band's neighbours differ from it by these bits.
+    flips = spark.createDataFrame([(i, m) for i, own in enumerate(masks) for m in own], "band int, flip bigint")
+    own = F.array(*(F.struct(F.lit(i).alias("band"), _band(F.col("phash"), *b).alias("bits")) for i, b in enumerate(bands)))
+    banded = hashes.select("phash", F.inline(own))
+    left = banded.join(F.broadcast(flips), "band").select(F.col("phash").alias("p"), "band", F.col("bits").bitwiseXOR(F.col("flip")).alias("bits"))
+    right = banded.withColumnRenamed("phash", "q")
     # A pair is kept in the first of the bands that it is near in.
     first = F.lit(None).cast("int")
     for i in reversed(range(len(bands))):
         first = F.when(hamming(_band(F.col("p"), *bands[i]), _band(F.col("q"), *bands[i])) <= slack, i).otherwise(first)
-    met = left.join(right, "key").where((F.col("src") < F.col("dst")) & (hamming(F.col("p"), F.col("q")) <= radius) & (first == F.col("key.band")))
-    return met.select("src", "dst", hamming(F.col("p"), F.col("q")).alias("distance"))
+    met = left.join(right, ["band", "bits"]).where((F.col("p") < F.col("q")) & (hamming(F.col("p"), F.col("q")) <= radius) & (first == F.col("band")))
+    return met.select("p", "q", hamming(F.col("p"), F.col("q")).alias("distance"))
 
 
-def video_pairs(signatures: DataFrame, radius: int, ratio: float = VIDEO_RATIO) -> DataFrame:
-    """(src, dst, score) of rows (scan_seq, sig) with a frame score of ``ratio`` or more.
+def _hash_classes(hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with a hash, distinct hashes with their least row lo), both written."""
+    rows = write_table(hashes.where("phash IS NOT NULL").select("scan_seq", "phash"), "hashes")
+    return rows, write_table(rows.groupBy("phash").agg(F.min("scan_seq").alias("lo")), "hash_classes")
+
 
-    Such a pair has a frame in common, so candidates come from the hash join of distinct frames.
+def hash_pairs(hashes: DataFrame, radius: int) -> DataFrame:
+    """(src, dst, distance) of rows (scan_seq, phash), each pair once, src before dst."""
+    rows, classes = _hash_classes(hashes)
+    near = write_table(_distinct_pairs(classes.select("phash"), radius), "near_hashes")
+    same = classes.select(F.col("phash").alias("p"), F.col("phash").alias("q"), F.lit(0).alias("distance"))
+    both = near.union(near.select("q", "p", "distance")).union(same)
+    left, right = rows.select(F.col("scan_seq").alias("src"), F.col("phash").alias("p")), rows.select(F.col("scan_seq").alias("dst"), F.col("phash").alias("q"))
+    return left.join(both, "p").join(right, "q").where("src < dst").select("src", "dst", "distance")
+
+
+def hash_links(hashes: DataFrame, radius: int) -> DataFrame:
+    """Edges (src, dst) with the components of ``hash_pairs``: equal hashes are one node."""
+    rows, classes = _hash_classes(hashes)
+    stars = rows.join(classes, "phash").where("scan_seq <> lo").select(F.col("lo").alias("src"), F.col("scan_seq").alias("dst"))
+    near = _distinct_pairs(classes.select("phash"), radius)
+    named = lambda h, n: classes.select(F.col("phash").alias(h), F.col("lo").alias(n))
+    return stars.union(near.join(named("p", "src"), "p").join(named("q", "dst"), "q").select("src", "dst"))
+
+
+def _video_classes(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(videos with frames, distinct signatures with an id and their least video lo), both written."""
+    rows = write_table(signatures.where("size(sig) > 0").select("scan_seq", "sig"), "videos")
+    classes = rows.groupBy("sig").agg(F.min("scan_seq").alias("lo"))
+    return rows, write_table(classes.withColumn("id", F.monotonically_increasing_id()), "video_classes")
+
+
+def _near_signatures(classes: DataFrame, radius: int, ratio: float) -> DataFrame:
+    """(a, b, score) of ids of different signatures, each pair once, with a frame score of ``ratio`` or more.
+
+    In one of the two directions at least ``ratio`` of the frames are matched, so from that side one of the
+    first n - ceil(ratio * n) + 1 frames is, in any order: those come first that the fewest videos show.
     """
-    rows = signatures.where("size(sig) > 0").select("scan_seq", "sig")
-    shown = rows.select("scan_seq", F.explode(F.array_distinct("sig")).alias("phash"))
-    frames = shown.select("phash").distinct().select(F.col("phash").alias("scan_seq"), "phash")
-    near = hash_pairs(frames, radius).select("src", "dst")
-    same = frames.select(F.col("phash").alias("src"), F.col("phash").alias("dst"))
-    both = near.union(near.select("dst", "src")).union(same)
-    a = shown.select(F.col("scan_seq").alias("a"), F.col("phash").alias("src"))
-    b = shown.select(F.col("scan_seq").alias("b"), F.col("phash").alias("dst"))
-    met = a.join(both, "src").join(b, "dst").where("a < b").select("a", "b").distinct()
-    met = met.join(rows.select(F.col("scan_seq").alias("a"), F.col("sig").alias("x")), "a").join(rows.select(F.col("scan_seq").alias("b"), F.col("sig").alias("y")), "b")
-    return met.select(F.col("a").alias("src"), F.col("b").alias("dst"), frame_score(F.col("x"), F.col("y"), radius).alias("score")).where(F.col("score") >= ratio)
+    shown = write_table(classes.select("id", F.size("sig").alias("n"), F.posexplode("sig").alias("at", "phash")), "frames")
+    frames = write_table(shown.groupBy("phash").agg(F.countDistinct("id").alias("videos")), "distinct_frames")
+    near = write_table(_distinct_pairs(frames.select("phash"), radius).select("p", "q"), "near_frames")
+    both = near.union(near.select("q", "p")).union(frames.select(F.col("phash").alias("p"), F.col("phash").alias("q")))
+    cost = write_table(both.join(frames, F.col("q") == F.col("phash")).groupBy(F.col("p").alias("phash")).agg(F.sum("videos").alias("cost")), "frame_costs")
+    ordered = shown.join(cost, "phash").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("cost", "at", "phash"))).alias("f"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * F.lit(ratio) - 1e-9) + 1).cast("int")
+    probes = write_table(ordered.select(F.col("id").alias("x"), F.explode(F.slice("f", F.lit(1), prefix)).alias("f")).select("x", F.col("f.phash").alias("p")).distinct(), "frame_probes")
+    met = write_table(probes.select("p").distinct().join(both, "p"), "met_frames")
+    other = shown.join(met.select(F.col("q").alias("phash")).distinct(), "phash", "left_semi").select(F.col("id").alias("y"), F.col("phash").alias("q")).distinct()
+    pairs = probes.join(met, "p").join(other, "q").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = write_table(pairs, "video_candidates")
+    sig = lambda i, s: classes.select(F.col("id").alias(i), F.col("sig").alias(s))
+    scored = pairs.join(sig("a", "x"), "a").join(sig("b", "y"), "b").select("a", "b", frame_score(F.col("x"), F.col("y"), radius).alias("score"))
+    return write_table(scored, "video_scores").where(F.col("score") >= ratio)
+
+
+def video_pairs(signatures: DataFrame, radius: int, ratio: float = VIDEO_RATIO) -> DataFrame:
+    """(src, dst, score) of rows (scan_seq, sig) with a frame score of ``ratio`` or more."""
+    rows, classes = _video_classes(signatures)
+    near = _near_signatures(classes, radius, ratio)
+    both = near.union(near.select("b", "a", "score")).union(classes.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("score")))
+    named = write_table(rows.join(classes.select("sig", "id"), "sig").select("scan_seq", "id"), "video_ids")
+    left, right = named.select(F.col("scan_seq").alias("src"), F.col("id").alias("a")), named.select(F.col("scan_seq").alias("dst"), F.col("id").alias("b"))
+    return left.join(both, "a").join(right, "b").where("src < dst").select("src", "dst", "score")
+
+
+def video_links(signatures: DataFrame, radius: int, ratio: float = VIDEO_RATIO) -> DataFrame:
+    """Edges (src, dst) with the components of ``video_pairs``: equal signatures are one node."""
+    rows, classes = _video_classes(signatures)
+    stars = rows.join(classes.select("sig", "lo"), "sig").where("scan_seq <> lo").select(F.col("lo").alias("src"), F.col("scan_seq").alias("dst"))
+    named = lambda i, n: classes.select(F.col("id").alias(i), F.col("lo").alias(n))
+    return stars.union(_near_signatures(classes, radius, ratio).join(named("a", "src"), "a").join(named("b", "dst"), "b").select("src", "dst"))

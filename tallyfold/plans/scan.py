@@ -16,7 +16,7 @@ from tallyfold.operators.components import connected_components
 from tallyfold.operators.exact import exact_members, repeated
 from tallyfold.operators.filters import remaining
 from tallyfold.operators.groups import members_of, nested, scan_totals
-from tallyfold.operators.pairs import hash_pairs, music_pairs, name_pairs, video_pairs
+from tallyfold.operators.pairs import hash_links, music_links, name_links, video_links
 from tallyfold.operators.tools import big_files, empty_folders, temp_files
 from tallyfold.plans.options import ScanOptions
 from tallyfold.plans.storage import write_table
@@ -80,15 +80,15 @@ def scan(
     left = write_table(remaining(files, exact), "remaining")
     kinds = [exact]
     if options.fuzzy_filename:
-        kinds.append(_grouped(left, name_pairs(left, options.fuzzy_threshold, options.fuzzy_same_dir_only, options.max_bucket), "fuzzy_name"))
+        kinds.append(_grouped(left, name_links(left, options.fuzzy_threshold, options.fuzzy_same_dir_only, options.max_bucket), "fuzzy_name"))
     if options.similar_images:
-        kinds.append(_grouped(left, hash_pairs(image_hashes(left, *([decode] if decode else [])), options.image_threshold), "similar_image"))
+        kinds.append(_grouped(left, hash_links(image_hashes(left, *([decode] if decode else [])), options.image_threshold), "similar_image"))
     if options.music_dedup:
         tags = write_table(music_tags(left, *([read_tags] if read_tags else [])), "tags").where(comparable_tag(F.col("artist"), F.col("title")))
-        kinds.append(_grouped(left, music_pairs(tags, options.music_threshold), "music_tag"))
+        kinds.append(_grouped(left, music_links(tags, options.music_threshold), "music_tag"))
     if options.similar_videos:
         sigs = write_table(video_signatures(left, options.ffmpeg_path, frames), "signatures")
-        kinds.append(_grouped(left, video_pairs(sigs, options.video_threshold), "similar_video"))
+        kinds.append(_grouped(left, video_links(sigs, options.video_threshold), "similar_video"))
     members = reduce(DataFrame.unionByName, kinds)
     tools = [spark.createDataFrame([], "kind string, path string, size bigint, modified bigint, created bigint, detail string")]
     if options.tool_empty_folders:

@@ -2,15 +2,19 @@
 
 Lineage is cut with Parquet tables in the folder that ``spark.checkpoint.dir`` names, which the driver
 and all executors share. Only a session in local mode without that setting gets a folder of its own.
+A table lives until ``drop_table``, or until the ``stored`` result that it was written for is there.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+_open: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables; an error on a cluster that names none."""
@@ -25,20 +29,40 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for block in _open[-1:]:
+        block.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_table(df: DataFrame) -> None:
     """Delete the files behind a reader that ``write_table`` returned and that nothing uses any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     top = shared_dir(spark).split(":", 1)[-1].lstrip("/")
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if top in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
+
+
+def stored(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``make`` as a written table, without the tables that were written on the way to it."""
+    _open.append([])
+    try:
+        out = make()
+        path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        out.write.parquet(path)
+    finally:
+        for gone in _open.pop():
+            _delete(spark, gone)
+    for block in _open[-1:]:
+        block.append(path)
+    return spark.read.schema(out.schema).parquet(path)

@@ -52,9 +52,9 @@ def emb_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def emb_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two videos of ten frames, seven of them shared, for each twenty embeddings."""
+    """Two videos of fifteen frames, ten of them shared, for each twenty embeddings; every embedding is a frame."""
     v, k = F.col("scan_seq"), F.col("k")
-    frames = emb_hashes(spark, sf_dir).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).where((v % 20).between(3 * k, 3 * k + 9))
+    frames = emb_hashes(spark, sf_dir).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).where((v % 20).between(5 * k, 5 * k + 14))
     frames = frames.select((F.expr("2 * (scan_seq div 20)") + k).alias("video"), v.alias("at"), "phash")
     sig = F.transform(F.array_sort(F.collect_list(F.struct("at", "phash"))), lambda x: x["phash"])
     return frames.groupBy("video").agg(sig.alias("sig")).select(F.col("video").alias("scan_seq"), "sig")

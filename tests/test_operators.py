@@ -92,8 +92,6 @@ def test_music(spark):
     rows = [(0, "周杰伦", "晴天", 269), (1, "周杰伦", "晴天", 269), (2, "林俊杰", "江南", 300)]
     got = pairs.music_pairs(spark.createDataFrame(rows, "scan_seq bigint, artist string, title string, duration bigint"), 80).collect()
     assert [(r["src"], r["dst"]) for r in got] == [(0, 1)] and got[0]["score"] > 0.9
-    with pytest.raises(ValueError):
-        pairs.music_pairs(spark.createDataFrame(rows, "scan_seq bigint, artist string, title string, duration bigint"), 5)
 
 
 def test_songs_of_all_parts_equal_nested_loop(spark, tmp_path):
@@ -118,6 +116,148 @@ def test_songs_of_all_parts_equal_nested_loop(spark, tmp_path):
     assert groups_of == union_find(want) and max(groups_of) > 400
 
 
+def shuffled_names(rng, n):
+    """Names of few words, of which some stand in every name."""
+    stems = ["report", "reports", "copy", "final", "v1", "v2", "a", "b", "tx"]
+    return ["example_" + "_".join(rng.choice(stems, rng.integers(1, 5))) + ".example.txt" for _ in range(n)]
+
+
+@pytest.mark.parametrize("threshold", [20, 60, 80])
+def test_common_words_lose_no_pair(spark, threshold):
+    from tests.test_functions import score_spec, words_spec
+
+    rng = np.random.default_rng(threshold)
+    rows = [(f"/d/{n}", int(rng.integers(0, 40)), 0) for n in shuffled_names(rng, 50)]
+    want = {}
+    for i, (p, s, _) in enumerate(rows):
+        for j in range(i + 1, len(rows)):
+            q, t, _ = rows[j]
+            score = score_spec(words_spec(p[3:]), words_spec(q[3:]), True)
+            if (s == t if 0 in (s, t) else max(s, t) <= 4 * min(s, t)) and score >= threshold / 100:
+                want[i, j] = score
+    f = files(spark, rows)
+    got = pairs.name_pairs(f, threshold).collect()
+    assert len(got) == len(want) and {(r["src"], r["dst"]): r["score"] for r in got} == pytest.approx(want)
+    parts = {r["node"]: r["component"] for r in connected_components(pairs.name_links(f, threshold)).collect()}
+    assert parts == union_find(want)
+
+
+def test_long_names_share_the_last_bit(spark):
+    from tests.test_functions import score_spec
+
+    rng = np.random.default_rng(3)
+    lists = [[str(w) for w in rng.integers(100, 300, n)] for n in (80, 110, 110, 120)]
+    lists += [lists[2][:60] + lists[1][60:], lists[3][::-1], lists[3][:90]]
+    rows = [(f"/d/{' '.join(w)}", 5, 0) for w in lists]
+    want = [(i, j) for i in range(len(lists)) for j in range(i + 1, len(lists)) if score_spec(lists[i], lists[j], True) >= 0.2]
+    assert sorted((r["src"], r["dst"]) for r in pairs.name_pairs(files(spark, rows), 20).collect()) == want and want
+
+
+def test_no_score_in_a_join(spark):
+    f = files(spark, [(f"/d/example {k}.txt", 5, 0) for k in range(9)])
+    plan = pairs.name_pairs(f, 80)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join" in line and "levenshtein" in line]
+
+
+def test_a_word_in_every_name_is_not_probed(spark):
+    from tallyfold.operators.word_join import list_pairs
+
+    rows = [(i, "", ["example", "net", f"w{i:05d}{i * 7919 % 10007}", f"{'abcdefghij'[i % 10]}{i * 31:06d}"]) for i in range(2000)]
+    lists = spark.createDataFrame(rows, "id bigint, bucket string, words array<string>")
+    assert list_pairs(lists, 0.8).count() < 2000
+
+
+def test_copies_give_star_edges(spark):
+    n = 10_000
+    same = spark.range(n).select(F.col("id").alias("scan_seq"), F.lit(7).cast("bigint").alias("phash"))
+    assert pairs.hash_links(same, 18).count() == n - 1
+    names = spark.range(n).select(F.col("id").alias("scan_seq"), F.format_string("/d%d/thumbs.db", "id").alias("path"), F.lit(5).cast("bigint").alias("size"))
+    assert pairs.name_links(names, 80, same_dir=False).count() == n - 1
+    songs = spark.range(n).select(F.col("id").alias("scan_seq"), F.lit("x").alias("artist"), F.lit("track").alias("title"), F.lit(9).alias("duration"))
+    assert pairs.music_links(songs, 80).count() == n - 1
+    videos = spark.range(n).select(F.col("id").alias("scan_seq"), F.array(F.lit(1), F.lit(2)).cast("array<bigint>").alias("sig"))
+    assert pairs.video_links(videos, 10).count() == n - 1
+
+
+@pytest.mark.parametrize("threshold", [5, 10, 60, 80, 95])
+def test_songs_equal_nested_loop(spark, threshold):
+    from tests.test_functions import score_spec, words_spec
+
+    rng = np.random.default_rng(threshold)
+    names = ["red rod", "rod red", "red rods", "old bolt", "old", "", "red rod old bolt", "bolt"]
+    rows = [(int(k), "", str(rng.choice(names)), int(rng.choice([0, 0, 1, 2, 3, 9, 10, 11, 90, 100, 119]))) for k in rng.permutation(70)]
+    fits = lambda a, b: 0 in (a, b) or min(a, b) >= max(a, b) * 85 // 100
+    time = lambda a, b: 0.0 if 0 in (a, b) else 1.0 if min(a, b) >= max(a, b) * 9 // 10 else 0.5 if min(a, b) >= max(a, b) * 8 // 10 else 0.0
+    want = {}
+    rows.sort()
+    for k, _, m, t in rows:
+        for l, _, n, u in rows[k + 1 :]:
+            score = 0.9 * score_spec(words_spec(m), words_spec(n), True) + 0.1 * time(t, u)
+            if fits(t, u) and score >= threshold / 100:
+                want[k, l] = score
+    tags = spark.createDataFrame(rows, "scan_seq bigint, artist string, title string, duration bigint")
+    got = pairs.music_pairs(tags, threshold).collect()
+    assert len(got) == len(want) and {(r["src"], r["dst"]): r["score"] for r in got} == pytest.approx(want)
+    assert {r["node"]: r["component"] for r in connected_components(pairs.music_links(tags, threshold)).collect()} == union_find(want)
+
+
+def test_videos_equal_nested_loop(spark):
+    rng = np.random.default_rng(8)
+    pool = [0, *rng.integers(0, 2**62, 12).tolist()]
+    pool += [p ^ 5 for p in pool]
+    sigs = [[0] * int(rng.integers(0, 4)) + [pool[i] for i in rng.integers(0, len(pool), rng.integers(1, 7))] for _ in range(40)]
+    sigs += [sigs[0], sigs[3], [], [0], [0, 0, 0]]
+    near = lambda p, other: any((p ^ q).bit_count() <= 3 for q in other)
+    share = lambda a, b: sum(near(p, b) for p in a) / len(a)
+    want = {}
+    for i, a in enumerate(sigs):
+        for j in range(i + 1, len(sigs)):
+            b = sigs[j]
+            if a and b and (score := (share(a, b) + share(b, a)) / 2) >= 0.6:
+                want[i, j] = score
+    df = spark.createDataFrame(list(enumerate(sigs)), "scan_seq bigint, sig array<bigint>")
+    got = pairs.video_pairs(df, 3).collect()
+    assert len(got) == len(want) and {(r["src"], r["dst"]): r["score"] for r in got} == pytest.approx(want)
+    assert {r["node"]: r["component"] for r in connected_components(pairs.video_links(df, 3)).collect()} == union_find(want)
+
+
+def test_hub_join_is_split(spark):
+    from tallyfold.operators.components import lowest_joined
+    from tallyfold.plans.storage import write_table
+
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1KB",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        edges = write_table(spark.range(0, 40_000, 1, 8).select(F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id")).alias("a"), (F.col("id") + 1).alias("b")), "hub")
+        got = lowest_joined(edges, write_table(edges.groupBy("a").agg(F.min("b").alias("m")), "low"))
+        assert len(got.collect()) == 40_000
+        assert "skew=true" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_stored_leaves_one_table(spark):
+    import os
+
+    from tallyfold.plans.storage import shared_dir, stored, write_table
+
+    shared = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(shared))
+    got = stored(spark, "kept", lambda: write_table(write_table(spark.range(9), "one"), "two"))
+    assert got.count() == 9 and [n.split("-")[0] for n in set(os.listdir(shared)) - before] == ["kept"]
+
+
+def test_large_groups_have_pages(spark):
+    got = sorted((r["group_id"], r["page"], len(r["files"])) for r in groups.nested(members(spark), page=2).collect())
+    assert got == [(0, 0, 2), (0, 1, 1), (3, 0, 2)]
+
+
 def members(spark):
     f = files(spark, [("/a/x.txt", 10, 30), ("/a/deep/er/x1.txt", 10, 10), ("/b/long_name.txt", 10, 20), ("/c/y", 7, 5), ("/c/z", 7, 5), ("/c/none", 1, 1)])
     return exact.exact_members(f.withColumn("full_hash", F.col("size").cast("string")))
