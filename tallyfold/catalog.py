@@ -396,12 +396,12 @@ def _(spark, d):
 
 @query(
     "nested_groups",
-    f"""WITH {_rk()}, s AS ({_SUMMARY}) SELECT s.group_id, 'exact' AS kind, s.file_size, s.reclaimable, rk.pos AS at, rk.path, rk.size FROM s JOIN rk USING (group_id)""",
+    f"""WITH {_rk()}, s AS ({_SUMMARY}) SELECT s.group_id, 'exact' AS kind, s.file_size, s.reclaimable, rk.pos AS place, rk.path, rk.size FROM s JOIN rk USING (group_id)""",
 )
 def _(spark, d):
     rows = groups.nested(_members(spark, d))
     at = F.posexplode("files").alias("at", "f")
-    return rows.select("group_id", "kind", "file_size", "reclaimable", "page", at).select("group_id", "kind", "file_size", "reclaimable", (F.col("at") + F.col("page") * groups.PAGE).alias("at"), "f.path", "f.size")
+    return rows.select("group_id", "kind", "file_size", "reclaimable", "page", at).select("group_id", "kind", "file_size", "reclaimable", (F.col("at") + F.col("page") * groups.PAGE).cast("bigint").alias("place"), "f.path", "f.size")
 
 
 _GONE = "(pos > 0 AND size % 2 = 0)"
@@ -409,8 +409,8 @@ _GONE = "(pos > 0 AND size % 2 = 0)"
 
 @query(
     "after_delete",
-    f"""WITH {_rk()}, l AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY pos) - 1 AS at, count(*) OVER (PARTITION BY group_id) AS n FROM rk WHERE NOT {_GONE})
-SELECT group_id, path, at AS pos, at > 0 AS checked FROM l WHERE n > 1""",
+    f"""WITH {_rk()}, l AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY pos) - 1 AS place, count(*) OVER (PARTITION BY group_id) AS n FROM rk WHERE NOT {_GONE})
+SELECT group_id, path, place AS pos, place > 0 AS checked FROM l WHERE n > 1""",
 )
 def _(spark, d):
     rows = selection.default_selection(_rows(spark, d))
