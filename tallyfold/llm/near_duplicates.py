@@ -7,11 +7,15 @@ documents. ``rows`` bins make a band key; ``bands`` follows from the threshold a
 start. In a bucket only edges between the class with the smallest id and each other member are made, so a
 bucket of m classes gives m - 1 edges. The components of those candidate edges are clusters.
 
-Links are then confirmed on the full shingle sets: a cluster is dealt by set size (only sizes within the
-threshold of each other can link) and by hash into blocks of bounded size, each pair of blocks is one
-group, and within it all intersections come from one sparse product; a pair of blocks emits at most a
-spanning forest of its links. No pair that shares a bucket goes unconfirmed, no bucket has a cap, and no
-group of unbounded size meets in one task. The components of the links are the result.
+Links are then confirmed on the full shingle sets. A cluster that fits a block of bounded size is one group
+and all its pairs come from one sparse product. In a larger cluster the star edges are confirmed first, each
+member with its smallest hub and then with the hubs that it is not yet linked to, a hub with a bounded number
+of members a group: a cluster of near copies is settled by as many comparisons as it has members. Only members
+that the confirmed edges leave apart are compared with each other and with the cluster's largest part, dealt
+by set size (only sizes within the threshold of each other can link) and by hash into blocks, each pair of
+blocks one group that emits a spanning forest of its links. No pair that shares a bucket goes unconfirmed unless
+both are linked already, no bucket has a cap, and no group of unbounded size meets in one task. Tables that are
+joined back to what they were counted from are written first, so that a hot bucket or cluster can be split.
 
 Null and empty texts and texts without words have the empty set and link with nothing; a text of fewer
 words than a shingle has its whole word sequence as its one shingle. Very long texts are taken whole.
@@ -22,13 +26,13 @@ node; rows without id are kept, with a null component. An empty table gives an e
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.columns import small_batches
@@ -140,8 +144,8 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int, step: int = 256) -> Iter
     for whole in batches:
         for lo in range(0, whole.num_rows, step):
             batch = whole.slice(lo, step)
-            sets = [shingle_set(t, size, hashes).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["id", "s"])
+            sets = [shingle_set(t, size, hashes) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "s"])
 
 
 def linked_pairs(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,18 +189,21 @@ def _forest(pairs: Iterator[tuple[int, int]]) -> Iterator[tuple[int, int]]:
 
 
 def _confirmed(group: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (src, dst) of a group's rows (id, s, part, left): among all of them where no ``left`` is null, else between the two sides; never within a part."""
     sets = [np.frombuffer(s, np.uint64) for s in group["s"]]
-    ids = group["id"].to_numpy()
-    left = group["left"].to_numpy()
-    if group["alone"].iloc[0]:
+    ids, part = group["id"].to_numpy(), group["part"].to_numpy()
+    if group["left"].isna().any():
+        at = bt = np.arange(len(ids))
         i, j = linked_pairs(sets, None, percent)
-        found = zip(ids[i].tolist(), ids[j].tolist())
     else:
+        left = group["left"].to_numpy(bool)
         at, bt = np.flatnonzero(left), np.flatnonzero(~left)
         if not len(at) or not len(bt):
             return pd.DataFrame({"src": [], "dst": []}, dtype="int64")
         i, j = linked_pairs([sets[k] for k in at], [sets[k] for k in bt], percent)
-        found = zip(ids[at[i]].tolist(), ids[bt[j]].tolist())
+    i, j = at[i], bt[j]
+    apart = part[i] != part[j]
+    found = zip(ids[i[apart]].tolist(), ids[j[apart]].tolist())
     return pd.DataFrame(list(_forest(found)), columns=["src", "dst"]).astype("int64")
 
 
@@ -204,35 +211,66 @@ def candidate_edges(classes: DataFrame) -> DataFrame:
     """Star edges (src, dst): in each bucket of (id, n, bands) rows, the smallest id with each other."""
     buckets = classes.select("id", F.posexplode("bands").alias("band", "key"))
     hubs = buckets.groupBy("band", "key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last")
+    hubs = write_table(hubs, "hubs")
     return buckets.join(hubs, ["band", "key"]).where("id <> hub").select(F.col("hub").alias("src"), F.col("id").alias("dst")).distinct()
 
 
-def _block_pairs(members: DataFrame, percent: int, block_rows: int, block_shingles: int) -> DataFrame:
-    """(id, n, pair, alone, left): each member with every pair of blocks that it belongs to.
+def _blocks(rows: str, total: str, block_rows: int, block_shingles: int) -> Column:
+    """Into how many blocks so many rows of so many shingles go."""
+    return F.greatest(F.ceil(F.col(rows) / block_rows), F.ceil(F.col(total) / block_shingles)).cast("long")
+
+
+def star_groups(edges: DataFrame, sizes: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
+    """(pair, id, n, part, left): hubs with their members, at most a block of them in a group; ``sizes`` is (id, n)."""
+    sized = write_table(edges.join(sizes.select(F.col("id").alias("dst"), "n"), "dst"), "star_sizes")
+    need = sized.groupBy("src").agg(F.count("*").alias("rows"), F.sum("n").alias("total")).select("src", _blocks("rows", "total", block_rows, block_shingles).alias("blocks"))
+    dealt = sized.join(write_table(need, "star_blocks"), "src").select("src", "dst", "n", F.pmod(F.xxhash64("dst"), "blocks").alias("block"))
+    pair = F.struct("src", "block").alias("pair")
+    right = dealt.select(pair, F.col("dst").alias("id"), "n", F.col("dst").alias("part"), F.lit(False).alias("left"))
+    hubs = dealt.select("src", "block").distinct().join(sizes.select(F.col("id").alias("src"), "n"), "src")
+    return right.union(hubs.select(pair, F.col("src").alias("id"), "n", F.col("src").alias("part"), F.lit(True).alias("left")))
+
 
-    A cluster that fits a block is one block. Else its size classes are powers of 100 / percent, so that
-    only a class and the next can link, and each class is dealt by hash into as many blocks as it needs.
+def rest_groups(members: DataFrame, percent: int, block_rows: int, block_shingles: int) -> DataFrame:
+    """(pair, id, n, part, left) of members (id, n, cluster, part): each pair of blocks that may hold a link between two parts.
+
+    A cluster's largest part is one side, all its other members are the other; the largest part is not dealt against itself.
+    Size levels are powers of 100 / percent, so that only a level and the next can link.
     """
-    fits = F.greatest(F.ceil(F.col("rows") / block_rows), F.ceil(F.col("total") / block_shingles)).cast("long")
-    count = [F.count("*").alias("rows"), F.sum("n").alias("total")]
-    whole = members.groupBy("cluster").agg(*count).select("cluster", fits.alias("need"))
+    parts = members.groupBy("cluster", "part").agg(F.count("*").alias("rows"))
+    main = parts.groupBy("cluster").agg(F.count("*").alias("parts"), F.max(F.struct("rows", "part")).alias("top")).where("parts > 1")
+    main = write_table(main.select("cluster", F.col("top.part").alias("main")), "main_parts")
     step = math.log(100 / percent) * (1 + 1e-9)  # two sizes at the very threshold stay within a level of each other
-    sized = members.join(whole, "cluster").withColumn("level", F.when(F.col("need") > 1, F.floor(F.log(F.col("n").cast("double")) / step)).otherwise(0).cast("long"))
-    levels = sized.groupBy("cluster", "level").agg(*count).select("cluster", "level", fits.alias("blocks"))
-    after = levels.select("cluster", (F.col("level") - 1).alias("level"), F.col("blocks").alias("above"))
-    before = levels.select("cluster", (F.col("level") + 1).alias("level"), F.col("blocks").alias("below"))
-    levels = levels.join(after, ["cluster", "level"], "left").join(before, ["cluster", "level"], "left")
-    dealt = sized.join(levels, ["cluster", "level"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
-    pairs = F.expr(
-        """concat(
-             transform(sequence(0L, blocks - 1), o -> struct(level AS l, least(block, o) AS i, level AS m, greatest(block, o) AS j, block <= o AS left)),
-             if(above IS NULL, array(), transform(sequence(0L, above - 1), o -> struct(level AS l, block AS i, level + 1 AS m, o AS j, true AS left))),
-             if(below IS NULL, array(), transform(sequence(0L, below - 1), o -> struct(level - 1 AS l, o AS i, level AS m, block AS j, false AS left))))"""
-    )
-    return dealt.select("id", "n", "cluster", F.explode(pairs).alias("p")).select(
-        "id", "n", F.struct("cluster", "p.l", "p.i", "p.m", "p.j").alias("pair"),
-        (F.expr("p.l = p.m AND p.i = p.j")).alias("alone"), F.col("p.left").alias("left"),
-    )
+    level = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
+    sided = write_table(members.join(main, "cluster").select("id", "n", "cluster", "part", level.alias("level"), (F.col("part") != F.col("main")).cast("int").alias("side")), "sided")
+    lanes = sided.groupBy("cluster", "level", "side").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
+    lanes = write_table(lanes.select("cluster", "level", "side", _blocks("rows", "total", block_rows, block_shingles).alias("blocks")), "lanes")
+    dealt = sided.join(lanes, ["cluster", "level", "side"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    other = lanes.select("cluster", F.col("level").alias("l"), F.col("side").alias("s"), F.col("blocks").alias("other"))
+    met = dealt.join(other, "cluster").where("abs(level - l) <= 1 AND side + s > 0").withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("other") - 1)))
+    x, y = F.struct("level", "side", "block"), F.struct(F.col("l").alias("level"), F.col("s").alias("side"), F.col("o").alias("block"))
+    met = met.withColumns({"x": x, "y": y})
+    return met.select(F.struct("cluster", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).alias("pair"), "id", "n", "part", F.when(F.col("x") != F.col("y"), F.col("x") < F.col("y")).alias("left"))
+
+
+def _large_links(members: DataFrame, stars: DataFrame, confirm: Callable[[DataFrame, str], DataFrame], percent: int, block_rows: int, block_shingles: int) -> DataFrame:
+    """Links of the members (id, n, cluster) of clusters beyond a block."""
+    edges = write_table(stars.join(members.select(F.col("id").alias("dst")), "dst", "left_semi"), "large_stars")
+    first = edges.groupBy("dst").agg(F.min("src").alias("src"))
+    links = write_table(confirm(star_groups(first, members, block_rows, block_shingles), "pair"), "star_links")
+
+    def parts() -> DataFrame:
+        found = connected_components(links)
+        return write_table(members.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "cluster", F.coalesce("component", "id").alias("part")), "parts")
+
+    now = parts()
+    named = lambda i, p: now.select(F.col("id").alias(i), F.col("part").alias(p))
+    open_ = edges.join(named("src", "p"), "src").join(named("dst", "q"), "dst").where("p <> q").select("src", "dst")
+    open_ = write_table(open_, "open_stars")
+    if not open_.isEmpty():
+        links = links.union(write_table(confirm(star_groups(open_, members, block_rows, block_shingles), "pair"), "star_links"))
+        now = parts()
+    return links.union(confirm(rest_groups(now, percent, block_rows, block_shingles), "pair"))
 
 
 def near_duplicates(
@@ -250,19 +288,28 @@ def near_duplicates(
     )
     stars = write_table(candidate_edges(classes), "stars")
     clusters = connected_components(stars).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
-    members = write_table(classes.select("id", "n").join(clusters, "id"), "members")
+    # An id of several texts is compared by each of its sets.
+    members = write_table(classes.select("id", "n").distinct().join(clusters, "id"), "members")
+    counts = members.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
+    large = write_table(counts.where(_blocks("rows", "total", block_rows, block_shingles) > 1).select("cluster"), "large")
     # A class's set is made again from the text of its smallest id; few ids are sent to the texts, many are joined.
     few = members.count() <= BROADCAST_IDS
     ids = members.select("id").distinct()
     chosen = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
-    sets = chosen.mapInArrow(lambda it: _sets(it, size), "id bigint, s binary")
-    dealt = _block_pairs(members, percent, block_rows, block_shingles)
-    dealt = dealt.join(sets, "id")
-    links = dealt.groupBy("pair").applyInPandas(lambda g: _confirmed(g, percent), "src bigint, dst bigint")
+    sets = write_table(chosen.mapInArrow(lambda it: _sets(it, size), "id bigint, n bigint, s binary"), "sets")
+
+    def confirm(groups: DataFrame, key: str) -> DataFrame:
+        return groups.join(sets, ["id", "n"]).groupBy(key).applyInPandas(lambda g: _confirmed(g, percent), "src bigint, dst bigint")
+
+    whole = members.join(large, "cluster", "left_anti")
+    links = confirm(whole.select("cluster", "id", "n", F.monotonically_increasing_id().alias("part"), F.lit(None).cast("boolean").alias("left")), "cluster")
+    if not large.isEmpty():
+        more = write_table(members.join(large, "cluster", "left_semi"), "large_members")
+        links = links.union(_large_links(more, stars, confirm, percent, block_rows, block_shingles))
     found = connected_components(links)
     named = classes.select("name", F.col("id").alias("class")).join(found.withColumnRenamed("node", "class"), "class", "left")
-    named = named.select("name", F.coalesce("component", "class").alias("component"))
-    out = signed.join(named, "name", "left").select(
+    named = write_table(named.select("name", F.coalesce("component", "class").alias("component")), "named")
+    out = signed.select("id", "n", "name").join(named, "name", "left").select(
         F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id")
     )
     return out.withColumn("kept", F.col(doc_id).eqNullSafe(F.col("component_id")))

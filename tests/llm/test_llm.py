@@ -201,6 +201,35 @@ def test_near_duplicates(spark, docs, size, percent, blocks):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_a_cluster_of_near_copies_is_linear(spark, monkeypatch):
+    n, dealt = 20_000, []
+    made = near_duplicates.star_groups, near_duplicates.rest_groups
+    for name, make in zip(("star_groups", "rest_groups"), made):
+        monkeypatch.setattr(near_duplicates, name, lambda *a, make=make: dealt.append(make(*a)) or dealt[-1])
+    base = " ".join(f"w{k}" for k in range(40))
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(base + " t"), "id").alias("text"))
+    df = df.union(spark.createDataFrame([(n + k, f"{base[: 40 + k]} other {k}") for k in range(5)], df.schema))
+    got = near_duplicates.near_duplicates(df, size=3, percent=85).groupBy("component_id").count().collect()
+    assert max(r["count"] for r in got) == n
+    assert sum(d.count() for d in dealt) < 2.2 * n
+
+
+def test_recall(spark, docs):
+    """Pairs of every similarity from the threshold up, short and long: none is lost."""
+    rng = np.random.default_rng(11)
+    rows, want, k = [], 0, 0
+    for size in (8, 20, 60, 400):
+        for _ in range(150):
+            words = [f"a{k}x{j}" for j in range(size)]
+            cut = int(rng.integers(0, max(2, int(0.17 * size))))
+            rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: size - cut]))]
+            whole, part = size - 2, size - cut - 2
+            want += 100 * part >= 85 * whole
+            k += 1
+    got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), size=3, percent=85)
+    assert got.where("NOT kept").count() == want > 400
+
+
 def test_near_duplicates_hard(spark, hard, empty):
     got = near_duplicates.near_duplicates(hard, size=3, percent=85).collect()
     assert len(got) == hard.count()
