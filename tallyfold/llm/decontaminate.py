@@ -6,35 +6,53 @@ necessary prefix token. Shingles are ordered by their count over all documents;
 rarest one alone, position and length bounds cut what can't fit, and the item-sized run of words is then
 compared word by word.
 
-Item windows are joined in blocks of ``block_rows`` rows, each small enough to broadcast whatever the
-benchmark's size; equal windows of many items are one row. Nulls and texts without words have no words,
-hit nothing and are still listed. Rows that repeat a doc_id with another text are judged by themselves,
-equal rows alike. Items without id count for ``n_hit`` alone.
+The documents are read a fixed number of times whatever the benchmark's size: once to count the benchmark's
+distinct shingles, once to find the windows' rarest ones, and once more only where those are too many to
+broadcast with their words. Each broadcast is behind a count (``KEYS``, ``ANCHORS``); beyond it the shingles
+and their places are shuffled to a written table, so that a shingle of a third of the documents can be split,
+and the documents with a candidate are read again for the comparison. Equal windows of many items are one row.
+
+Nulls, empty texts and texts without words have no words, hit nothing and are still listed. Very long texts
+are taken whole. Ties for the rarest shingle go to the first. Rows that repeat a doc_id with another text are
+judged by themselves, equal rows alike. Items without id count for ``n_hit`` alone; items without words are
+none. An empty table of documents gives an empty result, one of items hits nothing. Other columns are not
+read, so their names can't clash, and ``keep_clean`` hands them on.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.columns import ALNUM_WORD, alnum_words, text_or_empty
-from tallyfold.llm.sampling import without
+from tallyfold.llm.sampling import BROADCAST_IDS, without
 from tallyfold.plans.storage import write_table
 
-WINDOW, SHINGLE, BLOCK_ROWS = 10, 3, 50_000
+WINDOW, SHINGLE = 10, 3
+#: Distinct shingles of the benchmark, and windows with their words, that are broadcast at most.
+KEYS, ANCHORS = 1_000_000, 50_000
 
 
-def _shingle(words: Column, at: Column, size: int) -> Column:
-    return F.xxhash64(*(F.get(words, at + k) for k in range(size)))
+def _shingle(words: Column, at: Column, k: Column, sizes: list[int]) -> Column:
+    """The key of the ``k`` words from ``at`` on, ``k`` one of ``sizes``."""
+    keys = [F.xxhash64(*(F.get(words, at + j) for j in range(size))) for size in sizes]
+    out = keys[-1]
+    for size, key in zip(sizes[:-1], keys):
+        out = F.when(k == size, key).otherwise(out)
+    return out
 
 
-def _positions(docs: DataFrame, size: int) -> DataFrame:
-    """A row for each word position with ``size`` words from there on, with the shingle's key."""
+def _positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """A row for each word position and size with that many words from there on, with the shingle's key."""
     # A filter on n would be pushed below the words and split the text twice.
-    starts = F.when(F.col("n") >= size, F.sequence(F.lit(0), F.col("n") - size)).otherwise(F.array().cast("array<int>"))
-    return docs.select("*", F.explode(starts).alias("pos")).withColumn("key", _shingle(F.col("words"), F.col("pos"), size))
+    none = F.array().cast("array<struct<k:int,pos:int>>")
+
+    def starts(k: int) -> Column:
+        return F.when(F.col("n") >= k, F.transform(F.sequence(F.lit(0), F.col("n") - k), lambda i: F.struct(F.lit(k).alias("k"), i.alias("pos")))).otherwise(none)
+
+    places = [starts(k) for k in sizes]
+    out = docs.select("*", F.inline(places[0] if len(places) == 1 else F.concat(*places)))
+    return out.withColumn("key", _shingle(F.col("words"), F.col("pos"), F.col("k"), sizes))
 
 
 def item_windows(items: DataFrame, item_id: str, text: str, window: int, shingle: int) -> DataFrame:
@@ -48,58 +66,57 @@ def item_windows(items: DataFrame, item_id: str, text: str, window: int, shingle
     )
 
 
-def find_windows(docs: DataFrame, windows: DataFrame, block_rows: int) -> DataFrame:
+def find_windows(docs: DataFrame, windows: DataFrame, most_keys: int, most_anchors: int) -> DataFrame:
     """(doc_id, th, start, len, wid): every occurrence of a window in a document."""
+    none = docs.where(F.lit(False)).select("doc_id", "th", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit("").alias("wid"))
     sizes = sorted(r["k"] for r in windows.select("k").distinct().collect())  # at most ``shingle`` values
-    found = []
-    for k in sizes:
-        own = windows.where(F.col("k") == k)
-        offsets = own.select("wid", "len", "win", F.explode(F.sequence(F.lit(0), F.col("len") - k)).alias("off")).withColumn(
-            "key", _shingle(F.col("win"), F.col("off"), k)
-        )
-        blocks = math.ceil(offsets.count() / block_rows)
-        if blocks == 0:
-            continue
-        part = lambda df, b, n, by: df.where(F.pmod(F.xxhash64(by), F.lit(n)) == b) if n > 1 else df
-        counts = None
-        keys = offsets.select("key").distinct()
-        for b in range(blocks):
-            hits = _positions(docs.select("words", "n"), k).select("key").join(F.broadcast(part(keys, b, blocks, "key")), "key")
-            got = hits.groupBy("key").agg(F.count("*").alias("freq"))
-            counts = got if counts is None else counts.union(got)
-        rarest = offsets.join(counts, "key", "left").groupBy("wid").agg(
-            F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), F.col("off"), F.col("key"))).alias("p"), F.first("len").alias("len"), F.first("win").alias("win")
-        )
-        # A window whose rarest shingle never occurs can't occur.
-        anchors = write_table(rarest.where("p.freq > 0").select("wid", "len", "win", F.col("p.off").alias("off"), F.col("p.key").alias("key")), "anchors")
-        blocks = math.ceil(anchors.count() / block_rows)
-        for b in range(blocks):
-            near = _positions(docs, k).join(F.broadcast(part(anchors, b, blocks, "wid")), "key")
-            inside = near.withColumn("start", F.col("pos") - F.col("off")).where("start >= 0 AND start + len <= n")
-            found.append(inside.where(F.slice("words", F.col("start") + 1, F.col("len")) == F.col("win")).select("doc_id", "th", "start", "len", "wid"))
-    out = docs.where(F.lit(False)).select("doc_id", "th", F.lit(0).alias("start"), F.lit(0).alias("len"), F.lit("").alias("wid"))
-    for more in found:
-        out = out.union(more)
-    return out
+    if not sizes:
+        return none
+    offsets = windows.select("wid", "len", "win", "k", F.explode(F.expr("sequence(0, len - k)")).alias("off")).withColumn("key", _shingle(F.col("win"), F.col("off"), F.col("k"), sizes))
+    keys = write_table(offsets.select("key").distinct(), "keys")
+    seen = _positions(docs.select("words", "n"), sizes).select("key")
+    if keys.count() <= most_keys:
+        counts = seen.join(F.broadcast(keys), "key").groupBy("key").agg(F.count("*").alias("freq"))
+    else:
+        counts = seen.groupBy("key").agg(F.count("*").alias("freq")).join(keys, "key", "left_semi")
+    counts = write_table(counts, "key_counts")
+    rarest = offsets.join(counts, "key", "left").groupBy("wid").agg(
+        F.min(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), F.col("off"), F.col("key"))).alias("p"), F.first("len").alias("len"), F.first("win").alias("win")
+    )
+    # A window whose rarest shingle never occurs can't occur.
+    anchors = write_table(rarest.where("p.freq > 0").select("wid", "len", "win", F.col("p.off").alias("off"), F.col("p.key").alias("key")), "anchors")
+    found = ["doc_id", "th", "start", "len", "wid"]
+    fits = "start >= 0 AND start + len <= n"
+    same = F.slice("words", F.col("start") + 1, F.col("len")) == F.col("win")
+    if anchors.count() <= most_anchors:
+        near = _positions(docs, sizes).join(F.broadcast(anchors), "key").withColumn("start", F.col("pos") - F.col("off"))
+        return near.where(fits).where(same).select(*found)
+    places = _positions(docs, sizes).select("doc_id", "th", "n", "pos", "key").join(anchors.drop("win"), "key").withColumn("start", F.col("pos") - F.col("off"))
+    places = write_table(places.where(fits).select(F.struct("doc_id", "th").alias("at"), "start", "len", "wid").distinct(), "places")
+    ids = write_table(places.select("at").distinct(), "place_ids")
+    at = F.struct("doc_id", "th")
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.select("words", at.alias("at")).join(F.broadcast(ids) if few else ids, "at", "left_semi")
+    return places.join(texts, "at").join(anchors.select("wid", "win"), "wid").where(same).select("at.doc_id", "at.th", "start", "len", "wid")
 
 
 def contamination(
     documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS,
+    window: int = WINDOW, shingle: int = SHINGLE, most_keys: int = KEYS, most_anchors: int = ANCHORS,
 ) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (their ids as sorted texts) and contaminated, for each document row."""
-    return _judged(documents, items, doc_id, text, item_id, item_text, window, shingle, block_rows).drop("__tf_same")
+    return _judged(documents, items, doc_id, text, item_id, item_text, window, shingle, most_keys, most_anchors).drop("__tf_same")
 
 
 def _judged(
     documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
-    window: int = WINDOW, shingle: int = SHINGLE, block_rows: int = BLOCK_ROWS,
+    window: int = WINDOW, shingle: int = SHINGLE, most_keys: int = KEYS, most_anchors: int = ANCHORS,
 ) -> DataFrame:
     """``contamination`` and __tf_same, the text's hash."""
     base = documents.select(F.col(doc_id).alias("doc_id"), text_or_empty(F.col(text)).alias("text")).withColumn("th", F.xxhash64("text"))
     docs = base.select("doc_id", "th", alnum_words(F.col("text")).alias("words")).withColumn("n", F.size("words"))
     windows = write_table(item_windows(items, item_id, item_text, window, shingle), "windows")
-    hits = write_table(find_windows(docs, windows.dropDuplicates(["wid"]), block_rows).distinct(), "hits")
+    hits = write_table(find_windows(docs, windows.dropDuplicates(["wid"]), most_keys, most_anchors).distinct(), "hits")
     spans = hits.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "len")).alias("spans"))
     n_hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1)))))
     named = windows.where(F.col("item_id").isNotNull()).select("wid", F.col("item_id").cast("string").alias("item")).distinct()

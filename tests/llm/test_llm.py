@@ -131,8 +131,9 @@ def test_contamination(spark, hard, empty):
     bench = spark.createDataFrame([(i, t, "clash") for i, t in items], "item_id bigint, text string, words string")
     more = spark.createDataFrame([(100, f"pre {long} post, {long.upper()}"), (101, long[:-10]), (102, "alpha beta")], "doc_id bigint, text string")
     df = hard.select("doc_id", "text", "words", "key").unionByName(more, allowMissingColumns=True)
-    for block in (decontaminate.BLOCK_ROWS, 3):
-        got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in decontaminate.contamination(df, bench, block_rows=block).collect())
+    for bounds in ((decontaminate.KEYS, decontaminate.ANCHORS), (3, 3), (3, 100), (100, 3)):
+        judged = decontaminate.contamination(df, bench, most_keys=bounds[0], most_anchors=bounds[1]).collect()
+        got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], tuple(r["items"]), r["contaminated"]) for r in judged)
         want = []
         for r in df.collect():
             n, h, f = hits_spec(r["text"], items)
@@ -144,6 +145,19 @@ def test_contamination(spark, hard, empty):
     assert kept.columns == df.columns and kept.where("doc_id IN (100, 5)").count() == 0
 
 
+def test_documents_are_read_as_often_for_any_benchmark(spark, docs, monkeypatch):
+    read, made = [], decontaminate._positions
+    monkeypatch.setattr(decontaminate, "_positions", lambda *a: read.append(1) or made(*a))
+    texts = docs.select("doc_id", F.substring("text", 1, 200).alias("text"))
+    item = lambda n: spark.range(n).select(F.col("id").alias("item_id"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.concat(F.lit("v"), F.col("id") * 100 + k)), " ").alias("text"))
+    planted = texts.union(spark.createDataFrame([(10**6, " ".join(f"v{7 * 100 + k}" for k in range(12)))], texts.schema))
+    for n in (200, 20_000):
+        for bounds in ((decontaminate.KEYS, decontaminate.ANCHORS), (100, 100)):
+            read.clear()
+            got = decontaminate.contamination(planted, item(n), most_keys=bounds[0], most_anchors=bounds[1]).where("contaminated").collect()
+            assert [(r["doc_id"], r["n_hit"], r["items"]) for r in got] == [(10**6, 12, ["7"])] and len(read) == 2
+
+
 def test_only_rejected_rows_go(spark, docs):
     bench = spark.createDataFrame([(1, "alpha beta")], "item_id bigint, text string")
     rows = [(None, "alpha beta"), (None, "clean"), (None, None), (7, "alpha beta"), (7, "also clean"), (8, "clean")]
