@@ -1,18 +1,23 @@
-"""Language-model scores: the marginal likelihood of a text over all its segmentations into pieces.
-
-The pieces and their prior scores come from an existing vocabulary file. Their probabilities are the
-counts of the training texts' words, segmented into pieces, smoothed towards the prior. A word's
-probability sums over every way to spell it in pieces, by the forward recursion in log space, and a
-text's is the product over its words and its end. Beside it stands the word unigram score with add-half
-smoothing.
+"""Language-model scores: the marginal likelihood of a text over all its segmentations into pieces and words.
+
+The pieces come from an existing vocabulary file, whose scores weight them at first (they are merge ranks, so
+by Zipf's law over the rank). Training words are arcs of their own beside the spellings, each with its count
+less a discount, which is learned from how many words occur once and twice; the discounts' mass is what spelled
+words get. ``ROUNDS`` rounds of forward-backward over all segmentations of all distinct training words turn the
+pieces' weights into expected counts. A word's probability sums over every way to spell it and its own arc, by
+the forward recursion in log space, and a text's is the product over its words and its end. Word arcs, spelled
+words and the end together have probability 1, and so have the pieces: a spelled word is a marked piece and
+any number of others. Beside it stands the word unigram score with add-half smoothing, which is no
+distribution over texts, as all unseen words share one word's probability.
 
 All counts are over all training texts, in a distributed table of one row per distinct word, which also
-gets the word's lattice likelihood once. The most frequent words, ``HEAVY`` at most, are sent to all workers; every
+gets the word's expected counts and lattice likelihood. The most frequent words, ``HEAVY`` at most, are sent to all workers; every
 other word of a text finds its row by a join, where no key is frequent.
 
 Null and empty texts are one end token. Very long texts and words are scored whole. Repeated rows get
-equal scores, each its own row. Without training texts, all counts are 0. An empty table gives an empty
-result.
+equal scores, each its own row; no order enters, so ties need no rule. Without training texts, all counts are 0
+and the vocabulary's scores weight alone. An empty table gives an empty result. Only the two named columns are
+read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +36,9 @@ from tallyfold.llm.columns import LOWER, UPPER, crc_of_id, small_batches
 from tallyfold.llm.sentence_pieces import MARK, piece_model
 from tallyfold.plans.storage import write_table
 
-HEAVY, FLUSH, PRIOR_COUNT, PRIOR_SHIFT = 120_000, 100_000, 2000.0, 10.0
+HEAVY, FLUSH, PRIOR_COUNT, PRIOR_SHIFT, ROUNDS = 120_000, 100_000, 2000.0, 10.0, 3
+#: Characters of words in one lattice.
+CHARS = 200_000
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -63,81 +71,148 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from rows()
 
 
-def piece_counts(words: DataFrame, model_path: str) -> np.ndarray:
-    """How often each piece spells the training words; one row a piece reaches the driver."""
-
-    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        lib = sentencepiece.SentencePieceProcessor(model_file=model_path)
-        n = np.zeros(lib.vocab_size())
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2000):
-                part = batch.slice(lo, 2000)
-                ids = lib.encode(part.column(0).to_pylist(), num_threads=1)
-                times = np.repeat(part.column(1).to_numpy(), [len(i) for i in ids])
-                n += np.bincount(np.fromiter((x for i in ids for x in i), np.int64, len(times)), times, len(n))
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["piece", "n"])
-
-    got = words.where("train > 0").select("word", "train").mapInArrow(spelled, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(piece_model(model_path).known)
-    for r in got:
-        out[r["piece"]] = r["n"]
-    return out
-
-
-def piece_log10(counts: np.ndarray, ends: int, model_path: str) -> tuple[np.ndarray, float]:
-    """log10 probabilities of the pieces and of the end, of sum 1."""
+def prior_counts(model_path: str) -> np.ndarray:
+    """PRIOR_COUNT dealt to the pieces by the vocabulary's scores; bytes and control pieces have the last rank."""
     model = piece_model(model_path)
-    rank = np.full(len(counts), float(len(counts)))
+    rank = np.full(model.known, float(model.known))
     for piece, i in model.ids.items():
         rank[i] = model.rank[piece]
     prior = 1 / (rank + PRIOR_SHIFT)
-    prior *= PRIOR_COUNT / prior.sum()
-    total = counts.sum() + PRIOR_COUNT + ends + 1
-    return np.log10((counts + prior) / total), math.log10((ends + 1) / total)
+    return prior * (PRIOR_COUNT / prior.sum())
+
+
+def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """log of the sum of exp of each run of ``x`` that begins at ``first``."""
+    top = np.maximum.reduceat(x, first)
+    return top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(first, append=len(x)))), first))
 
 
 class Lattice:
+    """Forward and backward sums over all segmentations of many words at once, in log space.
+
+    The words stand marked in one text with a line end after each, so that a node is a place in the text. Arcs are
+    the pieces that occur, and the bytes of each character that is no piece.
+    """
+
     def __init__(self, model_path: str, log10: np.ndarray):
         self.model = piece_model(model_path)
-        self.logs = (log10 * math.log(10)).tolist()
-        self.bytes = [self.logs[i] for i in self.model.byte_ids]
-
-    def word(self, word: str) -> float:
-        """log10 of the sum over all segmentations of the marked word."""
-        text, logs, known = MARK + word, self.logs, self.model.known
-        alpha: list[float | None] = [None] * (len(text) + 1)
-        alpha[0] = 0.0
-        exp, log1p = math.exp, math.log1p
-        done = 0
-        for end, (token, length) in self.model.automaton.iter(text):
-            if token >= known:
-                continue
-            start, end = end + 1 - length, end + 1
-            if start > done:
-                self._bytes(text, alpha, done, start)
-            done = max(done, start)
-            before = alpha[start]
-            if before is None:
-                self._bytes(text, alpha, 0, start)
-                before = alpha[start]
-            new, old = before + logs[token], alpha[end]
-            if old is None:
-                alpha[end] = new
-            elif new > old:
-                alpha[end] = new + log1p(exp(old - new))
-            else:
-                alpha[end] = old + log1p(exp(new - old))
-        self._bytes(text, alpha, done, len(text))
-        return alpha[-1] / math.log(10)
-
-    def _bytes(self, text: str, alpha: list[float | None], lo: int, hi: int) -> None:
-        """Characters without a piece are spelled in bytes."""
-        for k in range(lo, hi):
-            if alpha[k + 1] is None and alpha[k] is not None:
-                alpha[k + 1] = alpha[k] + sum(self.bytes[b] for b in text[k].encode("utf-8", "replace"))
+        if not self.model.lines:
+            raise ValueError("a vocabulary without line ends is needed")
+        import ahocorasick
+
+        self.logs = log10 * math.log(10)
+        self.automaton = ahocorasick.Automaton()
+        for piece, i in self.model.ids.items():
+            self.automaton.add_word(piece, i << 10 | len(piece))
+        self.automaton.make_automaton()
+
+    def _arcs(self, words: list[str]) -> None:
+        model = self.model
+        text = "".join(f"{MARK}{w}\n" for w in words)
+        ends, values = zip(*self.automaton.iter(text)) if words else ((), ())
+        ends, values = np.array(ends, np.int64) + 1, np.array(values, np.int64)
+        codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        odd = sorted(set(text) - model.ids.keys() - {"\n"})
+        self.odd = [[model.byte_ids[b] for b in c.encode("utf-8", "replace")] for c in odd]
+        place = np.flatnonzero(np.isin(codes, np.array([ord(c) for c in odd], np.uint32))) if odd else np.empty(0, np.int64)
+        which = np.searchsorted(np.array([ord(c) for c in odd], np.uint32), codes[place])
+        logs = np.concatenate([self.logs, [self.logs[ids].sum() for ids in self.odd]]) if odd else self.logs
+        self.token = np.concatenate([values >> 10, model.known + which])
+        self.end = np.concatenate([ends, place + 1])
+        self.start = np.concatenate([ends - (values & 1023), place])
+        if odd:
+            order = np.argsort(self.end, kind="stable")
+            self.token, self.end, self.start = self.token[order], self.end[order], self.start[order]
+        self.weight = logs[self.token]
+        self.last = np.flatnonzero(codes == ord("\n"))
+        self.first = np.concatenate([[0], self.last[:-1] + 1])
+        self.owner = np.searchsorted(self.last, self.start)
+        self.nodes = len(codes)
+
+    def _swept(self, to: np.ndarray, other: np.ndarray, weight: np.ndarray, depth: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """Log sums at every node, from ``begin`` on in order of ``depth``, the distance of an arc's ``to`` from it."""
+        out = np.full(self.nodes, -np.inf)
+        out[begin] = 0.0
+        # Arcs come in order of ``to``; few depths sort by radix.
+        order = np.argsort(depth.astype(np.uint16) if len(depth) and depth.max() < 1 << 16 else depth, kind="stable")
+        to, other, weight, depth = to[order], other[order], weight[order], depth[order]
+        edges = np.searchsorted(depth, np.arange(1, (depth[-1] if len(depth) else 0) + 2))
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if lo < hi:
+                at = to[lo:hi]
+                first = np.flatnonzero(np.diff(at, prepend=-1))
+                out[at[first]] = _sums(out[other[lo:hi]] + weight[lo:hi], first)
+        return out
+
+    def _batches(self, words: list[str]) -> Iterator[np.ndarray]:
+        """Indices of words of like length, CHARS characters together."""
+        order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
+        sizes = np.fromiter((len(words[i]) + 2 for i in order), np.int64, len(order))
+        return iter(np.split(order, np.flatnonzero(np.diff(np.cumsum(sizes) // CHARS)) + 1))
+
+    def log10(self, words: list[str]) -> np.ndarray:
+        """log10 of the sum over all segmentations of each marked word."""
+        out = np.zeros(len(words))
+        for at in self._batches(words) if words else ():
+            self._arcs([words[i] for i in at])
+            out[at] = self._swept(self.end, self.start, self.weight, self.end - self.first[self.owner], self.first)[self.last] / math.log(10)
+        return out
+
+    def expected(self, words: list[str], times: np.ndarray) -> np.ndarray:
+        """How often each piece occurs in segmentations drawn by their probability, each word ``times`` times."""
+        out = np.zeros(self.model.known)
+        for at in self._batches(words) if words else ():
+            self._arcs([words[i] for i in at])
+            there = self._swept(self.end, self.start, self.weight, self.end - self.first[self.owner], self.first)
+            by = np.argsort(self.start, kind="stable")
+            back = self._swept(self.start[by], self.end[by], self.weight[by], (self.last[self.owner] - self.start)[by], self.last)
+            share = np.exp(there[self.start] + self.weight + back[self.end] - there[self.last[self.owner]]) * times[at][self.owner]
+            got = np.bincount(self.token, share, self.model.known + len(self.odd))
+            out += got[: self.model.known]
+            for ids, n in zip(self.odd, got[self.model.known :]):
+                np.add.at(out, ids, n)
+        return out
+
+
+class Weights:
+    """What is behind all probabilities: expected counts of pieces, the words' discount, spelled words and ends."""
+
+    def __init__(self, tokens: int, distinct: int, once: int, twice: int, ends: int, model_path: str):
+        self.model_path = model_path
+        self.discount = min(max(once / (once + 2 * twice), 0.1), 0.9) if once else 0.5
+        self.spelled, self.ends = self.discount * distinct + 1, ends + 1
+        self.total = tokens + 1 + self.ends
+        self.pieces = self.prior = prior_counts(model_path)
+
+    def piece_log10(self) -> np.ndarray:
+        return np.log10(self.pieces / self.pieces.sum())
+
+    def end_log10(self) -> float:
+        return math.log10(self.ends / self.total)
+
+    def word_log10(self, ways: np.ndarray, train: np.ndarray) -> np.ndarray:
+        """Of words with the sums ``ways`` over their spellings and the counts ``train``."""
+        ways = ways + math.log10(self.spelled / self.total)
+        own = np.log10(np.where(train > 0, (train - self.discount) / self.total, 1.0))
+        return np.where(train > 0, np.maximum(ways, own) + np.log10(1 + 10 ** -np.abs(ways - own)), ways)
+
+    def learned(self, words: DataFrame) -> Weights:
+        """After one round of forward-backward over the training words of (word, train); one row a piece reaches the driver."""
+        path, logs, discount = self.model_path, words.sparkSession.sparkContext.broadcast(self.piece_log10()), self.discount
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lattice = Lattice(path, logs.value)
+            n = np.zeros(lattice.model.known)
+            for batch in batches:
+                n += lattice.expected(batch.column(0).to_pylist(), np.full(batch.num_rows, discount))
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["piece", "n"])
+
+        got = words.where("train > 0").select("word").mapInArrow(counted, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).toArrow()
+        after = copy(self)
+        after.pieces = self.prior.copy()
+        after.pieces[got.column("piece").to_numpy()] += got.column("n").to_numpy()
+        return after
 
 
 def _scored(batches: Iterator[pa.RecordBatch], heavy: dict[bytes, tuple[float, float, int]], step: int = 256) -> Iterator[pa.RecordBatch]:
@@ -186,7 +261,9 @@ def frequent_words(words: DataFrame, most: int) -> DataFrame:
     return words.where(level >= cut) if cut is not None else words.where(F.lit(False))
 
 
-def lm_scores(documents: DataFrame, model_path: str, held_out: Column | None = None, doc_id: str = "doc_id", text: str = "text", heavy: int = HEAVY) -> DataFrame:
+def lm_scores(
+    documents: DataFrame, model_path: str, held_out: Column | None = None, doc_id: str = "doc_id", text: str = "text", heavy: int = HEAVY, rounds: int = ROUNDS,
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) for each row."""
     small_batches(documents.sparkSession)
     spark = documents.sparkSession
@@ -194,18 +271,22 @@ def lm_scores(documents: DataFrame, model_path: str, held_out: Column | None = N
     texts = documents.select(F.col(doc_id).alias("id"), out.alias("held_out"), F.col(text).cast("string").alias("text"))
     partial = texts.select("text", (~F.col("held_out")).alias("learn")).mapInArrow(_counted, "word string, train bigint, seen bigint")
     counts = write_table(partial.groupBy("word").agg(F.sum("train").alias("train"), F.sum("seen").alias("seen")), "words")
-    sums = counts.agg(F.sum("train").alias("n"), F.count_if(F.col("train") > 0).alias("v")).first()
+    of = lambda n: F.count_if(F.col("train") == n)
+    sums = counts.agg(F.sum("train").alias("n"), F.count_if(F.col("train") > 0).alias("v"), of(1).alias("once"), of(2).alias("twice")).first()
     ends = texts.where("NOT held_out").count()
     total, distinct = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
     floor = math.log10(total + 0.5 * (distinct + 1))
-    logs, end_log = piece_log10(piece_counts(counts, model_path), ends, model_path)
-    shared = spark.sparkContext.broadcast(logs)  # a number for each piece of the vocabulary
+    weights = Weights(sums["n"] or 0, sums["v"], sums["once"], sums["twice"], ends, model_path)
+    for _ in range(rounds if sums["v"] else 0):
+        weights = weights.learned(counts)
+    end_log = weights.end_log10()
+    shared = spark.sparkContext.broadcast(weights)  # a number for each piece of the vocabulary
 
     def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(model_path, shared.value)
+        lattice = Lattice(model_path, shared.value.piece_log10())
         for batch in batches:
-            got = pa.array(list(map(lattice.word, batch.column(0).to_pylist())), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, got], names=["word", "train", "seen", "lattice"])
+            got = shared.value.word_log10(lattice.log10(batch.column(0).to_pylist()), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], names=["word", "train", "seen", "lattice"])
 
     words = write_table(counts.mapInArrow(spelled, "word string, train bigint, seen bigint, lattice double"), "lattice")
     top = frequent_words(words, heavy).select("word", "train", "lattice").toArrow()  # at most ``heavy`` rows

@@ -439,34 +439,85 @@ def lattice_spec(word, logs, model):
     return np.log10(p[-1])
 
 
-def test_lattice():
+def test_lattice(spark):
     model = sentence_pieces.piece_model(MODEL)
-    rng = np.random.default_rng(4)
-    logs, end = lattice_lm.piece_log10(rng.integers(0, 50, model.known).astype(float), 10, MODEL)
-    assert abs((10**logs).sum() + 10**end - 1) < 1e-9
+    weights = lattice_lm.Weights(50, 20, 8, 3, 10, MODEL)
+    weights.pieces = np.random.default_rng(4).integers(1, 50, model.known).astype(float)
+    train = np.array([1] * 8 + [2] * 3 + [4] * 9)
+    logs = weights.piece_log10()
+    words = 10 ** weights.word_log10(np.full(len(train), -np.inf), train)
+    assert abs((10**logs).sum() - 1) < 1e-9 and weights.discount == 8 / 14
+    assert abs(words.sum() + weights.spelled / weights.total + 10 ** weights.end_log10() - 1) < 1e-9
     lattice = lattice_lm.Lattice(MODEL, logs)
-    for w in ["the", "thereof", "x", "naïve", "漢字☃x", "☃", "a" * 40, "\x00q"]:
-        assert abs(lattice.word(w) - lattice_spec(w, logs, model)) < 1e-6
-    assert np.isfinite(lattice.word("z" * 5000))
+    words = ["the", "thereof", "x", "naïve", "漢字☃x", "☃", "a" * 40, "\x00q", "☃☃", "▁x▁"]
+    assert np.allclose(lattice.log10(words), [lattice_spec(w, logs, model) for w in words], atol=1e-9)
+    assert np.isfinite(lattice.log10(["z" * 5000, "q"])).all() and len(lattice.log10([])) == 0
+
+
+def test_expected_counts():
+    """Of few pieces, by listing every segmentation."""
+    model = sentence_pieces.piece_model(MODEL)
+    logs = np.log10(np.random.default_rng(5).dirichlet(np.ones(model.known)))
+
+    def ways(text):
+        if not text:
+            yield 0.0, ()
+        for k in range(1, len(text) + 1):
+            i = model.ids.get(text[:k])
+            own = ([i],) if i is not None else ([model.byte_ids[b] for b in text[:k].encode()],) if k == 1 else ()
+            for ids in own:
+                for p, rest in ways(text[k:]):
+                    yield p + logs[ids].sum(), (*ids, *rest)
+
+    words, times = ["there", "☃an", "nation"], np.array([2.0, 0.5, 1.0])
+    want = np.zeros(model.known)
+    for w, n in zip(words, times):
+        found = list(ways("▁" + w))
+        whole = sum(10**p for p, _ in found)
+        for p, ids in found:
+            np.add.at(want, list(ids), n * 10**p / whole)
+    assert np.allclose(lattice_lm.Lattice(MODEL, logs).expected(words, times), want, atol=1e-9)
 
 
 @pytest.mark.parametrize("heavy", [0, 50, 150_000])
 def test_lm_scores(spark, docs, hard, heavy):
-    df = docs.select("doc_id", "text").union(hard.where("doc_id IS NULL OR doc_id < 4").select("doc_id", "text"))
+    df = docs.select("doc_id", "text").union(hard.select("doc_id", "text"))
     rows = df.collect()
     out = lambda i: zlib.crc32((str(i) if i is not None else "").encode()) % 5 == 1
-    tokens = lambda t: [*SPACED.findall((t or "").translate(LOWER)), None]
-    count = collections.Counter(w for r in rows if not out(r["doc_id"]) for w in tokens(r["text"]))
-    total, distinct = sum(count.values()), len(count)
+    words = lambda t: SPACED.findall((t or "").translate(LOWER))
+    count = collections.Counter(w for r in rows if not out(r["doc_id"]) for w in words(r["text"]))
+    ends = sum(not out(r["doc_id"]) for r in rows)
+    total, distinct = sum(count.values()) + ends, len(count) + 1
+    times = collections.Counter(count.values())
+    weights = lattice_lm.Weights(sum(count.values()), len(count), times[1], times[2], ends, MODEL)
+    for _ in range(lattice_lm.ROUNDS):
+        got = lattice_lm.Lattice(MODEL, weights.piece_log10()).expected(list(count), np.full(len(count), weights.discount))
+        weights.pieces = weights.prior + got
+    model, logs, spell = sentence_pieces.piece_model(MODEL), weights.piece_log10(), {}
+    for w in {w for r in rows for w in words(r["text"]) if len(w) < 100}:
+        own = (count[w] - weights.discount) / weights.total if count[w] else 0.0
+        spell[w] = np.log10(10 ** lattice_spec(w, logs, model) * weights.spelled / weights.total + own)
     want = collections.defaultdict(list)
     for r in rows:
-        c = [count[w] for w in tokens(r["text"])]
-        want[r["doc_id"]].append((len(c), sum(x > 0 for x in c), sum(np.log10((x + 0.5) / (total + 0.5 * (distinct + 1))) for x in c)))
+        c = [*(count[w] for w in words(r["text"])), ends]
+        base = sum(np.log10((x + 0.5) / (total + 0.5 * (distinct + 1))) for x in c)
+        short = all(len(w) < 100 for w in words(r["text"]))
+        want[r["doc_id"]].append((len(c), sum(x > 0 for x in c), base, sum(spell[w] for w in words(r["text"])) + weights.end_log10() if short else None))
     got = lattice_lm.lm_scores(df, MODEL, heavy=heavy).collect()
     assert len(got) == len(rows)
+    near = lambda a, b: abs(a - b) < 1e-6 * max(1, abs(a))
     for r in got:
-        assert r["train_tokens"] == total and r["held_out"] == out(r["doc_id"]) and r["score"] < 0
-        assert any(w[:2] == (r["n_tokens"], r["n_known"]) and abs(w[2] - r["base_score"]) < 1e-6 * max(1, abs(w[2])) for w in want[r["doc_id"]])
+        assert r["train_tokens"] == total and r["held_out"] == out(r["doc_id"])
+        assert any(w[:2] == (r["n_tokens"], r["n_known"]) and near(w[2], r["base_score"]) and (near(w[3], r["score"]) if w[3] is not None else -1e6 < r["score"] < 0) for w in want[r["doc_id"]])
+
+
+def test_held_out_likelihood_rises(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    per_token = []
+    for rounds in (0, 1, 2, 3):
+        got = lattice_lm.lm_scores(docs, MODEL, rounds=rounds).where("held_out").agg(F.sum("score") / F.sum("n_tokens"), F.sum("base_score") / F.sum("n_tokens")).first()
+        per_token.append(got[0])
+    assert per_token == sorted(per_token) and per_token[-1] > -4.85 and got[1] > -4.2
 
 
 def test_lm_empty(empty):
