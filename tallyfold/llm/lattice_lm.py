@@ -37,8 +37,8 @@ from tallyfold.llm.sentence_pieces import MARK, piece_model
 from tallyfold.plans.storage import write_table
 
 HEAVY, FLUSH, PRIOR_COUNT, PRIOR_SHIFT, ROUNDS = 120_000, 100_000, 2000.0, 10.0, 3
-#: Characters of words in one lattice.
-CHARS = 200_000
+#: Characters of words in one lattice; bits of a hash that are looked up first.
+CHARS, HEAD = 50_000, 18
 _TO_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -87,6 +87,11 @@ def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     return top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, np.diff(first, append=len(x)))), first))
 
 
+def _next_hash(keys: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The hashes of texts that are one character longer."""
+    return (keys ^ codes) * np.uint64(0x9E3779B97F4A7C15) + (keys >> np.uint64(29))
+
+
 class Lattice:
     """Forward and backward sums over all segmentations of many words at once, in log space.
 
@@ -98,31 +103,58 @@ class Lattice:
         self.model = piece_model(model_path)
         if not self.model.lines:
             raise ValueError("a vocabulary without line ends is needed")
-        import ahocorasick
-
         self.logs = log10 * math.log(10)
-        self.automaton = ahocorasick.Automaton()
+        # Pieces of each length: their hashes in order, ids and characters, and which hash heads occur.
+        self.tables = []
+        ids: dict[int, list[tuple[str, int]]] = {}
         for piece, i in self.model.ids.items():
-            self.automaton.add_word(piece, i << 10 | len(piece))
-        self.automaton.make_automaton()
+            ids.setdefault(len(piece), []).append((piece, i))
+        for n, own in sorted(ids.items()):
+            codes = np.array([[ord(c) for c in p] for p, _ in own], np.uint64)
+            keys = np.zeros(len(own), np.uint64)
+            for k in range(n):
+                keys = _next_hash(keys, codes[:, k])
+            order = np.argsort(keys)
+            if (np.diff(keys[order]) == 0).any():
+                raise ValueError("two pieces share a hash")
+            heads = np.zeros(1 << HEAD, bool)
+            heads[keys >> np.uint64(64 - HEAD)] = True
+            self.tables.append((n, keys[order], np.array([i for _, i in own])[order], codes[order], heads))
+
+    def _found(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(token, start, end) of every piece that occurs, by rolling hashes; characters are compared where hashes agree."""
+        codes = codes.astype(np.uint64)
+        keys, size, out = np.zeros(len(codes), np.uint64), 0, []
+        for n, hashes, tokens, chars, heads in self.tables:
+            for k in range(size, min(n, len(codes))):
+                keys = _next_hash(keys[: len(codes) - k], codes[k:])
+            size = n
+            if n > len(codes):
+                break
+            at = np.flatnonzero(heads[keys >> np.uint64(64 - HEAD)])
+            row = np.searchsorted(hashes, keys[at])
+            ok = hashes[np.minimum(row, len(hashes) - 1)] == keys[at]
+            at, row = at[ok], row[ok]
+            same = np.ones(len(at), bool)
+            for k in range(n):
+                same &= codes[at + k] == chars[row, k]
+            at, row = at[same], row[same]
+            out.append((tokens[row], at, at + n))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 3
 
     def _arcs(self, words: list[str]) -> None:
         model = self.model
         text = "".join(f"{MARK}{w}\n" for w in words)
-        ends, values = zip(*self.automaton.iter(text)) if words else ((), ())
-        ends, values = np.array(ends, np.int64) + 1, np.array(values, np.int64)
         codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        tokens, starts, ends = self._found(codes)
         odd = sorted(set(text) - model.ids.keys() - {"\n"})
         self.odd = [[model.byte_ids[b] for b in c.encode("utf-8", "replace")] for c in odd]
         place = np.flatnonzero(np.isin(codes, np.array([ord(c) for c in odd], np.uint32))) if odd else np.empty(0, np.int64)
         which = np.searchsorted(np.array([ord(c) for c in odd], np.uint32), codes[place])
         logs = np.concatenate([self.logs, [self.logs[ids].sum() for ids in self.odd]]) if odd else self.logs
-        self.token = np.concatenate([values >> 10, model.known + which])
-        self.end = np.concatenate([ends, place + 1])
-        self.start = np.concatenate([ends - (values & 1023), place])
-        if odd:
-            order = np.argsort(self.end, kind="stable")
-            self.token, self.end, self.start = self.token[order], self.end[order], self.start[order]
+        token, start, end = np.concatenate([tokens, model.known + which]), np.concatenate([starts, place]), np.concatenate([ends, place + 1])
+        order = np.argsort(end, kind="stable")
+        self.token, self.start, self.end = token[order], start[order], end[order]
         self.weight = logs[self.token]
         self.last = np.flatnonzero(codes == ord("\n"))
         self.first = np.concatenate([[0], self.last[:-1] + 1])
