@@ -9,9 +9,11 @@ the final posterior.
 
 The text model is fitted on at most ``SAMPLE`` labelled documents; every other count covers all rows. Null
 and empty texts have no text evidence and follow declaration and host. Null or strange declarations and
-null hosts are values like any other (``none``, ``other``, empty). Very long texts are read whole.
+null hosts are values like any other (``none``, ``other``, empty). Very long texts are read whole, but weigh as
+much as EVIDENCE trigrams. Labels that contradict each other are not learned from.
 Repeated rows get the same answer; ties go to the first language in order; an empty table gives an empty
-result; a host with a third of all rows is one partial aggregate.
+result; a host with a third of all rows is one partial aggregate. Only the named columns are read, so others can't
+clash, and ``keep_known`` hands them on.
 """
 
 from __future__ import annotations
@@ -46,7 +48,7 @@ def _trigrams(text: str | None) -> np.ndarray:
 
 
 def fit_text_model(labelled: DataFrame, text: str, label: str) -> tuple[list[str], np.ndarray]:
-    """The languages in order and log probabilities [language, bucket]; the sample's counts alone reach the driver."""
+    """The languages in order and log probabilities [language, bucket]; of the sample's counts those that are not 0 reach the driver."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -55,13 +57,16 @@ def fit_text_model(labelled: DataFrame, text: str, label: str) -> tuple[list[str
                 if lang not in sums:
                     sums[lang] = np.zeros(BUCKETS, np.int64)
                 sums[lang] += np.bincount(_trigrams(t), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([s.astype(np.int32).tobytes() for s in sums.values()], pa.binary())], names=["lang", "counts"])
-
-    rows = labelled.where(F.col(label).isNotNull()).select(text, label).repartition(4).mapInArrow(counted, "lang string, counts binary").collect()
-    langs = sorted({r["lang"] for r in rows})
+        for lang, n in sums.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], names=["lang", "bucket", "n"])
+
+    parts = labelled.where(F.col(label).isNotNull()).select(text, label).repartition(4).mapInArrow(counted, "lang string, bucket int, n bigint")
+    rows = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    names = np.array(rows.column("lang").to_pylist(), object)
+    langs = sorted(set(names))
     counts = np.zeros((len(langs), BUCKETS))
-    for r in rows:
-        counts[langs.index(r["lang"])] += np.frombuffer(r["counts"], np.int32)
+    counts[[langs.index(x) for x in names], rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     smooth = counts + 0.5
     return langs, np.log(smooth / smooth.sum(axis=1, keepdims=True))
 
@@ -93,6 +98,23 @@ def text_model(labelled: DataFrame, label: str = "lang", key: str = "doc_id", te
     return fit_text_model(sampled_texts(labelled, marked, key, text, sample), "text", "label")
 
 
+def host_sums(scored: DataFrame, n: int) -> DataFrame:
+    """(host, suffix_sum, site_sum, host_sum): sums of the first posteriors of (host, site, suffix, first).
+
+    Rows are added up by host alone; sites add up their hosts, and suffixes their sites. Each level is written, so
+    a small one is broadcast by its size, and a suffix or host with most rows can be split where it is joined.
+    """
+    cells = [f"s{k}" for k in range(n)]
+    first = [F.sum(F.get("first", F.lit(k))).alias(c) for k, c in enumerate(cells)]
+    again = [F.sum(c).alias(c) for c in cells]
+    hosts = write_table(scored.groupBy("host", "site", "suffix").agg(*first), "hosts")
+    sites = write_table(hosts.groupBy("site", "suffix").agg(*again), "sites")
+    suffixes = write_table(sites.groupBy("suffix").agg(*again), "suffixes")
+    packed = lambda df, by: df.select(by, F.array(*cells).alias(f"{by}_sum"))
+    placed = hosts.select("host", "site", "suffix", F.array(*cells).alias("host_sum")).join(packed(sites, "site"), "site").join(packed(suffixes, "suffix"), "suffix")
+    return write_table(placed.select("host", "suffix_sum", "site_sum", "host_sum"), "places")
+
+
 def identify(rows: DataFrame, key: str, text: Column, declared: Column, host: Column, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """key, declared, host, language, confidence and text_language for each row."""
     small_batches(rows.sparkSession)
@@ -110,17 +132,14 @@ def identify(rows: DataFrame, key: str, text: Column, declared: Column, host: Co
     scored = write_table(scored.withColumn("first", _share(_softmax(F.col("loglik")))), "likelihoods")
     n = len(langs)
     sums = [F.sum(F.get("first", F.lit(k))).alias(f"s{k}") for k in range(n)]
-    table = lambda by: scored.groupBy(by).agg(F.array(*sums).alias(f"{by}_sum"))
     # (langs + 2) rows at most, and one row.
-    of_said = {r["said"]: r["said_sum"] for r in table("said").collect()}
+    of_said = {r["said"]: r["said_sum"] for r in scored.groupBy("said").agg(F.array(*sums).alias("said_sum")).collect()}
     whole = [sum(c[k] or 0.0 for c in of_said.values()) for k in range(n)]
     values = [*langs[:-1], "none", "other"]
     given = {v: [float(np.log(((of_said.get(v) or [0.0] * n)[k] + SLACK * whole[k] / len(values) + 1e-3) / (whole[k] * (1 + SLACK) + 1e-3 * len(values)))) for k in range(n)] for v in values}
     spoken = F.create_map(*(x for v in values for x in (F.lit(v), F.array(*map(F.lit, given[v])))))
     top = [(w + 0.5) / (sum(whole) + 0.5 * n) for w in whole]
-    joined = scored
-    for by in ("suffix", "site", "host"):
-        joined = joined.join(table(by), by)
+    joined = scored.join(host_sums(scored, n), "host")
     # A level's sum without the row's own share, smoothed by the level above.
     prior = F.array(*map(F.lit, top))
     for by in ("suffix", "site", "host"):

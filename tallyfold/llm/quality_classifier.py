@@ -7,9 +7,10 @@ The result is the expected grade and the probability of the grades from ``from_g
 selection cuts.
 
 At most ``SAMPLE`` rated rows are fitted on. Null and empty texts have no features and get the grade of
-the thresholds alone. Texts of any length are read whole. Repeated rows get equal grades. Ratings that
-are null or of unknown documents are ignored; with one grade only, it is everyone's. An empty table gives
-an empty result.
+the thresholds alone. Texts of any length are read whole. Repeated rows get equal grades. Ratings may be any
+numbers, half grades too. Those that are null, of unknown documents or contradict each other are ignored; with
+one grade only, it is everyone's. Of an id with several texts the one with the least hash is learned from. Only
+the named columns are read, so others can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ _LETTERS, _DIGITS = re.compile(r"[^\W\d_]+"), re.compile(r"\d+")
 def _slots(word: str) -> tuple[int, int]:
     """The buckets of a word and of its shape."""
     shape = _DIGITS.sub("0", _LETTERS.sub(lambda m: "a" if len(m[0]) < 12 else "b" if len(m[0]) < 25 else "c", word))
-    return crc32(word.lower().encode("utf-8", "replace")) % (BUCKETS // 2), BUCKETS // 2 + crc32(shape[:12].encode("utf-8", "replace")) % (BUCKETS // 2 - 1)
+    return crc32(word.lower().encode("utf-8", "replace")) % (BUCKETS // 2), BUCKETS // 2 + crc32(shape.encode("utf-8", "replace")) % (BUCKETS // 2 - 1)
 
 
 class _Weights(dict):
@@ -60,10 +61,11 @@ def _counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return at, n / len(words)
 
 
-def fit_ordinal(at: list[np.ndarray], x: list[np.ndarray], grade: np.ndarray, grades: int) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) by Adagrad on the likelihood; the thresholds stay in order as sums of exponentials."""
+def fit_ordinal(at: list[np.ndarray], x: list[np.ndarray], grade: np.ndarray, grades: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) by Adagrad on the likelihood, each row by its ``weight``; the thresholds stay in order as sums of exponentials."""
+    weight = np.ones(len(grade)) if weight is None else weight / weight.mean()
     w, gw = np.zeros(BUCKETS), np.full(BUCKETS, 1e-6)
-    share = np.array([(grade > k).mean() for k in range(grades - 1)]).clip(1e-3, 1 - 1e-3)
+    share = np.array([np.average(grade > k, weights=weight) for k in range(grades - 1)]).clip(1e-3, 1 - 1e-3)
     first = -np.log(share / (1 - share))
     raw = np.concatenate([first[:1], np.log(np.maximum(np.diff(first), 1e-3))])
     gr = np.full(len(raw), 1e-6)
@@ -80,7 +82,7 @@ def fit_ordinal(at: list[np.ndarray], x: list[np.ndarray], grade: np.ndarray, gr
             hi, lo = sig(edge[g + 1] - f), sig(edge[g] - f)
             hi, lo = np.where(g == grades - 1, 1.0, hi), np.where(g == 0, 0.0, lo)
             p = np.maximum(hi - lo, 1e-9)
-            d_hi, d_lo = hi * (1 - hi) / p, lo * (1 - lo) / p
+            d_hi, d_lo = weight[rows] * hi * (1 - hi) / p, weight[rows] * lo * (1 - lo) / p
             df = -(d_hi - d_lo) / len(rows)  # of the log likelihood by f
             grad = np.bincount(where, df[owner] * values, BUCKETS) - DECAY * w
             gw += grad**2
@@ -94,7 +96,7 @@ def fit_ordinal(at: list[np.ndarray], x: list[np.ndarray], grade: np.ndarray, gr
 
 
 def grade(
-    documents: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", rating: str = "quality", from_grade: int | None = None,
+    documents: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", rating: str = "quality", from_grade: float | None = None,
     cut: float = 0.5, sample: int = SAMPLE,
 ) -> DataFrame:
     """doc_id, held_out, expected_grade, tail_probability and kept; grades are the distinct ratings in order (at most 32)."""
@@ -102,25 +104,25 @@ def grade(
 
     small_batches(documents.sparkSession)
     out = F.pmod(crc_of_id(F.col(doc_id)), F.lit(3)) == 1
-    marked = ratings.where(F.col(rating).isNotNull() & ~out).select(doc_id, F.col(rating).cast("int").alias("rating"))
+    marked = ratings.where(F.col(rating).isNotNull() & ~out).select(doc_id, F.col(rating).cast("double").alias("rating"))
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [_counts(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g[1].astype(np.float32) for g in got], pa.list_(pa.float32())), batch.column(1)],
-                names=["at", "x", "rating"],
+                [pa.array([g[0].astype(np.int32) for g in got], pa.list_(pa.int32())), pa.array([g[1].astype(np.float32) for g in got], pa.list_(pa.float32())), *batch.columns[1:]],
+                names=["at", "x", "rating", "weight"],
             )
 
     # Features of at most ``sample`` rows.
-    rows = sampled_texts(documents, marked, doc_id, text, sample).select("text", "rating").mapInArrow(featured, "at array<int>, x array<float>, rating int").toArrow()
-    rated = rows.column("rating").to_numpy()
+    rows = sampled_texts(documents, marked, doc_id, text, sample, "rating").select("text", "rating", "weight").mapInArrow(featured, "at array<int>, x array<float>, rating double, weight double").toArrow()
+    rated, weight = rows.column("rating").to_numpy(), rows.column("weight").to_numpy()
     levels = np.unique(rated)
     if len(levels) > 32:
         raise ValueError("at most 32 grades")
     at, x = ([np.asarray(v) for v in rows.column(c).combine_chunks().to_numpy(zero_copy_only=False)] for c in ("at", "x"))
     del rows
-    w, cuts = fit_ordinal([a.astype(np.int64) for a in at], x, np.searchsorted(levels, rated), len(levels)) if len(levels) > 1 else (np.zeros(BUCKETS), np.empty(0))
+    w, cuts = fit_ordinal([a.astype(np.int64) for a in at], x, np.searchsorted(levels, rated), len(levels), weight) if len(levels) > 1 else (np.zeros(BUCKETS), np.empty(0))
     values = levels.astype(float) if len(levels) else np.zeros(1)
     tail_from = max(1, len(levels) - 1) if from_grade is None else int(np.searchsorted(levels, from_grade))
     shared = documents.sparkSession.sparkContext.broadcast(w.astype(np.float32))  # BUCKETS numbers

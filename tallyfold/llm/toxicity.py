@@ -4,11 +4,13 @@ The features are densities of a lexicon, its proximity to second-person words, s
 marks, and rates of obfuscated spelling. The lexicon is a short fixed list and, learned from the labelled
 rows, whole words and word beginnings that toxic texts have and others don't. At most ``SAMPLE`` labelled
 rows are fitted on: one half learns the lexicon, of the other half two thirds grow the trees and the rest
-calibrates them. Labels are read for fitting alone; language, source and id are never features.
+calibrates them, each row by the number of labelled ones that it stands for. Labels are read for fitting alone; language, source and id are never features.
 
 Null and empty texts have all features 0 and get the score of that. Texts of any length are read whole.
-Repeated rows get equal scores. Labels that are null or of unknown documents are ignored; with labels of
-one kind only, the score is that kind's share. An empty table gives an empty result.
+Repeated rows get equal scores. Labels that are null, of unknown documents or contradict each other are ignored;
+with labels of one kind only, the score is that kind's share. Of an id with several texts the one with the least
+hash is learned from. Ties in a split go to the first feature and cut. Only the named columns are read, so others
+can't clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -192,10 +194,13 @@ def margins(model: tuple, x: np.ndarray) -> np.ndarray:
     return score
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points (x, value) of the non-decreasing fit of least squares, by pooling adjacent violators."""
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Points (x, value) of the non-decreasing fit of weighted least squares, by pooling adjacent violators."""
     pools: list[list[float]] = []
-    for v, t, w in ((v, y[x == v].mean(), float((x == v).sum())) for v in np.unique(x)):
+    values, at = np.unique(x, return_inverse=True)
+    weight = np.ones(len(x)) if weight is None else weight
+    mass = np.bincount(at, weight)
+    for v, t, w in zip(values.tolist(), (np.bincount(at, weight * y) / mass).tolist(), mass.tolist()):
         pools.append([t, w, v, v])
         while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
             b, a = pools.pop(), pools.pop()
@@ -214,16 +219,17 @@ def fit(documents: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
         look = Features(lexicon)
         for batch in batches:
             x = [look.row(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["x", "label", "fold"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), *batch.columns[1:]], names=["x", "label", "fold", "weight"])
 
-    got = rows.where("fold >= 3").select("text", "label", "fold").mapInArrow(measured, "x array<double>, label int, fold bigint").collect()
+    got = rows.where("fold >= 3").select("text", "label", "fold", "weight").mapInArrow(measured, "x array<double>, label int, fold bigint, weight double").collect()
     x, y, fold = np.array([r["x"] for r in got]).reshape(len(got), len(FEATURES)), np.array([r["label"] for r in got], float), np.array([r["fold"] for r in got])
+    weight = np.array([r["weight"] for r in got], float)
     grow = fold < 5
     if not len(y) or len(set(y[grow])) < 2:
-        return lexicon, float(y.mean()) if len(y) else 0.0
+        return lexicon, float(np.average(y, weights=weight)) if len(y) else 0.0
     trees = boosted_trees(x[grow], y[grow])
     held = ~grow if (~grow).sum() >= 20 else np.ones(len(y), bool)
-    return lexicon, (trees, isotonic(margins(trees, x[held]), y[held]))
+    return lexicon, (trees, isotonic(margins(trees, x[held]), y[held], weight[held]))
 
 
 def score(

@@ -7,7 +7,9 @@ aliases, unless a rule explicitly allows one of them; a rule that fits the page
 
 Edges and components stay distributed; a target that a third of all pages name is one hub, which grouped
 minima handle. Null urls and urls without ``://`` have an empty host and path and no rule. Null html names
-no edge. Repeated rows are judged alike; long html is searched whole; an empty table gives an empty result.
+no edge. Repeated rows are judged alike; of rules of equal length that fit, the last in order of verdict, host and
+path wins; long html is searched whole; only the named columns are read, so others can't clash; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from tallyfold.llm.columns import LOWER, UPPER, text_or_empty
 from tallyfold.operators.components import connected_components
 from tallyfold.plans.storage import write_table
 
-#: (verdict, host, path)
+#: (verdict, host, path); more than MAX_RULES are joined.
 RULES = (
     ("allow", "com", "/"),
     ("block", "example.com", "/en/"),
@@ -55,9 +57,7 @@ def path_of(rest: Column) -> Column:
 
 
 def ruled(host: Column, path: Column, rules: tuple = RULES) -> Column:
-    """Struct (rule, verdict) of the longest rule that fits, null without one."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"at most {MAX_RULES} rules")
+    """Struct (rule, verdict) of the longest rule that fits, null without one; a list of rules as one expression."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
     for verdict, h, p in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r)):
         fits = ((host == h) | host.endswith("." + h)) & path.startswith(p)
@@ -65,6 +65,21 @@ def ruled(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out
 
 
+def met_rules(places: DataFrame, rules: DataFrame) -> DataFrame:
+    """(host, path, r) for the distinct places that a rule of the table (verdict, host, path) fits: ``ruled`` as joins.
+
+    A place's host names a few hosts above it; of each, only as many beginnings of the path are looked up as its rules have lengths.
+    """
+    rules = write_table(rules.select("verdict", F.col("host").alias("h"), F.col("path").alias("p")).distinct(), "rules")
+    lengths = write_table(rules.select("h", F.length("p").alias("n")).distinct(), "rule_lengths")
+    parts = F.split("host", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    tried = places.select("host", "path", F.explode(above).alias("h")).join(lengths, "h").where(F.length("path") >= F.col("n"))
+    met = tried.withColumn("p", F.substring(F.col("path"), F.lit(1), F.col("n"))).join(rules, ["h", "p"])
+    best = F.max(F.struct((F.length("h") + F.length("p")).alias("n"), "verdict", "h", "p")).alias("b")
+    return met.groupBy("host", "path").agg(best).select("host", "path", F.struct(F.concat("b.h", "b.p").alias("rule"), F.col("b.verdict").alias("verdict")).alias("r"))
+
+
 def url_key(url: Column) -> Column:
     """The same for urls that differ in scheme, case of the host or fragment alone."""
     rest = url_rest(url)
@@ -110,14 +125,22 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     return links.select(url_key(F.col("url")).alias("src"), url_key(F.col("to")).alias("dst"))
 
 
-def with_rule(rows: DataFrame, url: str, rules: tuple) -> DataFrame:
-    """``rows`` with host, path and r, the rule that fits ``url``. Each step is used more than once, so each stands alone."""
+def with_rule(rows: DataFrame, url: str, rules: tuple | DataFrame) -> DataFrame:
+    """``rows`` with host, path and r, the rule that fits ``url``. Each step is used more than once, so each stands alone.
+
+    Up to MAX_RULES rules are an expression; more, or a table of them, are joined.
+    """
     rows = rows.withColumn("__tf_rest", url_rest(F.col(url)))
     rows = rows.withColumns({"host": host_of(F.col("__tf_rest")), "path": path_of(F.col("__tf_rest"))}).drop("__tf_rest")
-    return rows.withColumn("r", ruled(F.col("host"), F.col("path"), rules))
+    if not isinstance(rules, DataFrame):
+        if len(rules) <= MAX_RULES:
+            return rows.withColumn("r", ruled(F.col("host"), F.col("path"), rules))
+        rules = rows.sparkSession.createDataFrame(list(rules), "verdict string, host string, path string")
+    rows = write_table(rows, "places")
+    return rows.join(write_table(met_rules(rows.select("host", "path").distinct(), rules), "met_rules"), ["host", "path"], "left")
 
 
-def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", rules: tuple = RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", rules: tuple | DataFrame = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and component (the aliases' least url key, null without any)."""
     edges = write_table(alias_edges(pages, url, html), "aliases").where("src <> '' AND dst <> ''")
     parts = connected_components(edges)
