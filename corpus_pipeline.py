@@ -1,7 +1,11 @@
 """A corpus pipeline: quality rules, language, near-duplicates, decontamination, SentencePiece.
 
 Each stage takes (spark, docs, sf_dir) and works on all its predecessor kept; its result is written as
-Parquet and read again as the next one's docs.
+Parquet and read again as the next one's docs, and the tables that a stage wrote on the way are deleted then.
+
+Rows without id or text, repeated ids and rows, ties, an empty table and further columns of any name are
+handled as the stage's operator states: each row is judged by itself, and all columns are handed on by all
+stages but the last. Texts without words fail the quality rules; very long ones are taken whole.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyfold.llm import decontaminate, language_id, near_duplicates, quality_rules, sentence_pieces
 from tallyfold.llm.queries import piece_model_path
-from tallyfold.plans.storage import write_table
+from tallyfold.plans.storage import stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +57,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = write_table(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(spark, name, lambda docs=docs, stage=stage: stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -32,6 +32,30 @@ def box_scale(gray: np.ndarray, side: int = SIDE) -> np.ndarray:
     return box / np.maximum(area, 1)
 
 
+def triangle_weights(n: int, side: int) -> np.ndarray:
+    """[side, n]: the share of each of n samples in each of ``side``, a triangle as wide as the scale on both sides."""
+    ratio = n / side
+    scale = max(ratio, 1.0)
+    away = np.abs(np.arange(n)[None, :] + 0.5 - (np.arange(side)[:, None] + 0.5) * ratio)
+    w = np.maximum(1.0 - away / scale, 0.0)
+    return w / w.sum(axis=1, keepdims=True)
+
+
+def luma(pixels: np.ndarray) -> np.ndarray:
+    """Gray of whole-number red, green and blue."""
+    return (pixels[..., :3].astype(np.int64) @ np.array([2126, 7152, 722])) // 10_000
+
+
+def image_phash(pixels: np.ndarray) -> int | None:
+    """The hash of an image (gray, or red, green and blue), scaled with a triangle filter before it turns gray; None without pixels."""
+    if pixels.ndim not in (2, 3) or 0 in pixels.shape:
+        return None
+    tall, wide = triangle_weights(pixels.shape[0], SIDE), triangle_weights(pixels.shape[1], SIDE)
+    small = np.tensordot(wide, np.tensordot(tall, pixels.astype(np.float64), (1, 0)), (1, 1)).swapaxes(0, 1)
+    small = np.floor(small.clip(0, 255) + 0.5).astype(np.int64)
+    return phash(small if small.ndim == 2 else luma(small))
+
+
 def phash(gray: np.ndarray) -> int | None:
     """63 bits, one for each low frequency above their mean; None without pixels."""
     if gray.ndim != 2 or 0 in gray.shape:

@@ -5,6 +5,8 @@ A row holds for one path, size and modification time; after a change nothing of
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -12,6 +14,8 @@ from pyspark.sql.utils import AnalysisException
 SCAN = "path string, size bigint, mtime bigint, partial_hash string, full_hash string, scanned_at bigint"
 IMAGE = "path string, size bigint, mtime bigint, phash bigint, scanned_at bigint"
 VIDEO = "path string, size bigint, mtime bigint, sig array<bigint>, scanned_at bigint"
+#: What the media tables hold (K4, K5).
+VALUE = {"image_cache": "phash", "video_cache": "sig"}
 TABLES = {"scan_cache": SCAN, "image_cache": IMAGE, "video_cache": VIDEO}
 
 
@@ -20,7 +24,7 @@ def lookup(files: DataFrame, cache: DataFrame, *values: str) -> DataFrame:
     own = cache.select("path", F.col("size").alias("__size"), F.col("mtime").alias("__mtime"), *(F.col(v).alias(f"__{v}") for v in values))
     fits = (F.col("__size") == F.col("size")) & (F.col("__mtime") == F.col("modified"))
     got = files.join(own, "path", "left").withColumns({v: F.when(fits, F.col(f"__{v}")) for v in values})
-    hit = F.coalesce(fits & F.greatest(*(F.col(f"__{v}").isNotNull() for v in values), F.lit(False)), F.lit(False))
+    hit = F.coalesce(fits & reduce(lambda a, b: a | b, (F.col(f"__{v}").isNotNull() for v in values)), F.lit(False))
     return got.withColumn("hit", hit).drop("__size", "__mtime", *(f"__{v}" for v in values))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.display import megabytes
-from tallyfold.functions.paths import ancestors, base_name, extension, lower_name, parent_dir
+from tallyfold.functions.paths import ancestors, extension, lower_name, parent_dir
 from tallyfold.plans.options import IGNORABLE_NAMES, TEMP_EXTENSIONS
 
 #: Why a file counts as temporary; folder spellings, in this case only.
@@ -52,7 +52,3 @@ def empty_folders(tree: DataFrame, recursive: bool = True) -> DataFrame:
 def tools_of_kind(tools: DataFrame, kind: str) -> DataFrame:
     """F15."""
     return tools.where(F.col("kind") == kind)
-
-
-def names(files: DataFrame) -> DataFrame:
-    return files.select("path", base_name(F.col("path")).alias("name"))

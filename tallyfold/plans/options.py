@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
 FILES = T.StructType([T.StructField("path", T.StringType()), T.StructField("size", T.LongType()), T.StructField("modified", T.LongType()), T.StructField("created", T.LongType())])
+#: Kinds of groups and cleanup rows, and keep strategies.
 KINDS = ("exact", "fuzzy_name", "similar_image", "music_tag", "similar_video")
 TOOL_KINDS = ("empty_folder", "big_file", "temp_file")
 KEEP_STRATEGIES = ("newest", "oldest", "largest", "first")
@@ -50,7 +51,6 @@ class ScanOptions:
     tool_big_files: bool = False
     tool_big_files_count: int = 50
     tool_temp_files: bool = False
-    extra: dict = field(default_factory=dict, compare=False)
 
     def __post_init__(self) -> None:
         if self.keep_strategy not in KEEP_STRATEGIES:

@@ -9,13 +9,14 @@ import importlib
 import os
 import shutil
 import subprocess
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tallyfold.functions.media import frame_rate, parse_duration, phash
+from tallyfold.functions.media import frame_rate, image_phash, parse_duration, phash
 from tallyfold.operators.filters import has_extension
 from tallyfold.plans.options import IMAGE_EXTENSIONS, MUSIC_EXTENSIONS, VIDEO_EXTENSIONS
 from pyspark.sql import functions as F
@@ -23,12 +24,12 @@ from pyspark.sql import functions as F
 MAX_FRAMES, FRAME = 24, 64
 
 
-def pillow_gray(path: str) -> np.ndarray:
-    """S9 where Pillow is installed."""
+def pillow_pixels(path: str) -> np.ndarray:
+    """S9 where Pillow is installed: red, green and blue."""
     from PIL import Image
 
     with Image.open(path) as image:
-        return np.asarray(image.convert("L"))
+        return np.asarray(image.convert("RGB"))
 
 
 def mutagen_tags(path: str) -> tuple[str, str, str, int] | None:
@@ -43,8 +44,10 @@ def mutagen_tags(path: str) -> tuple[str, str, str, int] | None:
 
 
 def find_ffmpeg(path: str = "") -> str | None:
-    """The given file, else what the search path has."""
-    return path if path and os.path.isfile(path) else shutil.which("ffmpeg")
+    """The given file, else one beside the program, else what the search path has."""
+    if path and os.path.isfile(path):
+        return path
+    return shutil.which("ffmpeg", path=os.path.dirname(sys.executable)) or shutil.which("ffmpeg")
 
 
 def ffmpeg_frames(path: str, ffmpeg: str) -> np.ndarray:
@@ -80,14 +83,14 @@ def _features(files: DataFrame, extensions: tuple[str, ...], fields: str, read:
     return chosen.mapInPandas(done, f"scan_seq bigint, {fields}")
 
 
-def image_hashes(files: DataFrame, decode: Callable[[str], np.ndarray] = pillow_gray) -> DataFrame:
+def image_hashes(files: DataFrame, decode: Callable[[str], np.ndarray] = pillow_pixels) -> DataFrame:
     """(scan_seq, phash) of the images that can be read."""
 
     def read(path: str) -> tuple | None:
-        got = phash(decode(path))
+        got = image_phash(decode(path))
         return None if got is None else (got,)
 
-    return _features(files, IMAGE_EXTENSIONS, "phash bigint", read, "PIL.Image" if decode is pillow_gray else "")
+    return _features(files, IMAGE_EXTENSIONS, "phash bigint", read, "PIL.Image" if decode is pillow_pixels else "")
 
 
 def music_tags(files: DataFrame, read_tags: Callable[[str], tuple | None] = mutagen_tags) -> DataFrame:

@@ -1,15 +1,20 @@
 """File inventories from directory trees (S1-S4, S14), as a Python data source.
 
 The built-in binary reader leaves out names that begin with ``.`` or ``_`` and knows no creation time,
-so the tree is walked. Each first-level folder of a root is a partition of its own. Only metadata are
-read here; contents are read later, by path, for the few files that need it.
+so the tree is walked: breadth first on the driver until there are PARTS folders, each of which is then a partition.
+One folder's own entries are one listing. Only metadata are read here; contents are read later, by path, for the
+few files that need it.
 """
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import stat
-from collections.abc import Iterator
+import struct
+from collections import deque
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tallyfold.operators.filters import filter_files
 from tallyfold.plans.options import ScanOptions
 
+#: Folders that are walked as a partition each, at most about so many.
+PARTS = 512
 TREE = "path string, size bigint, modified bigint, created bigint, entry_kind string, root string"
 
 
@@ -30,6 +37,28 @@ def check_roots(paths: tuple[str, ...]) -> None:
             raise ValueError(f"not a folder: {p}")
 
 
+#: statx: the current folder, don't follow links, birth time wanted; where the mask and the time stand in its record.
+_AT_CWD, _NO_FOLLOW, _BIRTH, _MASK_AT, _BIRTH_AT = -100, 0x100, 0x800, 0, 80
+
+
+@functools.cache
+def _statx() -> Callable | None:
+    try:
+        return ctypes.CDLL(None, use_errno=True).statx
+    except (AttributeError, OSError):
+        return None
+
+
+def birth_time(path: str, follow: bool, seen: os.stat_result) -> int:
+    """When the file was made, in whole seconds; 0 where neither ``stat`` nor ``statx`` knows."""
+    born = getattr(seen, "st_birthtime", None)
+    if born is None and (call := _statx()) is not None:
+        record = ctypes.create_string_buffer(256)
+        if call(_AT_CWD, os.fsencode(path), 0 if follow else _NO_FOLLOW, _BIRTH, record) == 0 and struct.unpack_from("<I", record, _MASK_AT)[0] & _BIRTH:
+            born = struct.unpack_from("<q", record, _BIRTH_AT)[0]
+    return max(0, int(born or 0))
+
+
 def _row(path: str, root: str, follow: bool) -> tuple | None:
     """Whole seconds, 0 where unknown; None for what can't be read or is neither file, link nor folder."""
     try:
@@ -37,14 +66,15 @@ def _row(path: str, root: str, follow: bool) -> tuple | None:
     except OSError:
         return None
     kind = "dir" if stat.S_ISDIR(s.st_mode) else "file" if stat.S_ISREG(s.st_mode) else "link" if stat.S_ISLNK(s.st_mode) else None
-    born = getattr(s, "st_birthtime", None)
-    return kind and (path, s.st_size if kind == "file" else 0, max(0, int(s.st_mtime)), max(0, int(born)) if born else 0, kind, root)
+    return kind and (path, s.st_size if kind == "file" else 0, max(0, int(s.st_mtime)), birth_time(path, follow, s), kind, root)
 
 
 class _Part(InputPartition):
-    def __init__(self, root: str, top: str, deep: bool):
-        super().__init__((root, top, deep))
-        self.root, self.top, self.deep = root, top, deep
+    """A folder's own entries, or with ``deep`` all below it; ``seen`` are the folders that lead to it."""
+
+    def __init__(self, root: str, top: str, depth: int, seen: frozenset, deep: bool):
+        super().__init__((root, top, depth, seen, deep))
+        self.root, self.top, self.depth, self.seen, self.deep = root, top, depth, seen, deep
 
 
 class TreeReader(DataSourceReader):
@@ -54,24 +84,34 @@ class TreeReader(DataSourceReader):
         depth = options.get("maxdepth", "")
         self.depth = int(depth) if depth else None
 
+    def _below(self, folder: str, depth: int, seen: frozenset) -> list[tuple[str, int, frozenset]]:
+        """The folders in ``folder`` that are still to be entered; a link that leads back up is not."""
+        if self.depth is not None and depth >= self.depth:
+            return []
+        try:
+            with os.scandir(folder) as found:
+                paths = sorted(e.path for e in found if e.is_dir(follow_symlinks=self.follow))
+        except OSError:
+            return []
+        return [(p, depth + 1, seen | {real}) for p in paths if (real := os.path.realpath(p)) not in seen]
+
     def partitions(self) -> list[InputPartition]:
+        """Breadth first, until there are PARTS folders to walk or none is left; a lopsided tree is dealt out as well."""
         out: list[InputPartition] = []
-        for root in self.roots:
-            out.append(_Part(root, root, False))
-            if self.depth is None or self.depth > 1:
-                try:
-                    with os.scandir(root) as found:
-                        out += [_Part(root, e.path, True) for e in sorted(found, key=lambda e: e.name) if e.is_dir(follow_symlinks=self.follow)]
-                except OSError:
-                    continue
-        return out
+        left = deque((root, root, 1, frozenset({os.path.realpath(root)})) for root in self.roots)
+        while left and len(left) + len(out) < PARTS:
+            root, top, depth, seen = left.popleft()
+            out.append(_Part(root, top, depth, seen, False))
+            left.extend((root, *below) for below in self._below(top, depth, seen))
+        return out + [_Part(*part, True) for part in left]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        root, top, deep = partition.root, partition.top, partition.deep
-        own = _row(top, root, self.follow)
-        if own and not deep:
-            yield own
-        left = [(top, 2 if deep else 1, {os.path.realpath(top)})]
+        root = partition.root
+        if partition.top == root and partition.depth == 1:
+            own = _row(root, root, self.follow)
+            if own:
+                yield own
+        left = [(partition.top, partition.depth, partition.seen)]
         while left:
             folder, depth, seen = left.pop()
             try:
@@ -80,14 +120,10 @@ class TreeReader(DataSourceReader):
             except OSError:
                 continue
             for path in names:
-                row = _row(path, root, self.follow)
-                if row is None:
-                    continue
-                yield row
-                if row[4] == "dir" and deep and (self.depth is None or depth < self.depth):
-                    real = os.path.realpath(path)
-                    if real not in seen:  # a link that leads back up
-                        left.append((path, depth + 1, seen | {real}))
+                if (row := _row(path, root, self.follow)) is not None:
+                    yield row
+            if partition.deep:
+                left += self._below(folder, depth, seen)
 
 
 class FileTree(DataSource):

@@ -133,6 +133,115 @@ def test_actions(spark, tmp_path):
         actions.execute(items(spark, (tmp_path / "a1", None)), "move")
 
 
+def test_equal_names_in_the_trash(spark, tmp_path):
+    put(tmp_path, x__a_dot_jpg=b"one", y__a_dot_jpg=b"two", z__a_dot_jpg=b"three")
+    rows = items(spark, *((tmp_path / d / "a.jpg", None) for d in "xyz"))
+    assert all(r["ok"] for r in actions.execute(rows, "trash", str(tmp_path / "bin")).collect())
+    assert sorted(os.listdir(tmp_path / "bin")) == ["a (1).jpg", "a (2).jpg", "a.jpg"]
+    assert {(tmp_path / "bin" / n).read_bytes() for n in os.listdir(tmp_path / "bin")} == {b"one", b"two", b"three"}
+
+
+@pytest.mark.parametrize("kind", actions.ACTIONS)
+def test_a_task_that_runs_again_reports_ok(spark, tmp_path, monkeypatch, kind):
+    put(tmp_path, a_dot_txt=b"same", b_dot_txt=b"same", keep_dot_txt=b"same")
+    rows = items(spark, (tmp_path / "a.txt", tmp_path / "keep.txt"), (tmp_path / "b.txt", tmp_path / "keep.txt")).toPandas()
+    args = (kind, str(tmp_path / "to"), str(tmp_path / "journal"))
+    finish = actions.Journal.finish
+
+    def killed(self, path):
+        if path.endswith("b.txt"):
+            raise KeyboardInterrupt
+        finish(self, path)
+
+    monkeypatch.setattr(actions.Journal, "finish", killed)
+    with pytest.raises(KeyboardInterrupt):
+        actions.perform(rows, *args)
+    monkeypatch.undo()
+    for _ in range(2):
+        assert actions.perform(rows, *args)["ok"].all()
+    left = {n for n in os.listdir(tmp_path) if n.endswith(".txt")}
+    assert left == ({"a.txt", "b.txt", "keep.txt"} if kind in ("hardlink", "copy") else {"keep.txt"})
+    if kind in ("move", "copy", "trash"):
+        assert sorted(os.listdir(tmp_path / "to")) == ["a.txt", "b.txt"]
+
+
+def test_a_result_computed_twice_acts_once(spark, tmp_path):
+    put(tmp_path, a=b"1")
+    got = actions.execute(items(spark, (tmp_path / "a", None)), "delete")
+    assert got.first()["ok"] and got.first()["ok"] and not (tmp_path / "a").exists()
+    assert not actions.execute(items(spark, (tmp_path, None)), "delete").first()["ok"]
+
+
+def test_media_memo(spark, tmp_path):
+    data, log = tmp_path / "data", tmp_path / "log"
+    put(data, a_dot_png=b"aaaaa", b_dot_png=b"bbbbbb", v1_dot_mp4=b"v" * 30, v2_dot_mp4=b"v" * 31)
+    log.mkdir()
+
+    def note(path):
+        (log / f"{os.path.basename(path)}.{os.getpid()}.{os.urandom(4).hex()}").write_bytes(b"")
+
+    def decode(path):
+        note(path)
+        return np.tile((np.arange(100) * 2).astype(np.uint8), (100, 1))
+
+    def frames(path):
+        note(path)
+        return [np.random.default_rng(1).integers(0, 256, (64, 64)).astype(np.uint8) for _ in range(8)]
+
+    options = ScanOptions(paths=(str(data),), use_cache=True, cache_path=f"file://{tmp_path}/cache", similar_images=True, similar_videos=True)
+    kinds = lambda: sorted(r["kind"] for r in scan(spark, options, decode, None, frames).members.select("kind", "path").collect())
+    assert kinds() == ["similar_image"] * 2 + ["similar_video"] * 2
+    seen = len(os.listdir(log))
+    assert seen == 4 and kinds() == ["similar_image"] * 2 + ["similar_video"] * 2 and len(os.listdir(log)) == seen
+    (data / "a.png").write_bytes(b"changed!")
+    kinds()
+    assert len(os.listdir(log)) == seen + 1
+
+
+def test_creation_time(spark, tmp_path):
+    put(tmp_path, a=b"1")
+    (got,) = scan_files(spark, ScanOptions(paths=(str(tmp_path),))).collect()
+    if os.uname().sysname == "Linux":
+        told = os.popen(f"stat -c %W {tmp_path}/a").read().strip()
+        assert got["created"] == max(0, int(told if told != "-" else 0))
+
+
+def test_a_lopsided_tree_is_dealt_out(tmp_path, monkeypatch):
+    from tallyfold.sources import walker
+
+    put(tmp_path, **{f"only__d{k}__e{k % 3}__f{k}": b"1" for k in range(9)})
+    want = None
+    for parts in (1, 4, 9, 512):
+        monkeypatch.setattr(walker, "PARTS", parts)
+        reader = walker.TreeReader({"roots": str(tmp_path)})
+        got = reader.partitions()
+        rows = sorted(r for p in got for r in reader.read(p))
+        assert len({r[0] for r in rows}) == len(rows) == 1 + 1 + 9 + 9 + 9
+        want = want or rows
+        assert rows == want and len(got) >= min(parts, 11)
+
+
+def test_triangle_filter():
+    from tallyfold.functions import media
+
+    w = media.triangle_weights(64, 32)
+    assert np.allclose(w.sum(axis=1), 1) and np.allclose(w[5, 9:14], [0.125 / 1, 0.375, 0.375, 0.125, 0])
+    color = np.random.default_rng(0).integers(0, 256, (50, 70, 3))
+    plain = np.zeros((32, 32, 3))
+    for y in range(32):
+        for x in range(32):
+            total = 0.0
+            for r in range(50):
+                for c in range(70):
+                    a = max(0.0, 1 - abs(r + 0.5 - (y + 0.5) * 50 / 32) / (50 / 32)) * max(0.0, 1 - abs(c + 0.5 - (x + 0.5) * 70 / 32) / (70 / 32))
+                    if a:
+                        plain[y, x] += a * color[r, c]
+                        total += a
+            plain[y, x] /= total
+    assert media.image_phash(color) == media.phash(media.luma(np.floor(plain + 0.5).astype(int)))
+    assert media.image_phash(np.empty((0, 3))) is None
+
+
 def test_progress(spark):
     with progress.tagged(spark, "scan-1") as tag:
         assert tag in spark.getTags()
