@@ -43,6 +43,8 @@ from tallyfold.plans.storage import write_table
 SEED = 1
 #: Word hashes a task remembers; classes and shingles in a block at most.
 WORDS, BLOCK_ROWS, BLOCK_SHINGLES = 250_000, 256, 500_000
+#: Places of members in groups that are broadcast to the sets at most; more are joined by shuffling the sets.
+DEALT = 300_000
 BORROWS = 100
 _TO_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -208,11 +210,18 @@ def _confirmed(group: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def candidate_edges(classes: DataFrame) -> DataFrame:
-    """Star edges (src, dst): in each bucket of (id, n, bands) rows, the smallest id with each other."""
-    buckets = classes.select("id", F.posexplode("bands").alias("band", "key"))
-    hubs = buckets.groupBy("band", "key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").drop("last")
+    """Star edges (src, dst): in each bucket of (id, n, bands) rows, the smallest id with each other.
+
+    A band's number is part of its key. Buckets of two give their edge in the grouped pass; only larger ones have
+    their hub joined to their members, by a broadcast behind a count, else between two plain scans.
+    """
+    buckets = classes.select("id", F.explode("bands").alias("key"))
+    hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("rows")).where("hub < last")
     hubs = write_table(hubs, "hubs")
-    return buckets.join(hubs, ["band", "key"]).where("id <> hub").select(F.col("hub").alias("src"), F.col("id").alias("dst")).distinct()
+    large = hubs.where("rows > 2").select("key", "hub")
+    few = large.count() <= BROADCAST_IDS
+    wide = buckets.join(F.broadcast(large) if few else large, "key").where("id <> hub").select(F.col("hub").alias("src"), F.col("id").alias("dst"))
+    return wide.union(hubs.where("rows = 2").select(F.col("hub").alias("src"), F.col("last").alias("dst"))).distinct()
 
 
 def _blocks(rows: str, total: str, block_rows: int, block_shingles: int) -> Column:
@@ -299,7 +308,9 @@ def near_duplicates(
     sets = write_table(chosen.mapInArrow(lambda it: _sets(it, size), "id bigint, n bigint, s binary"), "sets")
 
     def confirm(groups: DataFrame, key: str) -> DataFrame:
-        return groups.join(sets, ["id", "n"]).groupBy(key).applyInPandas(lambda g: _confirmed(g, percent), "src bigint, dst bigint")
+        groups = write_table(groups, "groups")
+        dealt = F.broadcast(groups) if groups.count() <= DEALT else groups
+        return sets.join(dealt, ["id", "n"]).groupBy(key).applyInPandas(lambda g: _confirmed(g, percent), "src bigint, dst bigint")
 
     whole = members.join(large, "cluster", "left_anti")
     links = confirm(whole.select("cluster", "id", "n", F.monotonically_increasing_id().alias("part"), F.lit(None).cast("boolean").alias("left")), "cluster")
