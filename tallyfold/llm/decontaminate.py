@@ -45,14 +45,13 @@ def _shingle(words: Column, at: Column, k: Column, sizes: list[int]) -> Column:
 def _positions(docs: DataFrame, sizes: list[int]) -> DataFrame:
     """A row for each word position and size with that many words from there on, with the shingle's key."""
     # A filter on n would be pushed below the words and split the text twice.
-    none = F.array().cast("array<struct<k:int,pos:int>>")
-
-    def starts(k: int) -> Column:
-        return F.when(F.col("n") >= k, F.transform(F.sequence(F.lit(0), F.col("n") - k), lambda i: F.struct(F.lit(k).alias("k"), i.alias("pos")))).otherwise(none)
-
-    places = [starts(k) for k in sizes]
-    out = docs.select("*", F.inline(places[0] if len(places) == 1 else F.concat(*places)))
-    return out.withColumn("key", _shingle(F.col("words"), F.col("pos"), F.col("k"), sizes))
+    least = min(sizes)
+    starts = F.when(F.col("n") >= least, F.sequence(F.lit(0), F.col("n") - least)).otherwise(F.array().cast("array<int>"))
+    out = docs.select("*", F.explode(starts).alias("pos"))
+    if len(sizes) == 1:
+        return out.withColumn("key", _shingle(F.col("words"), F.col("pos"), F.lit(least), sizes))
+    keys = [F.when(F.col("pos") + k <= F.col("n"), _shingle(F.col("words"), F.col("pos"), F.lit(k), [k])) for k in sizes]
+    return out.select("*", F.explode(F.array_compact(F.array(*keys))).alias("key"))
 
 
 def item_windows(items: DataFrame, item_id: str, text: str, window: int, shingle: int) -> DataFrame:
