@@ -17,8 +17,9 @@ def threshold_bits(block: Column) -> Column:
     """Of 64 numbers, the first left out; bit i is set where number i of the rest is above their mean."""
     ac = F.transform(F.slice(block, 2, HASH_BITS), lambda x: x.cast("double"))
     mean = F.aggregate(ac, F.lit(0.0), lambda s, x: s + x) / F.lit(float(HASH_BITS))
-    bit = lambda v, i: F.when(v > mean, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
-    return F.aggregate(F.transform(ac, bit), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y))
+    bit = lambda m: lambda v, i: F.when(v > m, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))
+    # The mean is the argument of a lambda, or it would be summed up anew for each number.
+    return F.get(F.transform(F.array(mean), lambda m: F.aggregate(F.transform(ac, bit(m)), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y))), F.lit(0))
 
 
 def signature_text(sig: Column) -> Column:

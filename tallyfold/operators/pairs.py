@@ -1,8 +1,8 @@
 """Similarity joins (J3-J6) without all-pairs loops.
 
 Names and songs meet through the word join, equal word lists as one. Hashes: of the bands one must be
-within a few bits, so one side lists those neighbours of each band; distinct hashes meet, not rows. All
-are lossless; every candidate is then scored in full, oriented by scan order where the score depends on it.
+within a few bits, so one side lists those neighbours of each band; where that makes too many candidates, blocks of
+hashes are compared in whole. Distinct hashes meet, not rows. All are lossless; every candidate is then scored in full, oriented by scan order where the score depends on it.
 
 ``*_pairs`` list every pair. ``*_links`` list edges whose components are those of the pairs: what is equal
 for the score is one node with an edge to each of its rows, so a million copies give a million edges.
@@ -20,10 +20,13 @@ from pyspark.sql import functions as F
 from tallyfold.functions.bits import HASH_BITS, frame_score, hamming
 from tallyfold.functions.paths import base_name, parent_dir
 from tallyfold.functions.text import duration_ok, duration_score, size_ratio_ok, words
-from tallyfold.operators.word_join import met_members, scored_lists, word_lists
+from tallyfold.operators.tiles import tiled_pairs
+from tallyfold.operators.word_join import BITS, met_members, scored_lists, word_lists
 from tallyfold.plans.storage import write_table
 
 VIDEO_RATIO = 0.6
+#: Matched frames that a pair of videos must show before it is scored.
+HITS = 3
 LOG = logging.getLogger(__name__)
 
 
@@ -154,8 +157,8 @@ def music_links(tags: DataFrame, threshold: int = 80) -> DataFrame:
     return stars.union(steps).union(cross)
 
 
-#: Neighbours that one hash may list at most.
-PROBES = 100_000
+#: Neighbours that one hash may list at most, and hashes compared in a block in the time of one joined row.
+PROBES, COMPARED = 100_000, 50
 
 
 def _cuts(n: int) -> list[tuple[int, int]]:
@@ -164,8 +167,8 @@ def _cuts(n: int) -> list[tuple[int, int]]:
     return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
 
 
-def _bands(radius: int, rows: int) -> list[tuple[int, int]]:
-    """The bands with the least work for ``rows`` hashes: neighbours listed, and candidates if bits were random."""
+def _bands(radius: int, rows: int) -> list[tuple[int, int]] | None:
+    """The bands with the least work for ``rows`` hashes: neighbours listed, and candidates if bits were random; None if comparing all is less."""
 
     def work(n: int) -> float:
         slack = radius // n
@@ -174,7 +177,8 @@ def _bands(radius: int, rows: int) -> list[tuple[int, int]]:
             return math.inf
         return rows * (sum(near) + n) + rows * rows / 2 * min(1.0, sum(v / 2**w for v, (_, w) in zip(near, _cuts(n))))
 
-    return _cuts(min(range(1, HASH_BITS + 1), key=work))
+    best = min(range(1, HASH_BITS + 1), key=work)
+    return None if rows * rows / 2 / COMPARED <= work(best) else _cuts(best)
 
 
 def _band(hash_: Column, shift: int, width: int) -> Column:
@@ -184,7 +188,10 @@ def _band(hash_: Column, shift: int, width: int) -> Column:
 def _distinct_pairs(hashes: DataFrame, radius: int) -> DataFrame:
     """(p, q, distance) of the distinct values ``phash``, each pair once, p before q."""
     radius = min(radius, 64)
-    bands = _bands(radius, hashes.count())
+    rows = hashes.count()
+    bands = _bands(radius, rows)
+    if bands is None:
+        return tiled_pairs(hashes, radius, rows)
     slack = radius // len(bands)
     masks = [[sum(1 << b for b in bits) for k in range(min(slack, w) + 1) for bits in combinations(range(w), k)] for _, w in bands]
     spark = hashes.sparkSession

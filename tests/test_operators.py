@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfold.operators import actions, cache, exact, groups, pairs, selection, tools
+from tallyfold.operators import actions, cache, exact, groups, pairs, selection, tiles, tools
 from tallyfold.operators.components import connected_components
 from tallyfold.operators.filters import filter_files
 from tallyfold.plans.options import ScanOptions
@@ -345,3 +345,34 @@ def test_filters(spark):
     assert pick(exclude_paths=("skip",), min_size=5, max_size=5) == ["/a/none", "/a/x.TXT"]
     with pytest.raises(ValueError):
         ScanOptions(keep_strategy="best")
+
+
+@pytest.mark.parametrize("rows", [1, 2, 700])
+def test_tiles_equal_nested_loop(spark, rows):
+    rng = np.random.default_rng(rows)
+    h = rng.integers(0, 2**62, max(rows // 2, 1)).tolist()
+    h = sorted({*h, *(x ^ int(sum(1 << int(i) for i in rng.choice(63, k, replace=False))) for x, k in zip(h, rng.integers(1, 25, rows - len(h))))})
+    df = spark.createDataFrame([(x,) for x in h], "phash bigint")
+    for radius in (0, 18, 64):
+        want = {(p, q): (p ^ q).bit_count() for i, p in enumerate(h) for q in h[i + 1 :] if (p ^ q).bit_count() <= radius}
+        got = [tuple(r) for r in tiles.tiled_pairs(df, radius, len(h)).collect()]
+        assert len(got) == len(want) and {(p, q): d for p, q, d in got} == want
+
+
+def test_bands_equal_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 2**62, 40).tolist()
+    h += [x ^ int(sum(1 << int(i) for i in rng.choice(62, k, replace=False))) for x in h for k in (3, 10, 18, 19)]
+    df = spark.createDataFrame(list(enumerate(h)), "scan_seq bigint, phash bigint")
+    for radius in (2, 18):
+        assert pairs._bands(radius, len(h)) is None
+        got = sorted(pairs.hash_pairs(df, radius).collect())
+        with monkeypatch.context() as m:
+            m.setattr(pairs, "COMPARED", 1e-9)
+            assert sorted(pairs.hash_pairs(df, radius).collect()) == got
+
+
+def test_wide_radius_over_many_hashes_is_not_joined_by_bands():
+    """Bands of 100,000 hashes within 18 bits listed some 10,000 neighbours each and joined a tenth of all pairs."""
+    assert pairs._bands(18, 100_000) is None
+    assert pairs._bands(2, 1_000_000) is not None
