@@ -244,8 +244,8 @@ def _video_classes(signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
 def _near_signatures(classes: DataFrame, radius: int, ratio: float) -> DataFrame:
     """(a, b, score) of ids of different signatures, each pair once, with a frame score of ``ratio`` or more.
 
-    In one of the two directions at least ``ratio`` of the frames are matched, so from that side one of the
-    first n - ceil(ratio * n) + 1 frames is, in any order: those come first that the fewest videos show.
+    In one of the two directions at least ``ratio`` of the frames are matched, so from that side ``k`` of the
+    first n - ceil(ratio * n) + k frames are, in any order: those come first that the fewest videos show.
     """
     shown = write_table(classes.select("id", F.size("sig").alias("n"), F.posexplode("sig").alias("at", "phash")), "frames")
     frames = write_table(shown.groupBy("phash").agg(F.countDistinct("id").alias("videos")), "distinct_frames")
@@ -253,12 +253,17 @@ def _near_signatures(classes: DataFrame, radius: int, ratio: float) -> DataFrame
     both = near.union(near.select("q", "p")).union(frames.select(F.col("phash").alias("p"), F.col("phash").alias("q")))
     cost = write_table(both.join(frames, F.col("q") == F.col("phash")).groupBy(F.col("p").alias("phash")).agg(F.sum("videos").alias("cost")), "frame_costs")
     ordered = shown.join(cost, "phash").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("cost", "at", "phash"))).alias("f"))
-    prefix = (F.col("n") - F.ceil(F.col("n") * F.lit(ratio) - 1e-9) + 1).cast("int")
-    probes = write_table(ordered.select(F.col("id").alias("x"), F.explode(F.slice("f", F.lit(1), prefix)).alias("f")).select("x", F.col("f.phash").alias("p")).distinct(), "frame_probes")
+    need = F.ceil(F.col("n") * F.lit(ratio) - 1e-9).cast("int")
+    ordered = ordered.withColumn("k", F.greatest(F.lit(1), F.least(F.lit(HITS), need)))
+    prefix = F.col("n") - need + F.col("k")
+    probes = write_table(ordered.select(F.col("id").alias("x"), "k", F.posexplode(F.slice("f", F.lit(1), prefix)).alias("pos", "f")).select("x", "k", "pos", F.col("f.phash").alias("p")), "frame_probes")
     met = write_table(probes.select("p").distinct().join(both, "p"), "met_frames")
     other = shown.join(met.select(F.col("q").alias("phash")).distinct(), "phash", "left_semi").select(F.col("id").alias("y"), F.col("phash").alias("q")).distinct()
-    pairs = probes.join(met, "p").join(other, "q").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = write_table(pairs, "video_candidates")
+    # A frame's place in the prefix is a bit; those from BITS on share the last, which is taken for enough.
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(F.col("pos"), F.lit(BITS)))
+    hits = probes.join(met, "p").join(other, "q").where("x <> y").groupBy("x", "y").agg(F.bit_or(bit).alias("hit"), F.first("k").alias("k"))
+    hits = hits.where((F.bit_count("hit") >= F.col("k")) | (F.col("hit") >= F.lit(1 << BITS)))
+    pairs = write_table(hits.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "video_candidates")
     sig = lambda i, s: classes.select(F.col("id").alias(i), F.col("sig").alias(s))
     scored = pairs.join(sig("a", "x"), "a").join(sig("b", "y"), "b").select("a", "b", frame_score(F.col("x"), F.col("y"), radius).alias("score"))
     return write_table(scored, "video_scores").where(F.col("score") >= ratio)

@@ -376,3 +376,19 @@ def test_wide_radius_over_many_hashes_is_not_joined_by_bands():
     """Bands of 100,000 hashes within 18 bits listed some 10,000 neighbours each and joined a tenth of all pairs."""
     assert pairs._bands(18, 100_000) is None
     assert pairs._bands(2, 1_000_000) is not None
+
+
+def test_videos_are_scored_behind_several_hits(spark, monkeypatch):
+    """One frame in common, as in every title sequence, makes no candidate; repeated frames count each."""
+    share = lambda a, b: sum(any((p ^ q).bit_count() <= 10 for q in b) for p in a) / len(a)
+    rng = np.random.default_rng(8)
+    title, other = (int(x) for x in rng.integers(0, 2**62, 2))
+    sigs = [[title, *(int(x) for x in rng.integers(0, 2**62, 9))] for _ in range(12)]
+    sigs += [sigs[0][:6] + sigs[1][6:], sigs[2][:5] + sigs[3][5:], [title] * 7 + [other] * 3, [title, other], [other] * 70 + [title] * 3, [title] * 80]
+    df = spark.createDataFrame(list(enumerate(sigs)), "scan_seq bigint, sig array<bigint>")
+    seen, write = {}, pairs.write_table
+    monkeypatch.setattr(pairs, "write_table", lambda t, name: seen.setdefault(name, write(t, name)))
+    got = {(r["src"], r["dst"]): r["score"] for r in pairs.video_pairs(df, 10).collect()}
+    want = {(i, j): s for i in range(len(sigs)) for j in range(i + 1, len(sigs)) if (s := (share(sigs[i], sigs[j]) + share(sigs[j], sigs[i])) / 2) >= 0.6}
+    assert got == pytest.approx(want) and want
+    assert seen["video_candidates"].count() < 66
