@@ -373,7 +373,7 @@ def test_bands_equal_tiles(spark, monkeypatch):
 
 
 def test_wide_radius_over_many_hashes_is_not_joined_by_bands():
-    """Bands of 100,000 hashes within 18 bits listed some 10,000 neighbours each and joined a tenth of all pairs."""
+    """Bands of 100,000 hashes within 18 bits list 1,732 neighbours each and join up to 28 % of all pairs, if bits are random."""
     assert pairs._bands(18, 100_000) is None
     assert pairs._bands(2, 1_000_000) is not None
 
@@ -392,3 +392,21 @@ def test_videos_are_scored_behind_several_hits(spark, monkeypatch):
     want = {(i, j): s for i in range(len(sigs)) for j in range(i + 1, len(sigs)) if (s := (share(sigs[i], sigs[j]) + share(sigs[j], sigs[i])) / 2) >= 0.6}
     assert got == pytest.approx(want) and want
     assert seen["video_candidates"].count() < 66
+
+
+def test_groups_of_tiles_equal_components_of_pairs(spark, tmp_path, monkeypatch):
+    """No band join behind images and videos at the radius of the queries; groups are those of all pairs."""
+    from tallyfold import catalog
+
+    rng = np.random.default_rng(11)
+    v = rng.normal(size=(120, 64))
+    v[60:] = v[:60] + rng.normal(size=(60, 64)) * rng.choice([0.1, 0.4, 0.8], (60, 1))
+    rows = [(i, [float(x) for x in e]) for i, e in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    calls, tiled = [], pairs.tiled_pairs
+    monkeypatch.setattr(pairs, "tiled_pairs", lambda *a: calls.append(1) or tiled(*a))
+    for pair, group in (("hamming_pairs", "image_groups"), ("video_pairs", "video_groups")):
+        edges = [(r["src"], r["dst"]) for r in catalog.QUERIES[pair](spark, str(tmp_path)).collect()]
+        got = {r["scan_seq"]: r["group_id"] for r in catalog.QUERIES[group](spark, str(tmp_path)).collect()}
+        assert edges and got == union_find(edges)
+    assert len(calls) == 4
