@@ -50,8 +50,8 @@ def name_pairs(files: DataFrame, threshold: int = 80, same_dir: bool = True, max
     ``max_bucket`` (3000 for parity) leaves out folders (or, over all folders, the whole) with more files and logs them; None has no such limit.
     """
     lists, members = word_lists(_named(files, same_dir, max_bucket, name))
-    met = met_members(members, scored_lists(lists, threshold / 100.0), "size")
-    return met.where(size_ratio_ok(F.col("l_size"), F.col("r_size")) & (F.col("score") >= threshold / 100.0)).select("src", "dst", "score")
+    keep = lambda score, a, b: size_ratio_ok(a["size"], b["size"]) & (score >= threshold / 100.0)
+    return met_members(members, scored_lists(lists, threshold / 100.0), "size", keep=keep).select("src", "dst", "score")
 
 
 def _either_way(scored: DataFrame, least: float) -> DataFrame:
@@ -119,10 +119,10 @@ def music_pairs(tags: DataFrame, threshold: int = 80) -> DataFrame:
     if threshold <= 10:
         tags = write_table(tags, "songs")
     lists, members = _songs(tags)
-    met = met_members(members, scored_lists(lists, _least_words(threshold)), "duration")
-    a, b = F.col("l_duration"), F.col("r_duration")
-    score = 0.9 * F.col("score") + 0.1 * duration_score(a, b)
-    got = met.where(duration_ok(a, b)).select("src", "dst", score.alias("score"))
+    full = lambda score, a, b: 0.9 * score + 0.1 * duration_score(a, b)
+    keep = lambda score, a, b: duration_ok(a["duration"], b["duration"]) & (full(score, a["duration"], b["duration"]) >= threshold / 100.0)
+    met = met_members(members, scored_lists(lists, _least_words(threshold)), "duration", keep=keep)
+    got = met.select("src", "dst", full(F.col("score"), F.col("l_duration"), F.col("r_duration")).alias("score"))
     if threshold <= 10:
         songs = tags.select("scan_seq", F.coalesce(F.col("duration"), F.lit(0)).cast("bigint").alias("duration"))
         more = _alike_in_time(songs).select("src", "dst", (0.1 * duration_score(F.col("a"), F.col("b"))).alias("score"))

@@ -11,7 +11,10 @@ scored once, behind a written table, so that no optimizer moves the score into t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.text import variants, word_score
@@ -19,6 +22,8 @@ from tallyfold.plans.storage import write_table
 
 #: Positions of a probe that have a bit of their own; further ones share the last.
 BITS = 62
+#: Members of a node in one array, about.
+CHUNK = 1024
 
 
 def word_lists(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,7 +87,25 @@ def scored_lists(lists: DataFrame, least: float, similar: bool = True) -> DataFr
     return there.union(back).union(lists.select(F.col("id").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("score")))
 
 
-def met_members(members: DataFrame, scored: DataFrame, *columns: str) -> DataFrame:
-    """(src, dst, score, and each of ``columns`` as l_ and r_) for the members of scored lists, src before dst."""
-    side = lambda p, i, s: members.select(F.col("id").alias(i), F.col("scan_seq").alias(s), *(F.col(c).alias(p + c) for c in columns))
-    return side("l_", "x", "src").join(scored, "x").join(side("r_", "y", "dst"), "y").where("src < dst").drop("x", "y")
+def met_members(members: DataFrame, scored: DataFrame, *columns: str, keep: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+    """(src, dst, score, and each of ``columns`` as l_ and r_) for the members of scored lists, src before dst.
+
+    Members of a list that are equal in ``columns`` are a node: what depends on the list and ``columns`` is tested
+    once a pair of nodes by ``keep``, from the score and, as structs, the columns of both. A node's members are short
+    arrays, as many as it needs, and pairs of arrays are spelt out where they meet, so no join has a row a pair.
+    """
+    sized = write_table(members.groupBy("id", *columns).agg(F.ceil(F.count("*") / CHUNK).alias("chunks")), "node_sizes")
+    chunk = F.pmod(F.xxhash64("scan_seq"), F.col("chunks"))
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("id", *columns)]
+    dealt = members.alias("m").join(sized.alias("n"), reduce(lambda a, b: a & b, same)).select("m.*", chunk.alias("chunk"))
+    nodes = write_table(dealt.groupBy("id", *columns, "chunk").agg(F.collect_list("scan_seq").alias("seqs"), F.min("scan_seq").alias("lo"), F.max("scan_seq").alias("hi")), "node_members")
+    side = lambda p, i: nodes.select(F.col("id").alias(i), *(F.col(c).alias(p + c) for c in (*columns, "seqs", "lo", "hi")))
+    met = side("l_", "x").join(scored, "x").join(side("r_", "y"), "y").where("l_lo < r_hi")
+    if keep is not None:
+        ends = [F.struct(*(F.col(p + c).alias(c) for c in columns)) for p in ("l_", "r_")]
+        met = met.where(keep(F.col("score"), *ends))
+    # Few and short rows become many: they are dealt out by number and not by bytes.
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = ["score", *(p + c for p in ("l_", "r_") for c in columns)]
+    met = met.select(*kept, "l_seqs", "r_seqs").repartition(parts)
+    return met.select(*kept, F.explode("l_seqs").alias("src"), "r_seqs").select(*kept, "src", F.explode("r_seqs").alias("dst")).where("src < dst")

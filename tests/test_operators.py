@@ -410,3 +410,32 @@ def test_groups_of_tiles_equal_components_of_pairs(spark, tmp_path, monkeypatch)
         got = {r["scan_seq"]: r["group_id"] for r in catalog.QUERIES[group](spark, str(tmp_path)).collect()}
         assert edges and got == union_find(edges)
     assert len(calls) == 4
+
+
+def test_copies_are_spelt_out_behind_the_join(spark, monkeypatch):
+    """Many songs of few lists: no join has a row a pair, and arrays of members stay short."""
+    from tallyfold.operators import word_join
+
+    rng = np.random.default_rng(12)
+    rows = [(i, ["Rod", "Bolt"][k], ["red rod", "rod red", "old bolt"][n], int(d)) for i, (k, n, d) in enumerate(zip(rng.integers(0, 2, 300), rng.integers(0, 3, 300), rng.choice([0, 9, 10, 20], 300)))]
+    songs = spark.createDataFrame(rows, "scan_seq bigint, artist string, title string, duration bigint")
+    got = {}
+    for chunk in (1024, 4):
+        seen, write = {}, word_join.write_table
+        with monkeypatch.context() as m:
+            m.setattr(word_join, "CHUNK", chunk)
+            m.setattr(word_join, "write_table", lambda t, name: seen.setdefault(name, write(t, name)))
+            got[chunk] = sorted((r["src"], r["dst"], round(r["score"], 9)) for r in pairs.music_pairs(songs, 80).collect())
+        longest = seen["node_members"].agg(F.max(F.size("seqs"))).first()[0]
+        assert longest <= 5 * chunk and seen["node_members"].agg(F.sum(F.size("seqs"))).first()[0] == 300
+    assert seen["node_members"].count() > 24 and got[4] == got[1024]
+    from tests.test_functions import score_spec, words_spec
+
+    want = set()
+    for i, k, n, d in rows:
+        for j, l, m_, e in rows[i + 1 :]:
+            time = 0.0 if 0 in (d, e) else 1.0 if min(d, e) >= max(d, e) * 9 // 10 else 0.5 if min(d, e) >= max(d, e) * 8 // 10 else 0.0
+            score = 0.9 * score_spec(words_spec(f"{k} {n}"), words_spec(f"{l} {m_}"), True) + 0.1 * time
+            if (0 in (d, e) or min(d, e) >= max(d, e) * 85 // 100) and score >= 0.8:
+                want.add((i, j, round(score, 9)))
+    assert set(got[4]) == want and len(got[4]) == len(want)
