@@ -1,6 +1,6 @@
 """Similarity joins (J3-J6) without all-pairs loops.
 
-Names and songs meet through the word join, equal word lists as one. Hashes: of the bands one must be
+Names and songs meet through the word join, equal word lists as one, names of large buckets by forms. Hashes: of the bands one must be
 within a few bits, so one side lists those neighbours of each band; where that makes too many candidates, blocks of
 hashes are compared in whole. Distinct hashes meet, not rows. All are lossless; every candidate is then scored in full, oriented by scan order where the score depends on it.
 
@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.bits import HASH_BITS, frame_score, hamming
 from tallyfold.functions.paths import base_name, parent_dir
-from tallyfold.functions.text import duration_ok, duration_score, size_ratio_ok, words
+from tallyfold.functions.text import duration_ok, duration_score, words
+from tallyfold.operators.member_tiles import member_nodes, spelt_out
 from tallyfold.operators.tiles import tiled_pairs
-from tallyfold.operators.word_join import BITS, met_members, scored_lists, word_lists
+from tallyfold.operators.word_join import BITS, form_scores, list_forms, met_members, pair_scores, scored_lists, word_lists
 from tallyfold.plans.storage import write_table
 
 VIDEO_RATIO = 0.6
@@ -49,46 +50,39 @@ def name_pairs(files: DataFrame, threshold: int = 80, same_dir: bool = True, max
 
     ``max_bucket`` (3000 for parity) leaves out folders (or, over all folders, the whole) with more files and logs them; None has no such limit.
     """
-    lists, members = word_lists(_named(files, same_dir, max_bucket, name))
-    keep = lambda score, a, b: size_ratio_ok(a["size"], b["size"]) & (score >= threshold / 100.0)
-    return met_members(members, scored_lists(lists, threshold / 100.0), "size", keep=keep).select("src", "dst", "score")
+    return _name_tiles(files, threshold, same_dir, max_bucket, name, False)
 
 
-def _either_way(scored: DataFrame, least: float) -> DataFrame:
-    """(x, y, there, back) for x < y: which orders score ``least``."""
-    x, y = F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")
-    return scored.where((F.col("x") != F.col("y")) & (F.col("score") >= least)).groupBy(x, y).agg(F.bool_or(F.col("x") < F.col("y")).alias("there"), F.bool_or(F.col("x") > F.col("y")).alias("back"))
+def _name_tiles(files: DataFrame, threshold: int, same_dir: bool, max_bucket: int | None, name: Column | None, forest: bool) -> DataFrame:
+    """(src, dst, score) of all pairs of names, or of spanning forests of them."""
+    lists, members = word_lists(_named(files, same_dir, max_bucket, name))
+    least = threshold / 100.0
+    # The copies of a list meet by themselves, and so do lists that are scored one by one.
+    copied = members.groupBy("id").count().where("count > 1").select(F.col("id").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("score"))
+    formed = list_forms(lists, least)
+    if formed is None:
+        one = scored_lists(lists, least).where("x <> y")
+        return spelt_out(member_nodes(members, "id"), write_table(one.where(F.col("score") >= least).union(copied), "list_links"), forest=forest)
+    forms, of_list, contacts = formed
+    one = write_table(pair_scores(lists, contacts, least).where(F.col("score") >= least).union(copied), "list_links")
+    met = one.select(F.col("x").alias("id")).union(one.select("y")).distinct()
+    alone = spelt_out(member_nodes(members.join(met, "id", "left_semi"), "id"), one, forest=forest)
+    placed = write_table(members.join(of_list, "id"), "form_members")
+    scored = write_table(form_scores(forms, least).where(F.col("score") >= least), "form_links")
+    used = scored.select(F.col("x").alias("form")).union(scored.select(F.col("y"))).distinct()
+    nodes = member_nodes(placed.join(used, "form", "left_semi"), "form")
+    where = nodes.select(F.col("node").alias("form"), "chunk", F.explode(F.array_distinct("ids")).alias("id"))
+    side = lambda i, f, c: where.select(F.col("id").alias(i), F.col("form").alias(f), F.col("chunk").alias(c))
+    both = contacts.select(F.col("x").alias("bx"), F.col("y").alias("by")).union(contacts.select("y", "x"))
+    both = both.join(side("bx", "x", "l_chunk"), "bx").join(side("by", "y", "r_chunk"), "by").join(scored.select("x", "y"), ["x", "y"], "left_semi")
+    banned = both.groupBy("x", "l_chunk", "y", "r_chunk").agg(F.sort_array(F.collect_list(F.struct("bx", "by"))).alias("b"))
+    banned = write_table(banned.select("x", "l_chunk", "y", "r_chunk", F.col("b.bx").alias("bx"), F.col("b.by").alias("by")), "contact_tiles")
+    return alone.union(spelt_out(nodes, scored, apart=True, banned=banned, forest=forest))
 
 
 def name_links(files: DataFrame, threshold: int = 80, same_dir: bool = True, max_bucket: int | None = None, name: Column | None = None) -> DataFrame:
-    """Edges (src, dst) with the components of ``name_pairs``.
-
-    Files of one list and one doubling of the size all link, so they are a node. Between nodes the nearest
-    sizes decide, and where just one order scores, the files' order; only nodes of different doublings that
-    score in one order alone are looked at file by file.
-    """
-    lists, members = word_lists(_named(files, same_dir, max_bucket, name))
-    level = F.when(F.col("size") == 0, -1).otherwise(F.length(F.bin("size")))
-    rows = members.withColumn("level", level)
-    nodes = write_table(rows.groupBy("id", "level").agg(F.min("scan_seq").alias("lo"), F.max("scan_seq").alias("hi"), F.min("size").alias("least"), F.max("size").alias("most")), "name_nodes")
-    stars = rows.join(nodes, ["id", "level"]).where("scan_seq <> lo").select(F.col("lo").alias("src"), F.col("scan_seq").alias("dst"))
-    side = lambda p: nodes.select(*(F.col(c).alias(p + c) for c in nodes.columns))
-    near = F.when(F.col("a_level") == F.col("b_level"), True).when(F.least("a_level", "b_level") < 0, False)
-    near = near.when(F.col("a_level") < F.col("b_level"), F.col("b_least") <= 4 * F.col("a_most")).otherwise(F.col("a_least") <= 4 * F.col("b_most"))
-    edge = [F.col("a_lo").alias("src"), F.col("b_lo").alias("dst")]
-    own = side("a_").join(side("b_"), F.col("a_id") == F.col("b_id")).where((F.col("a_level") < F.col("b_level")) & near).select(*edge)
-    two = _either_way(scored_lists(lists, threshold / 100.0), threshold / 100.0)
-    met = write_table(two.join(side("a_"), F.col("a_id") == F.col("x")).join(side("b_"), F.col("b_id") == F.col("y")).where(near), "name_edges")
-    both = F.col("there") & F.col("back")
-    level_one = F.col("a_level") == F.col("b_level")
-    order = (F.col("there") & (F.col("a_lo") < F.col("b_hi"))) | (F.col("back") & (F.col("b_lo") < F.col("a_hi")))
-    sure = met.where(both | (level_one & order)).select(*edge)
-    doubt = met.where(~both & ~level_one & order)
-    l = rows.select(F.col("id").alias("a_id"), F.col("level").alias("a_level"), F.col("scan_seq").alias("src"), F.col("size").alias("s"))  # noqa: E741
-    r = rows.select(F.col("id").alias("b_id"), F.col("level").alias("b_level"), F.col("scan_seq").alias("dst"), F.col("size").alias("t"))
-    one = doubt.select("a_id", "a_level", "b_id", "b_level", "there").join(l, ["a_id", "a_level"]).join(r, ["b_id", "b_level"])
-    one = one.where(((F.col("src") < F.col("dst")) == F.col("there")) & size_ratio_ok(F.col("s"), F.col("t"))).select("src", "dst")
-    return stars.union(own).union(sure).union(one)
+    """Edges (src, dst) with the components of ``name_pairs``: where arrays of members meet, their forest is an edge a member."""
+    return _name_tiles(files, threshold, same_dir, max_bucket, name, True).select("src", "dst")
 
 
 def _songs(tags: DataFrame) -> tuple[DataFrame, DataFrame]:

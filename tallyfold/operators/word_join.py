@@ -24,6 +24,8 @@ from tallyfold.plans.storage import write_table
 BITS = 62
 #: Members of a node in one array, about.
 CHUNK = 1024
+#: A bucket with more lists is joined by forms, in which words are left out that so many words share a variant with at most.
+WIDE, RARE = 4096, 512
 
 
 def word_lists(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -37,36 +39,73 @@ def word_lists(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lists, write_table(rows.join(lists.select("bucket", "words", "id"), ["bucket", "words"]).drop("bucket", "words"), "members")
 
 
+def _word_costs(lists: DataFrame, similar: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(words of the lists, their keys, their costs), all written; the empty word is none."""
+    words = write_table(lists.select("id", "bucket", F.size("words").alias("m"), F.posexplode("words").alias("at", "word")).where("word <> ''"), "list_words")
+    shown = write_table(words.groupBy("bucket", "word").agg(F.count("*").alias("n")).withColumn("key", F.explode((variants if similar else F.array)(F.col("word")))), "word_keys")
+    of_key = write_table(shown.groupBy("bucket", "key").agg(F.sum("n").alias("n")), "key_counts")
+    return words, shown, write_table(shown.drop("n").join(of_key, ["bucket", "key"]).groupBy("bucket", "word").agg(F.sum("n").alias("cost")), "word_costs")
+
+
+def _one_edit(word: str, other: str) -> Column:
+    return (F.col(word) == F.col(other)) | (F.levenshtein(word, other, 1).between(0, 1) & (F.least(F.length(word), F.length(other)) >= 2))
+
+
+def list_forms(lists: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(forms, of_list, contacts), written, or None where every bucket is small.
+
+    In a bucket of more than ``WIDE`` lists a word that few words there can match is rare, and a form is a list with empty words
+    for its rare ones. Forms are lists; ``of_list`` (id, form) has the form of each list. ``contacts`` (x, y) are the pairs of lists of which
+    a rare word of one is near a word of the other, each pair once, if their lengths allow ``least``. A pair that is no
+    contact scores as its forms do with their empty words unmatched; a rare word makes ``RARE`` contacts at most for each list that shows it.
+    """
+    wide = write_table(lists.groupBy("bucket").count().where(F.col("count") > WIDE).select("bucket"), "wide_buckets")
+    if wide.isEmpty():
+        return None
+    words, shown, cost = _word_costs(lists.join(wide, "bucket", "left_semi"), True)
+    rare = write_table(cost.where(F.col("cost") <= RARE).select("bucket", "word"), "rare_words")
+    marked = words.join(rare.withColumn("rare", F.lit(True)), ["bucket", "word"], "left")
+    kept = F.sort_array(F.collect_list(F.struct("at", F.when(F.col("rare"), "").otherwise(F.col("word")).alias("word"))))
+    masks = marked.groupBy("id").agg(kept["word"].alias("form"))
+    masks = write_table(lists.select("id", "bucket", "words", "lo", "hi").join(masks, "id", "left").select("id", "bucket", F.coalesce("form", "words").alias("words"), "lo", "hi"), "list_masks")
+    forms = masks.groupBy("bucket", "words").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    forms = write_table(forms.withColumn("id", F.monotonically_increasing_id()), "forms")
+    of_list = write_table(masks.select("id", "bucket", "words").join(forms.select("bucket", "words", F.col("id").alias("form")), ["bucket", "words"]).select("id", "form"), "list_forms")
+    near = rare.select("bucket", "word", F.explode(variants(F.col("word"))).alias("key")).join(shown.select("bucket", F.col("word").alias("other"), "key"), ["bucket", "key"])
+    near = write_table(near.select("bucket", "word", "other").distinct().where(_one_edit("word", "other")), "rare_near")
+    left = words.join(near, ["bucket", "word"]).select(F.col("id").alias("x"), "m", "bucket", F.col("other").alias("word"))
+    right = words.select(F.col("id").alias("y"), F.col("m").alias("n"), "bucket", "word")
+    fits = 2 * F.least("m", "n") >= F.lit(least) * (F.col("m") + F.col("n")) - 1e-9
+    met = left.join(right, ["bucket", "word"]).where((F.col("x") != F.col("y")) & fits)
+    return forms, of_list, write_table(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "contacts")
+
+
 def list_pairs(lists: DataFrame, least: float, similar: bool = True) -> DataFrame:
     """(x, y) of different lists of a bucket, each pair once, that may have a score of ``least`` (above 0) in either order."""
     keys = variants if similar else F.array
-    words = write_table(lists.select("id", "bucket", F.size("words").alias("m"), F.posexplode("words").alias("at", "word")), "list_words")
-    shown = write_table(words.groupBy("bucket", "word").agg(F.count("*").alias("n")).withColumn("key", F.explode(keys(F.col("word")))), "word_keys")
-    of_key = write_table(shown.groupBy("bucket", "key").agg(F.sum("n").alias("n")), "key_counts")
-    cost = write_table(shown.drop("n").join(of_key, ["bucket", "key"]).groupBy("bucket", "word").agg(F.sum("n").alias("cost")), "word_costs")
+    words, shown, cost = _word_costs(lists, similar)
     # One row a list: its words by cost, cut to the prefix.
     ordered = words.join(cost, ["bucket", "word"]).groupBy("id", "bucket", "m").agg(F.sort_array(F.collect_list(F.struct("cost", "at", "word"))).alias("w"))
-    ordered = ordered.withColumn("prefix", (F.col("m") - F.ceil(F.col("m") * F.lit(least) - 1e-9) + 1).cast("int"))
-    probes = write_table(ordered.select("id", "bucket", "m", "prefix", F.posexplode(F.slice("w", F.lit(1), F.col("prefix"))).alias("pos", "w")).select("id", "bucket", "m", "prefix", "pos", "w.word"), "probes")
+    ordered = ordered.withColumn("prefix", F.greatest(F.lit(0), F.size("w") - F.ceil(F.col("m") * F.lit(least) - 1e-9) + 1).cast("int"))
+    probes = write_table(ordered.select("id", "bucket", "m", "prefix", F.size("w").alias("real"), F.posexplode(F.slice("w", F.lit(1), F.col("prefix"))).alias("pos", "w")).select("id", "bucket", "m", "prefix", "real", "pos", "w.word"), "probes")
     probed = write_table(probes.select("bucket", "word").distinct(), "probed")
     met = write_table(shown.drop("n").join(probed.select("bucket", F.explode(keys(F.col("word"))).alias("key")).distinct(), ["bucket", "key"]), "met")
     # Word by word which words a probe's word meets; a table of the vocabulary, not of the lists.
     near = probed.select("bucket", "word", F.explode(keys(F.col("word"))).alias("key")).join(met.withColumnRenamed("word", "other"), ["bucket", "key"])
     near = write_table(near.select("bucket", "word", "other").distinct(), "near_words")
     if similar:
-        one = F.levenshtein("word", "other", 1).between(0, 1) & (F.least(F.length("word"), F.length("other")) >= 2)
-        near = near.where((F.col("word") == F.col("other")) | one)
-    left = probes.join(near, ["bucket", "word"]).select(F.col("id").alias("x"), "m", "prefix", "pos", "bucket", F.col("other").alias("word"))
+        near = near.where(_one_edit("word", "other"))
+    left = probes.join(near, ["bucket", "word"]).select(F.col("id").alias("x"), "m", "prefix", "real", "pos", "bucket", F.col("other").alias("word"))
     right = words.join(near.select("bucket", F.col("other").alias("word")).distinct(), ["bucket", "word"], "left_semi")
     right = right.select(F.col("id").alias("y"), F.col("m").alias("n"), "bucket", "word").distinct()
     m, n = F.col("m"), F.col("n")
     fits = ((m < n) | ((m == n) & (F.col("x") < F.col("y")))) & (2 * m >= F.lit(least) * (m + n) - 1e-9)
     got = left.join(right, ["bucket", "word"]).where(fits)
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(F.col("pos"), F.lit(BITS)))
-    got = got.groupBy("x", "y").agg(F.bit_or(bit).alias("hit"), F.first("m").alias("m"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    got = got.groupBy("x", "y").agg(F.bit_or(bit).alias("hit"), F.first("m").alias("m"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("real").alias("real"))
     # Words of the prefix that met nothing are lost; the rest may all match.
     low = F.col("hit").bitwiseAND(F.lit((1 << BITS) - 1).cast("bigint"))
-    most = F.bit_count(low) + F.when(F.col("hit") != low, F.col("prefix") - BITS).otherwise(0) + (m - F.col("prefix"))
+    most = F.bit_count(low) + F.when(F.col("hit") != low, F.col("prefix") - BITS).otherwise(0) + (F.col("real") - F.col("prefix"))
     return got.where(2 * most >= F.lit(least) * (m + n) - 1e-9).select("x", "y")
 
 
@@ -75,16 +114,29 @@ def scored_lists(lists: DataFrame, least: float, similar: bool = True) -> DataFr
 
     The greedy score depends on the order; lists whose words are equal score 1.
     """
-    near = write_table(list_pairs(lists, least, similar), "list_pairs")
+    there = pair_scores(lists, write_table(list_pairs(lists, least, similar), "list_pairs"), least, similar)
+    return there.union(lists.select(F.col("id").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("score")))
+
+
+def form_scores(forms: DataFrame, least: float) -> DataFrame:
+    """As ``scored_lists``, of forms whose empty words match nothing; a form with itself only if it has some."""
+    own = forms.select(F.col("id").alias("x"), F.col("id").alias("y"), (F.size(F.array_remove("words", "")) / F.size("words")).alias("score"))
+    near = write_table(list_pairs(forms, least), "form_pairs")
+    return pair_scores(forms, near, least).union(own.where((F.col("score") >= least - 1e-9) & (F.col("score") < 1)))
+
+
+def pair_scores(lists: DataFrame, near: DataFrame, least: float, similar: bool = True) -> DataFrame:
+    """(x, y, score), at least ``least``, of both orders of the pairs ``near`` (x, y), where members have them so; an empty word matches nothing."""
     side = lambda a, i: lists.select(F.col("id").alias(i), F.struct("words", "lo", "hi").alias(a))
     # Scores are the costly part and their rows are short, so they are dealt out by number and not by bytes.
     parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = near.join(side("a", "x"), "x").join(side("b", "y"), "y").repartition(parts, "x", "y")
-    score = lambda a, b: F.when(F.col(f"{a}.lo") < F.col(f"{b}.hi"), word_score(F.col(f"{a}.words"), F.col(f"{b}.words"), similar))
+    own = lambda a: F.transform(F.col(f"{a}.words"), lambda w: F.when(w == "", "#").otherwise(w))
+    score = lambda a, b: F.when(F.col(f"{a}.lo") < F.col(f"{b}.hi"), word_score(own(a), F.col(f"{b}.words"), similar))
     table = write_table(both.select("x", "y", score("a", "b").alias("there"), score("b", "a").alias("back")), "list_scores")
     there = table.where(F.col("there") >= least - 1e-9).select("x", "y", F.col("there").alias("score"))
     back = table.where(F.col("back") >= least - 1e-9).select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("back").alias("score"))
-    return there.union(back).union(lists.select(F.col("id").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("score")))
+    return there.union(back)
 
 
 def met_members(members: DataFrame, scored: DataFrame, *columns: str, keep: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:

@@ -439,3 +439,46 @@ def test_copies_are_spelt_out_behind_the_join(spark, monkeypatch):
             if (0 in (d, e) or min(d, e) >= max(d, e) * 85 // 100) and score >= 0.8:
                 want.add((i, j, round(score, 9)))
     assert set(got[4]) == want and len(got[4]) == len(want)
+
+
+@pytest.mark.parametrize("rare", [6, 30])
+def test_names_by_forms_equal_nested_loop(spark, monkeypatch, rare):
+    """Names with rare words near each other and near common ones, copies and sizes of every kind: forms change no pair, score or group."""
+    from tallyfold.operators import member_tiles, word_join
+    from tests.test_functions import score_spec, words_spec
+
+    rng = np.random.default_rng(rare)
+    word = lambda: str(rng.choice(["http", "https", "en", "net", "nets", str(rng.integers(100, 140)), str(rng.integers(10**5, 10**6)), "2", "x"], p=[0.2, 0.2, 0.15, 0.1, 0.05, 0.15, 0.05, 0.05, 0.05]))
+    rows = [("/".join(word() for _ in range(rng.integers(1, 7))), int(rng.choice([0, 1, 3, 4, 5, 16, 17])), 0) for _ in range(70)]
+    rows += [rows[0], rows[0], (rows[1][0], 4, 0), ("http/en/net/130/131", 4, 0), ("http/en/net/131/141", 4, 0), ("https/en/net/777/999999", None, 0)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    want = {}
+    for i, (p, s, _) in enumerate(rows):
+        for j, (q, t, _) in enumerate(rows[i + 1 :], i + 1):
+            if None not in (s, t) and s <= 4 * t and t <= 4 * s and (score := score_spec(words_spec(p), words_spec(q), True)) >= 0.6:
+                want[i, j] = score
+    for wide, chunk in ((1000, 1024), (0, 3)):
+        with monkeypatch.context() as m:
+            m.setattr(word_join, "WIDE", wide)
+            m.setattr(word_join, "RARE", rare)
+            m.setattr(member_tiles, "CHUNK", chunk)
+            m.setattr(member_tiles, "CELLS", 4 * chunk)
+            m.setattr(member_tiles, "PAIRS", 5)
+            got = pairs.name_pairs(files(spark, rows), 60, False, None, F.col("path")).collect()
+            links = pairs.name_links(files(spark, rows), 60, False, None, F.col("path")).collect()
+        assert len(got) == len(want) and {(r["src"], r["dst"]): r["score"] for r in got} == want
+        assert {(r["src"], r["dst"]) for r in links} <= set(want) and union_find(map(tuple, links)) == union_find(want)
+
+
+def test_names_of_a_form_are_not_scored_one_by_one(spark, monkeypatch):
+    """Urls that differ in a number: pairs grow with the square, scores and edges don't."""
+    from tallyfold.operators import word_join
+
+    monkeypatch.setattr(word_join, "WIDE", 100, raising=False)
+    monkeypatch.setattr(word_join, "RARE", 100, raising=False)
+    f = files(spark, [(f"http://www.{'a' * (3 + 3 * (i % 3))}.example.net/en/{10**7 + i * 7919 * 131}", 9, 0) for i in range(300)])
+    scored, write = [], word_join.write_table
+    monkeypatch.setattr(word_join, "write_table", lambda t, name: (scored.append(write(t, name)) if name == "list_scores" else None) or (scored[-1] if name == "list_scores" else write(t, name)))
+    assert pairs.name_pairs(f, 80, False, None, F.col("path")).count() == 3 * 100 * 99 // 2
+    assert sum(t.count() for t in scored) < 1000
+    assert pairs.name_links(f, 80, False, None, F.col("path")).count() < 3000
