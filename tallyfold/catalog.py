@@ -18,6 +18,8 @@ from tallyfold.sources import tables as t
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 NOW, RADIUS = 1_700_100_000, 18
+#: Edges that one task joins to components in memory (32 MB of ids).
+FEW_EDGES = 2_000_000
 
 # --- SQL building blocks -------------------------------------------------------------------------
 
@@ -174,7 +176,7 @@ def _(spark, d):
 
 
 def _components(pair_rows: DataFrame) -> DataFrame:
-    return connected_components(pair_rows).select(F.col("node").alias("scan_seq"), F.col("component").alias("group_id"))
+    return connected_components(pair_rows, few=FEW_EDGES).select(F.col("node").alias("scan_seq"), F.col("component").alias("group_id"))
 
 
 @query("fuzzy_groups_same_dir", _groups_sql(_name_pairs_sql(0.6, True)))

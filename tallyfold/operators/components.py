@@ -8,11 +8,18 @@ where a hub has many of the edges. The edge set is written to the shared folder
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.plans.storage import drop_table, write_table
 
+#: Edges that are joined at once in memory.
+STRIP = 1 << 16
+
 
 def lowest_joined(edges: DataFrame, low: DataFrame) -> DataFrame:
     """Edges (a, b) with the least neighbour m of a, from a written table (a, m)."""
@@ -39,11 +46,58 @@ def _settled(edges: DataFrame) -> bool:
     return ends.groupBy("a").agg(F.sum("n").alias("n"), F.max("low").alias("low")).where("n > 1 OR (n > 0 AND low)").isEmpty()
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
+class Trees:
+    """The trees that edges between places 0 to n - 1 have made so far; the top of a tree is its least place."""
+
+    def __init__(self, n: int) -> None:
+        self.top = np.arange(n)
+
+    def joining(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the edges (i, j), in their order, join two trees."""
+        a, b = self.top[i], self.top[j]
+        apart = np.flatnonzero(a != b)
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in up:
+                up[x] = up.get(up[x], up[x])
+                x = up[x]
+            return x
+
+        out = []
+        for k, x, y in zip(apart.tolist(), a[apart].tolist(), b[apart].tolist()):
+            x, y = find(x), find(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append(k)
+        if out:
+            moved = np.arange(len(self.top))
+            for x in list(up):
+                moved[x] = find(x)
+            self.top = moved[self.top]
+        return np.array(out, np.int64)
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges (a, b) that come."""
+    ends = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in batches]
+    if not ends:
+        return
+    a, b = (np.concatenate(c) for c in zip(*ends))
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    trees, i, j = Trees(len(nodes)), place[: len(a)], place[len(a) :]
+    for at in range(0, len(i), STRIP):
+        trees.joining(i[at : at + STRIP], j[at : at + STRIP])
+    for at in range(0, len(nodes), STRIP):
+        yield pa.record_batch([nodes[at : at + STRIP], nodes[trees.top[at : at + STRIP]]], names=["node", "component"])
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60, few: int = 0) -> DataFrame:
     """Columns (node, component): the smallest node reachable, for every node with an edge to another.
 
     Nulls and self-loops name no edge and are ignored; repeated edges change nothing; an empty edge
     table gives an empty result. Nodes without edges are not listed: they are their own component.
+    Once a round leaves ``few`` edges or less, one task finishes them in memory.
     """
     now = write_table(
         edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b"))
@@ -52,6 +106,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         "cc",
     )
     for _ in range(max_rounds):
+        if few and now.count() <= few:
+            done = write_table(now.coalesce(1).mapInArrow(_stars, "node bigint, component bigint"), "cc")
+            drop_table(now)
+            return done
         if _settled(now):
             break
         large, low = _large_star(now)

@@ -179,13 +179,13 @@ def _band(hash_: Column, shift: int, width: int) -> Column:
     return F.shiftright(hash_, shift).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
 
 
-def _distinct_pairs(hashes: DataFrame, radius: int) -> DataFrame:
-    """(p, q, distance) of the distinct values ``phash``, each pair once, p before q."""
+def _distinct_pairs(hashes: DataFrame, radius: int, forest: bool = False) -> DataFrame:
+    """(p, q, distance) of the distinct values ``phash``, each pair once, p before q; with ``forest``, as many as make the same components."""
     radius = min(radius, 64)
     rows = hashes.count()
     bands = _bands(radius, rows)
     if bands is None:
-        return tiled_pairs(hashes, radius, rows)
+        return tiled_pairs(hashes, radius, rows, forest)
     slack = radius // len(bands)
     masks = [[sum(1 << b for b in bits) for k in range(min(slack, w) + 1) for bits in combinations(range(w), k)] for _, w in bands]
     spark = hashes.sparkSession
@@ -223,7 +223,7 @@ def hash_links(hashes: DataFrame, radius: int) -> DataFrame:
     """Edges (src, dst) with the components of ``hash_pairs``: equal hashes are one node."""
     rows, classes = _hash_classes(hashes)
     stars = rows.join(classes, "phash").where("scan_seq <> lo").select(F.col("lo").alias("src"), F.col("scan_seq").alias("dst"))
-    near = _distinct_pairs(classes.select("phash"), radius)
+    near = _distinct_pairs(classes.select("phash"), radius, True)
     named = lambda h, n: classes.select(F.col("phash").alias(h), F.col("lo").alias(n))
     return stars.union(near.join(named("p", "src"), "p").join(named("q", "dst"), "q").select("src", "dst"))
 

@@ -40,6 +40,19 @@ def test_components(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("few", [1, 10**6])
+def test_components_in_memory(spark, monkeypatch, few):
+    """Components are those of the rounds, from the first edges or from what a round leaves; edges in strips."""
+    from tallyfold.operators import components
+
+    monkeypatch.setattr(components, "STRIP", 7)
+    rng = np.random.default_rng(9)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 90, (60, 2))] + [(300 - i, 301 - i) for i in range(40)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame([*edges, (None, 1), (5, None)], "src bigint, dst bigint"), few=few).collect()}
+    assert got == union_find((a, b) for a, b in edges if a != b)
+    assert connected_components(spark.createDataFrame([], "src bigint, dst bigint"), few=few).count() == 0
+
+
 def test_no_edges(spark):
     assert connected_components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
 
@@ -482,3 +495,13 @@ def test_names_of_a_form_are_not_scored_one_by_one(spark, monkeypatch):
     assert pairs.name_pairs(f, 80, False, None, F.col("path")).count() == 3 * 100 * 99 // 2
     assert sum(t.count() for t in scored) < 1000
     assert pairs.name_links(f, 80, False, None, F.col("path")).count() < 3000
+
+
+def test_groups_of_images_take_a_forest_of_each_tile(spark):
+    """All of a cluster's hashes are near each other: edges grow with hashes, and components stay."""
+    rng = np.random.default_rng(21)
+    h = [int(c) ^ int(sum(1 << int(i) for i in rng.choice(62, 4, replace=False))) for c in rng.integers(0, 2**62, 3) for _ in range(120)] + rng.integers(0, 2**62, 40).tolist()
+    df = spark.createDataFrame(list(enumerate(h)), "scan_seq bigint, phash bigint")
+    edges = [tuple(r) for r in pairs.hash_links(df, 18).collect()]
+    want = [(i, j) for i in range(len(h)) for j in range(i + 1, len(h)) if (h[i] ^ h[j]).bit_count() <= 18]
+    assert union_find(edges) == union_find(want) and len(edges) < len(want) / 2
