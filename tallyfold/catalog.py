@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.functions import bits, display, paths, text
-from tallyfold.operators import actions, cache, exact, groups, pairs, selection, tools, word_join
+from tallyfold.operators import actions, cache, exact, groups, member_tiles, pairs, selection, tools, word_join
 from tallyfold.operators.components import connected_components
 from tallyfold.operators.filters import filter_files, has_extension, remaining
 from tallyfold.plans.options import ScanOptions
@@ -199,7 +199,8 @@ SELECT src, dst, score FROM (SELECT src, dst, CAST(2.0 AS DOUBLE) * common / (le
 def _(spark, d):
     p = t.table(spark, d, "part").select(F.col("p_partkey").alias("scan_seq"), F.col("p_type").alias("bucket"), text.words(F.col("p_name")).alias("words"))
     lists, members = word_join.word_lists(p)
-    return word_join.met_members(members, word_join.scored_lists(lists, 0.8, similar=False), keep=lambda score, a, b: score >= 0.8)
+    scored = word_join.scored_lists(lists, 0.8, similar=False).where("score >= 0.8")
+    return member_tiles.spelt_out(member_tiles.member_nodes(members.withColumn("size", F.lit(1).cast("bigint")), "id"), scored)
 
 
 HASH_SQL = """eh AS (SELECT vec_id AS scan_seq, list_reduce([CAST(0 AS BIGINT)] || list_transform(ac, lambda v, i: CASE WHEN v > mean THEN CAST(1 AS BIGINT) << CAST(i - 1 AS BIGINT) ELSE 0 END), lambda x, y: x | y) AS phash

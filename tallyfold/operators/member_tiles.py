@@ -42,6 +42,13 @@ def _linked(seqs: tuple, ids: tuple, sizes: tuple, apart: bool, banned: tuple |
     return now
 
 
+def _after(seqs: tuple, at: slice) -> tuple[np.ndarray, np.ndarray]:
+    """(src, dst) of all that the order alone decides; arrays are sorted."""
+    left, right = seqs[0][at], seqs[1]
+    start = np.searchsorted(right, left, "right")
+    return np.repeat(left, len(right) - start), np.concatenate([right[s:] for s in start.tolist()])
+
+
 def _ban(ids: tuple, x: np.ndarray, y: np.ndarray) -> tuple:
     """A table of the pairs of different ids that are left out, and the place in it of each member."""
     (u, i), (v, j) = (np.unique(side, return_inverse=True) for side in ids)
@@ -82,14 +89,20 @@ def _spell(forest: bool):
             for k, (score, apart, ban) in enumerate(zip(scores, aparts, bans)):
                 seqs, ids, sizes = ((array(f"l_{c}", k), array(f"r_{c}", k)) for c in ("seqs", "ids", "sizes"))
                 banned = _ban(ids, array("bx", k), array("by", k)) if ban else None
+                fit = sizes[0].max() <= 4 * sizes[1].min() and sizes[1].max() <= 4 * sizes[0].min()
+                whole = fit and not forest and not apart and banned is None
                 rows = len(seqs[0]) if forest else max(CELLS // len(seqs[1]), 1)
                 for at in range(0, len(seqs[0]), rows):
-                    now = _linked(seqs, ids, sizes, apart, banned, slice(at, at + rows))
-                    i, j = _forest(now) if forest else np.divmod(np.flatnonzero(now), now.shape[1])
-                    if not len(i):
+                    if whole:
+                        src, dst = _after(seqs, slice(at, at + rows))
+                    else:
+                        now = _linked(seqs, ids, sizes, apart, banned, slice(at, at + rows))
+                        i, j = _forest(now) if forest else np.divmod(np.flatnonzero(now), now.shape[1])
+                        src, dst = seqs[0][at + i], seqs[1][j]
+                    if not len(src):
                         continue
-                    found.append((seqs[0][at + i], seqs[1][j], np.full(len(i), score)))
-                    held += len(i)
+                    found.append((src, dst, np.full(len(src), score)))
+                    held += len(src)
                     if held >= PAIRS:
                         yield batch_of()
                         found, held = [], 0

@@ -505,3 +505,22 @@ def test_groups_of_images_take_a_forest_of_each_tile(spark):
     edges = [tuple(r) for r in pairs.hash_links(df, 18).collect()]
     want = [(i, j) for i in range(len(h)) for j in range(i + 1, len(h)) if (h[i] ^ h[j]).bit_count() <= 18]
     assert union_find(edges) == union_find(want) and len(edges) < len(want) / 2
+
+
+def test_copies_of_names_are_spelt_out_in_arrays(spark, tmp_path, monkeypatch):
+    """Parts of few names: whole arrays meet, no row a member is joined, and no pair is lost or repeated."""
+    from tallyfold import catalog
+    from tallyfold.operators import member_tiles
+
+    rng = np.random.default_rng(14)
+    rows = [(int(k), ["red rod", "rod red", "old bolt"][n], "AB"[t]) for k, n, t in zip(rng.permutation(300), rng.integers(0, 3, 300), rng.integers(0, 2, 300))]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    calls, after = [], member_tiles.spelt_out
+    monkeypatch.setattr(member_tiles, "spelt_out", lambda *a, **k: calls.append(1) or after(*a, **k))
+    monkeypatch.setattr(member_tiles, "CHUNK", 16)
+    want = sorted((a, b, 1.0) for a, n, t in rows for b, m, u in rows if a < b and t == u and sorted(n.split()) == sorted(m.split()))
+    assert sorted(tuple(r) for r in catalog.QUERIES["fuzzy_exact_word_score"](spark, str(tmp_path)).collect()) == want and calls
+    # Sizes decide within the same arrays.
+    few = spark.createDataFrame([(i, 7, s) for i, s in enumerate([0, 1, 4, 5, 0, 16, 20])], "scan_seq bigint, id bigint, size bigint")
+    got = after(member_tiles.member_nodes(few, "id"), spark.createDataFrame([(7, 7, 1.0)], "x bigint, y bigint, score double")).collect()
+    assert sorted((r["src"], r["dst"]) for r in got) == [(0, 4), (1, 2), (2, 3), (2, 5), (3, 5), (3, 6), (5, 6)]
