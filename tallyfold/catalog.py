@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions import bits, display, paths, text
 from tallyfold.operators import actions, cache, exact, groups, member_tiles, pairs, selection, tools, word_join
-from tallyfold.operators.components import connected_components
+from tallyfold.operators.components import FEW_EDGES, connected_components
 from tallyfold.operators.filters import filter_files, has_extension, remaining
 from tallyfold.plans.options import ScanOptions
 from tallyfold.plans.storage import write_table
@@ -18,8 +18,6 @@ from tallyfold.sources import tables as t
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 NOW, RADIUS = 1_700_100_000, 18
-#: Edges that one task joins to components in memory (32 MB of ids).
-FEW_EDGES = 2_000_000
 
 # --- SQL building blocks -------------------------------------------------------------------------
 

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.columns import small_batches
 from tallyfold.llm.sampling import BROADCAST_IDS, without
-from tallyfold.operators.components import connected_components
+from tallyfold.operators.components import FEW_EDGES, connected_components
 from tallyfold.plans.storage import write_table
 
 SEED = 1
@@ -262,14 +262,14 @@ def rest_groups(members: DataFrame, percent: int, block_rows: int, block_shingle
     return met.select(F.struct("cluster", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).alias("pair"), "id", "n", "part", F.when(F.col("x") != F.col("y"), F.col("x") < F.col("y")).alias("left"))
 
 
-def _large_links(members: DataFrame, stars: DataFrame, confirm: Callable[[DataFrame, str], DataFrame], percent: int, block_rows: int, block_shingles: int) -> DataFrame:
+def _large_links(members: DataFrame, stars: DataFrame, confirm: Callable[[DataFrame, str], DataFrame], percent: int, block_rows: int, block_shingles: int, few: int) -> DataFrame:
     """Links of the members (id, n, cluster) of clusters beyond a block."""
     edges = write_table(stars.join(members.select(F.col("id").alias("dst")), "dst", "left_semi"), "large_stars")
     first = edges.groupBy("dst").agg(F.min("src").alias("src"))
     links = write_table(confirm(star_groups(first, members, block_rows, block_shingles), "pair"), "star_links")
 
     def parts() -> DataFrame:
-        found = connected_components(links)
+        found = connected_components(links, few=few)
         return write_table(members.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "cluster", F.coalesce("component", "id").alias("part")), "parts")
 
     now = parts()
@@ -284,9 +284,9 @@ def _large_links(members: DataFrame, stars: DataFrame, confirm: Callable[[DataFr
 
 def near_duplicates(
     documents: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, miss: float = 1e-8,
-    block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES,
+    block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES, few: int = FEW_EDGES,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row; ids are whole numbers."""
+    """doc_id, n_shingles, component_id and kept for each row; ids are whole numbers. Components of ``few`` edges or less are joined in memory."""
     small_batches(documents.sparkSession)
     rows, bands = bands_for(percent / 100, miss)
     texts = documents.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
@@ -296,15 +296,15 @@ def near_duplicates(
         signed.where("name IS NOT NULL AND id IS NOT NULL").groupBy("name").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes"
     )
     stars = write_table(candidate_edges(classes), "stars")
-    clusters = connected_components(stars).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
+    clusters = connected_components(stars, few=few).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     # An id of several texts is compared by each of its sets.
     members = write_table(classes.select("id", "n").distinct().join(clusters, "id"), "members")
     counts = members.groupBy("cluster").agg(F.count("*").alias("rows"), F.sum("n").alias("total"))
     large = write_table(counts.where(_blocks("rows", "total", block_rows, block_shingles) > 1).select("cluster"), "large")
     # A class's set is made again from the text of its smallest id; few ids are sent to the texts, many are joined.
-    few = members.count() <= BROADCAST_IDS
+    sent = members.count() <= BROADCAST_IDS
     ids = members.select("id").distinct()
-    chosen = texts.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    chosen = texts.join(F.broadcast(ids) if sent else ids, "id", "left_semi")
     sets = write_table(chosen.mapInArrow(lambda it: _sets(it, size), "id bigint, n bigint, s binary"), "sets")
 
     def confirm(groups: DataFrame, key: str) -> DataFrame:
@@ -316,8 +316,8 @@ def near_duplicates(
     links = confirm(whole.select("cluster", "id", "n", F.monotonically_increasing_id().alias("part"), F.lit(None).cast("boolean").alias("left")), "cluster")
     if not large.isEmpty():
         more = write_table(members.join(large, "cluster", "left_semi"), "large_members")
-        links = links.union(_large_links(more, stars, confirm, percent, block_rows, block_shingles))
-    found = connected_components(links)
+        links = links.union(_large_links(more, stars, confirm, percent, block_rows, block_shingles, few))
+    found = connected_components(links, few=few)
     named = classes.select("name", F.col("id").alias("class")).join(found.withColumnRenamed("node", "class"), "class", "left")
     named = write_table(named.select("name", F.coalesce("component", "class").alias("component")), "named")
     out = signed.select("id", "n", "name").join(named, "name", "left").select(

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tallyfold.plans.storage import drop_table, write_table
 
-#: Edges that are joined at once in memory.
-STRIP = 1 << 16
+#: Edges that are joined at once in memory; and those that callers let one task finish (32 MB of ids).
+STRIP, FEW_EDGES = 1 << 16, 2_000_000
 
 
 def lowest_joined(edges: DataFrame, low: DataFrame) -> DataFrame:
@@ -97,18 +97,26 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
 
     Nulls and self-loops name no edge and are ignored; repeated edges change nothing; an empty edge
     table gives an empty result. Nodes without edges are not listed: they are their own component.
-    Once a round leaves ``few`` edges or less, one task finishes them in memory.
+    Once ``few`` edges or less are there, at the start as they come or behind a round, one task finishes them in memory.
     """
-    now = write_table(
-        edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b"))
-        .where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
-        .distinct(),
-        "cc",
-    )
+
+    def finished(some: DataFrame) -> DataFrame | None:
+        if not few or some.count() > few:
+            return None
+        done = write_table(some.coalesce(1).mapInArrow(_stars, "node bigint, component bigint"), "cc")
+        drop_table(some)
+        return done
+
+    whole = edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where(F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col(src) != F.col(dst)))
+    if few:
+        whole = write_table(whole, "cc_edges")
+        if (done := finished(whole)) is not None:
+            return done
+    now = write_table(whole.distinct(), "cc")
+    if few:
+        drop_table(whole)
     for _ in range(max_rounds):
-        if few and now.count() <= few:
-            done = write_table(now.coalesce(1).mapInArrow(_stars, "node bigint, component bigint"), "cc")
-            drop_table(now)
+        if (done := finished(now)) is not None:
             return done
         if _settled(now):
             break

@@ -228,6 +228,22 @@ def test_a_cluster_of_near_copies_is_linear(spark, monkeypatch):
     assert sum(d.count() for d in dealt) < 2.2 * n
 
 
+def test_few_edges_take_no_rounds(spark, monkeypatch):
+    """Clusters beyond a block: the same components by rounds and in memory, where no round is run and no edges are shuffled."""
+    from tallyfold.operators import components
+
+    written, write = [], components.write_table
+    monkeypatch.setattr(components, "write_table", lambda df, name: written.append(name) or write(df, name))
+    base = [f"w{k}" for k in range(60)]
+    rows = [(100 * c + k, " ".join([*(w + str(c) for w in base[: 60 - k]), f"t{k}"])) for c in range(4) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    shown = lambda **o: sorted(map(tuple, near_duplicates.near_duplicates(df, size=3, percent=85, block_rows=5, **o).collect()))
+    got = shown()
+    assert set(written) == {"cc_edges", "cc"} and written.count("cc") == written.count("cc_edges") <= 4
+    assert got == shown(few=0) and "low" in written
+    assert {r[0]: (r[1], r[2]) for r in got} == near_spec(rows, 3, 85)
+
+
 def test_recall(spark, docs):
     """Pairs of every similarity from the threshold up, short and long: none is lost."""
     rng = np.random.default_rng(11)
