@@ -59,6 +59,36 @@ def word_score(a: Column, b: Column, similar: bool = True) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(2.0 * common_words(a, b, similar) / total)
 
 
+def _one_edit(x: str, y: str) -> bool:
+    """Whether two different words are one edit apart."""
+    if len(x) < len(y):
+        x, y = y, x
+    if len(x) - len(y) > 1:
+        return False
+    at, end = 0, len(y)
+    while at < end and x[at] == y[at]:
+        at += 1
+    return x[at + 1 :] == (y[at:] if len(x) > end else y[at + 1 :])
+
+
+def matched_words(a: list[str], b: list[str], need: int, similar: bool = True) -> int | None:
+    """``common_words`` of lists in Python, None if below ``need``; an empty word matches nothing."""
+    left, misses = list(b), len(a) - need
+    for x in a:
+        if x and x in left:
+            left[left.index(x)] = ""
+            continue
+        if similar and len(x) >= 2:
+            at = next((i for i, y in enumerate(left) if len(y) >= 2 and _one_edit(x, y)), None)
+            if at is not None:
+                left[at] = ""
+                continue
+        misses -= 1
+        if misses < 0:
+            return None
+    return misses + need
+
+
 def variants(word: Column) -> Column:
     """The word, and it with one character left out: words at most one edit apart share one of these."""
     cut = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))

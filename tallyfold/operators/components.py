@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from tallyfold.plans.storage import drop_table, write_table
 
-#: Edges that are joined at once in memory; and those that callers let one task finish (32 MB of ids).
-STRIP, FEW_EDGES = 1 << 16, 2_000_000
+#: Edges that are joined at once in memory; and those that callers let one task finish (64 MB of ids).
+STRIP, FEW_EDGES = 1 << 16, 4_000_000
 
 
 def lowest_joined(edges: DataFrame, low: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tallyfold.functions.bits import HASH_BITS, frame_score, hamming
 from tallyfold.functions.paths import base_name, parent_dir
 from tallyfold.functions.text import duration_ok, duration_score, words
-from tallyfold.operators.member_tiles import member_nodes, spelt_out
+from tallyfold.operators.member_tiles import member_nodes, size_nodes, spelt_out
 from tallyfold.operators.tiles import tiled_pairs
 from tallyfold.operators.word_join import BITS, form_scores, list_forms, met_members, pair_scores, scored_lists, word_lists
 from tallyfold.plans.storage import write_table
@@ -57,12 +57,17 @@ def _name_tiles(files: DataFrame, threshold: int, same_dir: bool, max_bucket: in
     """(src, dst, score) of all pairs of names, or of spanning forests of them."""
     lists, members = word_lists(_named(files, same_dir, max_bucket, name))
     least = threshold / 100.0
-    # The copies of a list meet by themselves, and so do lists that are scored one by one.
-    copied = members.groupBy("id").count().where("count > 1").select(F.col("id").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("score"))
+    # The copies of a list meet by themselves, and so do lists that are scored one by one; of copies with one size a forest needs one.
+    copied = members.groupBy("id").count().where(F.lit(not forest) & (F.col("count") > 1)).select(F.col("id").alias("x"), F.col("id").alias("y"), F.lit(1.0).alias("score"))
+    own = None
+    if forest:
+        members, own = size_nodes(members)
+        own = own.select("src", "dst", F.lit(1.0).alias("score"))
     formed = list_forms(lists, least)
     if formed is None:
         one = scored_lists(lists, least).where("x <> y")
-        return spelt_out(member_nodes(members, "id"), write_table(one.where(F.col("score") >= least).union(copied), "list_links"), forest=forest)
+        met = spelt_out(member_nodes(members, "id"), write_table(one.where(F.col("score") >= least).union(copied), "list_links"), forest=forest)
+        return met.union(own) if forest else met
     forms, of_list, contacts = formed
     one = write_table(pair_scores(lists, contacts, least).where(F.col("score") >= least).union(copied), "list_links")
     met = one.select(F.col("x").alias("id")).union(one.select("y")).distinct()
@@ -77,11 +82,12 @@ def _name_tiles(files: DataFrame, threshold: int, same_dir: bool, max_bucket: in
     both = both.join(side("bx", "x", "l_chunk"), "bx").join(side("by", "y", "r_chunk"), "by").join(scored.select("x", "y"), ["x", "y"], "left_semi")
     banned = both.groupBy("x", "l_chunk", "y", "r_chunk").agg(F.sort_array(F.collect_list(F.struct("bx", "by"))).alias("b"))
     banned = write_table(banned.select("x", "l_chunk", "y", "r_chunk", F.col("b.bx").alias("bx"), F.col("b.by").alias("by")), "contact_tiles")
-    return alone.union(spelt_out(nodes, scored, apart=True, banned=banned, forest=forest))
+    alike = alone.union(spelt_out(nodes, scored, apart=True, banned=banned, forest=forest))
+    return alike.union(own) if forest else alike
 
 
 def name_links(files: DataFrame, threshold: int = 80, same_dir: bool = True, max_bucket: int | None = None, name: Column | None = None) -> DataFrame:
-    """Edges (src, dst) with the components of ``name_pairs``: where arrays of members meet, their forest is an edge a member."""
+    """Edges (src, dst) with the components of ``name_pairs``: copies are star edges, and where arrays of others meet, their forest is an edge a member."""
     return _name_tiles(files, threshold, same_dir, max_bucket, name, True).select("src", "dst")
 
 

@@ -11,13 +11,15 @@ scored once, behind a written table, so that no optimizer moves the score into t
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.functions.text import variants, word_score
+from tallyfold.functions.text import matched_words, variants
 from tallyfold.plans.storage import write_table
 
 #: Positions of a probe that have a bit of their own; further ones share the last.
@@ -51,6 +53,25 @@ def _one_edit(word: str, other: str) -> Column:
     return (F.col(word) == F.col(other)) | (F.levenshtein(word, other, 1).between(0, 1) & (F.least(F.length(word), F.length(other)) >= 2))
 
 
+def _edit_keys(probe: bool) -> Column:
+    """Keys of ``word``, which a probe and a word share once if they are one edit apart and both have two characters or more; no others share one."""
+    word, n = F.col("word"), F.length("word")
+    without = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)))
+    own, cut = ("w", "d") if probe else ("d", "w")
+    changed = F.transform(without, lambda w, i: F.concat(i.cast("string"), F.lit("s"), w))
+    shorter = F.when(n >= 3, F.transform(F.array_distinct(without), lambda w: F.concat(F.lit(cut), w))).otherwise(F.array().cast("array<string>"))
+    return F.when(n >= 2, F.concat(changed, F.array(F.concat(F.lit(own), word)), shorter)).otherwise(F.array().cast("array<string>"))
+
+
+def rare_neighbours(cost: DataFrame) -> DataFrame:
+    """(bucket, word, other) of rare words and what they match, of (bucket, word, cost); of two rare words one order is enough."""
+    rare = F.col("cost") <= RARE
+    left = cost.where(rare).select("bucket", "word", F.explode(_edit_keys(True)).alias("key"))
+    right = cost.select("bucket", F.col("word").alias("other"), rare.alias("both"), F.explode(_edit_keys(False)).alias("key"))
+    near = left.join(right, ["bucket", "key"]).where("NOT both OR word < other").select("bucket", "word", "other")
+    return near.union(cost.where(rare).select("bucket", "word", F.col("word").alias("other")))
+
+
 def list_forms(lists: DataFrame, least: float) -> tuple[DataFrame, DataFrame, DataFrame] | None:
     """(forms, of_list, contacts), written, or None where every bucket is small.
 
@@ -71,8 +92,7 @@ def list_forms(lists: DataFrame, least: float) -> tuple[DataFrame, DataFrame, Da
     forms = masks.groupBy("bucket", "words").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     forms = write_table(forms.withColumn("id", F.monotonically_increasing_id()), "forms")
     of_list = write_table(masks.select("id", "bucket", "words").join(forms.select("bucket", "words", F.col("id").alias("form")), ["bucket", "words"]).select("id", "form"), "list_forms")
-    near = rare.select("bucket", "word", F.explode(variants(F.col("word"))).alias("key")).join(shown.select("bucket", F.col("word").alias("other"), "key"), ["bucket", "key"])
-    near = write_table(near.select("bucket", "word", "other").distinct().where(_one_edit("word", "other")), "rare_near")
+    near = write_table(rare_neighbours(cost), "rare_near")
     left = words.join(near, ["bucket", "word"]).select(F.col("id").alias("x"), "m", "bucket", F.col("other").alias("word"))
     right = words.select(F.col("id").alias("y"), F.col("m").alias("n"), "bucket", "word")
     fits = 2 * F.least("m", "n") >= F.lit(least) * (F.col("m") + F.col("n")) - 1e-9
@@ -125,15 +145,33 @@ def form_scores(forms: DataFrame, least: float) -> DataFrame:
     return pair_scores(forms, near, least).union(own.where((F.col("score") >= least - 1e-9) & (F.col("score") < 1)))
 
 
+def _score(least: float, similar: bool):
+    """(x, y, there, back) of (x, y, a, b, ab, ba), lists as words between blanks: ``word_score`` of a before b and of b before a where asked for, null below ``least``."""
+
+    def of(a: list[str], b: list[str], asked: bool) -> float | None:
+        total = len(a) + len(b)
+        n = matched_words(a, b, math.ceil((least - 1e-9) * total / 2 - 1e-6), similar) if asked else None
+        return None if n is None else 2.0 * n / total
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, ab, ba = (batch.column(c).to_pylist() for c in ("a", "b", "ab", "ba"))
+            a, b = ([words.split(" ") for words in side] for side in (a, b))
+            there, back = (pa.array([*map(of, *sides)], pa.float64()) for sides in ((a, b, ab), (b, a, ba)))
+            yield pa.record_batch([batch.column("x"), batch.column("y"), there, back], names=["x", "y", "there", "back"])
+
+    return run
+
+
 def pair_scores(lists: DataFrame, near: DataFrame, least: float, similar: bool = True) -> DataFrame:
     """(x, y, score), at least ``least``, of both orders of the pairs ``near`` (x, y), where members have them so; an empty word matches nothing."""
-    side = lambda a, i: lists.select(F.col("id").alias(i), F.struct("words", "lo", "hi").alias(a))
+    # Words hold no blanks: as one string a list is far shorter in a shuffle and on the way to Python.
+    side = lambda a, i: lists.select(F.col("id").alias(i), F.struct(F.array_join("words", " ").alias("words"), "lo", "hi").alias(a))
     # Scores are the costly part and their rows are short, so they are dealt out by number and not by bytes.
     parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = near.join(side("a", "x"), "x").join(side("b", "y"), "y").repartition(parts, "x", "y")
-    own = lambda a: F.transform(F.col(f"{a}.words"), lambda w: F.when(w == "", "#").otherwise(w))
-    score = lambda a, b: F.when(F.col(f"{a}.lo") < F.col(f"{b}.hi"), word_score(own(a), F.col(f"{b}.words"), similar))
-    table = write_table(both.select("x", "y", score("a", "b").alias("there"), score("b", "a").alias("back")), "list_scores")
+    asked = both.select("x", "y", F.col("a.words").alias("a"), F.col("b.words").alias("b"), (F.col("a.lo") < F.col("b.hi")).alias("ab"), (F.col("b.lo") < F.col("a.hi")).alias("ba"))
+    table = write_table(asked.mapInArrow(_score(least, similar), "x bigint, y bigint, there double, back double"), "list_scores")
     there = table.where(F.col("there") >= least - 1e-9).select("x", "y", F.col("there").alias("score"))
     back = table.where(F.col("back") >= least - 1e-9).select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("back").alias("score"))
     return there.union(back)

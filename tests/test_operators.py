@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfold.operators import actions, cache, exact, groups, pairs, selection, tiles, tools
+from tallyfold.functions import text
+from tallyfold.operators import actions, cache, exact, groups, pairs, selection, tiles, tools, word_join
 from tallyfold.operators.components import connected_components
 from tallyfold.operators.filters import filter_files
 from tallyfold.plans.options import ScanOptions
@@ -524,3 +525,43 @@ def test_copies_of_names_are_spelt_out_in_arrays(spark, tmp_path, monkeypatch):
     few = spark.createDataFrame([(i, 7, s) for i, s in enumerate([0, 1, 4, 5, 0, 16, 20])], "scan_seq bigint, id bigint, size bigint")
     got = after(member_tiles.member_nodes(few, "id"), spark.createDataFrame([(7, 7, 1.0)], "x bigint, y bigint, score double")).collect()
     assert sorted((r["src"], r["dst"]) for r in got) == [(0, 4), (1, 2), (2, 3), (2, 5), (3, 5), (3, 6), (5, 6)]
+
+
+def test_words_matched_in_python(spark):
+    """The greedy matches of a list in Python are those of the expression, and none below what is asked for."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("ab1"), rng.integers(1, 5)))
+    rows = [([word() for _ in range(rng.integers(1, 7))], [word() for _ in range(rng.integers(1, 7))]) for _ in range(400)]
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>")
+    for similar in (True, False):
+        want = [r["n"] for r in df.select(text.common_words(F.col("a"), F.col("b"), similar).alias("n")).collect()]
+        assert [text.matched_words(a, b, 0, similar) for a, b in rows] == want
+        assert [text.matched_words(a, b, 2, similar) if len(a) > 1 else None for a, b in rows] == [n if n > 1 else None for n in want]
+    assert text.matched_words(["", "a"], ["", "a"], 0) == 1
+
+
+def test_rare_neighbours_meet_once(spark, monkeypatch):
+    """Words one edit apart, each pair of rare ones once and no other candidate; a frequent word only from a rare one."""
+    rng = np.random.default_rng(5)
+    words = sorted({"".join(rng.choice(list("ab1"), rng.integers(1, 6))) for _ in range(150)})
+    cost = spark.createDataFrame([("", w, word_join.RARE + k % 2) for k, w in enumerate(words)], "bucket string, word string, cost bigint")
+    got = sorted((r["word"], r["other"]) for r in word_join.rare_neighbours(cost).collect())
+    near = lambda x, y: x == y or (min(len(x), len(y)) >= 2 and text._one_edit(x, y))
+    rare = set(words[::2])
+    want = sorted((x, y) for x in rare for y in words if near(x, y) and (y not in rare or x <= y))
+    assert got == want and len(got) > 100
+    apart = spark.createDataFrame([(x, y) for x in words[:60] for y in words if x != y], "x string, y string")
+    assert all(r["near"] == text._one_edit(r["x"], r["y"]) for r in apart.select("x", "y", text.near_word(F.col("x"), F.col("y")).alias("near")).collect())
+
+
+def test_sizes_of_copies(spark, monkeypatch):
+    """Copies of several sizes, of one list and of lists one edit apart: the components of all pairs, by hardly more edges than rows."""
+    rng = np.random.default_rng(6)
+    sizes = [0, 1, 3, 11, 60, 241, 250, 5000]
+    rows = [(int(i), f"/d/alpha beta gamma delta {w}", int(rng.choice(sizes))) for i, w in enumerate(rng.choice(["one", "ones", "onset", "zzz"], 300, p=[0.5, 0.3, 0.1, 0.1]))]
+    f = spark.createDataFrame(rows, "scan_seq bigint, path string, size bigint")
+    for wide in (word_join.WIDE, 1):
+        monkeypatch.setattr(word_join, "WIDE", wide)
+        want = union_find((r["src"], r["dst"]) for r in pairs.name_pairs(f, 95).collect())
+        links = pairs.name_links(f, 95).collect()
+        assert union_find((r["src"], r["dst"]) for r in links) == want and len(links) < 400
