@@ -257,11 +257,10 @@ def _near_signatures(classes: DataFrame, radius: int, ratio: float) -> DataFrame
     ordered = ordered.withColumn("k", F.greatest(F.lit(1), F.least(F.lit(HITS), need)))
     prefix = F.col("n") - need + F.col("k")
     probes = write_table(ordered.select(F.col("id").alias("x"), "k", F.posexplode(F.slice("f", F.lit(1), prefix)).alias("pos", "f")).select("x", "k", "pos", F.col("f.phash").alias("p")), "frame_probes")
-    met = write_table(probes.select("p").distinct().join(both, "p"), "met_frames")
-    other = shown.join(met.select(F.col("q").alias("phash")).distinct(), "phash", "left_semi").select(F.col("id").alias("y"), F.col("phash").alias("q")).distinct()
+    other = shown.select(F.col("id").alias("y"), F.col("phash").alias("q")).distinct()
     # A frame's place in the prefix is a bit; those from BITS on share the last, which is taken for enough.
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(F.col("pos"), F.lit(BITS)))
-    hits = probes.join(met, "p").join(other, "q").where("x <> y").groupBy("x", "y").agg(F.bit_or(bit).alias("hit"), F.first("k").alias("k"))
+    hits = probes.join(both, "p").join(other, "q").where("x <> y").groupBy("x", "y").agg(F.bit_or(bit).alias("hit"), F.first("k").alias("k"))
     hits = hits.where((F.bit_count("hit") >= F.col("k")) | (F.col("hit") >= F.lit(1 << BITS)))
     pairs = write_table(hits.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "video_candidates")
     sig = lambda i, s: classes.select(F.col("id").alias(i), F.col("sig").alias(s))

@@ -565,3 +565,15 @@ def test_sizes_of_copies(spark, monkeypatch):
         want = union_find((r["src"], r["dst"]) for r in pairs.name_pairs(f, 95).collect())
         links = pairs.name_links(f, 95).collect()
         assert union_find((r["src"], r["dst"]) for r in links) == want and len(links) < 400
+
+
+def test_near_frames_are_written_once(spark, monkeypatch):
+    """Candidates read the near frames themselves; all videos of one hot frame and no other in common make no pair."""
+    written, write = [], pairs.write_table
+    monkeypatch.setattr(pairs, "write_table", lambda df, name: written.append(name) or write(df, name))
+    rng = np.random.default_rng(8)
+    own = rng.integers(0, 2**62, (40, 6))
+    rows = [(i, [7, *map(int, f)]) for i, f in enumerate(own)] + [(40, [9, *map(int, own[3, :5]), 1 << 60])]
+    got = pairs.video_pairs(spark.createDataFrame(rows, "scan_seq bigint, sig array<bigint>"), 3).collect()
+    assert [(r["src"], r["dst"]) for r in got] == [(3, 40)]
+    assert "met_frames" not in written and written.count("near_frames") == 1
